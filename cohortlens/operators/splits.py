@@ -22,7 +22,8 @@ def hash_ranked(subj: DataFrame, strata, h: Column, subject="subject", out="rank
     d = subj.withColumn("__h", h)
     d = number_rows(d, strata, ["__h", subject], F.col("__h"), out, by_share=True, hot=True)
     n = subj.groupBy(*strata).agg(F.count(F.lit(1)).alias("size"))
-    return null_safe_join(d, F.broadcast(n) if len(list(strata)) <= 1 else n, strata).drop("__h")
+    # one row per stratum: labels times draws or folds, all plan-time constants
+    return null_safe_join(d, F.broadcast(n), strata).drop("__h")
 
 
 def stratified_split(df: DataFrame, seed: int, val_frac: float, test_frac: float,
@@ -153,7 +154,7 @@ def frozen_holdout(df: DataFrame, seeds, frac=0.3, subject="subject") -> DataFra
 def repeated_random_split(df: DataFrame, n_draws: int, fractions, unit="volume") -> DataFrame:
     """(draw, unit, arm): draws of a published geometry, e.g. (0.25, 0.25, 0.5) -> arms 0, 1, 2."""
     s = df.select(unit).distinct().select(
-        unit, F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).cast("long").alias("draw"))
+        unit, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_draws - 1).cast("long"))).alias("draw"))
     r = hash_ranked(s, ["draw"], unit_draw("split", F.col("draw"), F.col(unit)), unit)
     arm, upto = F.lit(len(fractions) - 1), 0.0
     for i in reversed(range(len(fractions) - 1)):
