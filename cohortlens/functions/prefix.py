@@ -109,3 +109,35 @@ def running(df: DataFrame, keys, order, lead: Column, **cols) -> DataFrame:
     for o in cols:
         joined = joined.withColumn(o, F.col(o) + F.col(f"__o_{o}"))
     return joined.drop("__bucket", *[f"__o_{o}" for o in cols])
+
+
+def with_next(df: DataFrame, keys, col: str, out: str) -> DataFrame:
+    """The next larger ``col`` of distinct values inside the keys, cut by ``spread``."""
+    keys = list(keys)
+    d = df.withColumn("__bucket", spread(F.col(col)))
+    inner = d.withColumn("__next", F.lead(col).over(Window.partitionBy(*keys, "__bucket").orderBy(col)))
+    firsts = d.groupBy(*keys, "__bucket").agg(F.min(col).alias("__min"))
+    after = firsts.select(*keys, "__bucket", F.lead("__min").over(
+        Window.partitionBy(*keys).orderBy("__bucket")).alias("__after"))
+    j = null_safe_join(inner, after, [*keys, "__bucket"])
+    return j.withColumn(out, F.coalesce("__next", "__after")).drop("__bucket", "__next", "__after")
+
+
+def quantiles(counts: DataFrame, keys, value: str, n: str, probs) -> DataFrame:
+    """Exact linear quantiles of weighted values: one row per (keys, prob).
+
+    Works on distinct values with counts and running sums, so no group is held in memory.
+    """
+    keys = list(keys)
+    r = running(counts.filter(F.col(n) > 0), keys, [value], spread(F.col(value)), __upto=n)
+    total = counts.groupBy(*keys).agg(F.sum(n).alias("__total"))
+    r = null_safe_join(r, total, keys)
+    ps = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
+    at = (F.col("__total") - 1) * F.col("prob")
+    r = r.select(*keys, value, n, "__upto", "__total", ps)
+    lo, hi = F.floor(at), F.ceil(at)
+    has = lambda k: (k >= F.col("__upto") - F.col(n)) & (k < F.col("__upto"))
+    g = (r.filter(has(lo) | has(hi)).groupBy(*keys, "prob").agg(
+        F.max(F.when(has(lo), F.col(value))).alias("__lo"), F.max(F.when(has(hi), F.col(value))).alias("__hi"),
+        F.max(at - lo).alias("__frac")))
+    return g.select(*keys, "prob", (F.col("__lo") + F.col("__frac") * (F.col("__hi") - F.col("__lo"))).alias("value"))
