@@ -21,7 +21,7 @@ def canon(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
     if isinstance(v, float):
-        return round(v, 8) + 0.0
+        return v + 0.0
     return v
 
 
