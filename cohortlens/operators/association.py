@@ -102,11 +102,11 @@ def eta_squared(subj: DataFrame, cols, score="score", label="label", per_level=4
     arms = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in [*cols, label]])
     d = subj.select(F.col(score).cast("double").alias("x"), F.inline(arms)).filter(F.col("level").isNotNull() & F.col("x").isNotNull())
     g = d.groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mu"), F.var_pop("x").alias("v"))
-    tot = g.groupBy("column").agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("levels"), (F.sum(F.col("n") * F.col("mu")) / F.sum("n")).alias("grand"))
+    tot = g.groupBy("column").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("levels"), (F.sum(F.col("n") * F.col("mu")) / F.sum("n")).alias("grand"))
     j = g.join(tot, "column")
     ssb = F.sum(F.col("n") * F.pow(F.col("mu") - F.col("grand"), 2))
     ssw = F.sum(F.col("n") * F.col("v"))
-    r = j.groupBy("column").agg(ssb.alias("ssb"), ssw.alias("ssw"), F.max("N").alias("size"), F.max("levels").alias("n_levels"))
+    r = j.groupBy("column").agg(ssb.alias("ssb"), ssw.alias("ssw"), F.max("size").alias("size"), F.max("levels").alias("n_levels"))
     ok = F.col("n_levels") <= F.greatest(F.lit(2), F.expr(f"size div {per_level}"))
     st = F.col("ssb") + F.col("ssw")
     return r.filter("n_levels > 1").select("column", "size", "n_levels", F.when(ok & (st > 0), F.col("ssb") / st).alias("eta2"),
