@@ -35,16 +35,20 @@ def read_label_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return df
 
 
-def read_payloads(spark: SparkSession, roots, recurse=True, keep_controls=False, skip_dir="_scratch") -> DataFrame:
+def read_payloads(spark: SparkSession, roots, recurse=True, keep_controls=False, skip_dir="_scratch", lines=False,
+                  pattern="*.json") -> DataFrame:
     """One row per run payload of one or more trees, with base and fold from its directory.
 
     A physical file counts once; files without a test block or a condition, unreadable ones, the
-    summary file and control runs are left out.
+    summary file and control runs are left out. ``lines``: many payloads per file, one per line.
     """
     roots = [roots] if isinstance(roots, str) else list(roots)
-    r = (spark.read.schema(f"{PAYLOAD}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE")
-         .option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", "*.json").option("recursiveFileLookup", recurse))
-    d = r.json(sorted(set(roots))).select("*", F.col("_metadata.file_path").alias("path"))
+    r = (spark.read.schema(f"{PAYLOAD}, _corrupt_record string").option("multiLine", not lines).option("mode", "PERMISSIVE")
+         .option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", pattern).option("recursiveFileLookup", recurse))
+    # a root below another one would list its files twice
+    top = sorted({x.rstrip("/") for x in roots})
+    top = [x for x in top if not any(recurse and x.startswith(y + "/") for y in top if y != x)]
+    d = r.json(top).select("*", F.col("_metadata.file_path").alias("path"))
     return keep_payloads(d, keep_controls, skip_dir)
 
 
@@ -58,7 +62,7 @@ def keep_payloads(d: DataFrame, keep_controls=False, skip_dir="_scratch") -> Dat
     d = d.withColumn("fold", F.nullif(cv, F.lit("")).cast("long"))
     d = d.withColumn("base", F.when(F.col("fold").isNotNull(), F.regexp_extract(folder, r"^(.+)_cv([0-9]+)$", 1)))
     d = d.withColumn("family", F.when(F.col("fold").isNotNull(), "cv").otherwise(folder))
-    return d.drop("_corrupt_record").dropDuplicates(["path"])
+    return d.drop("_corrupt_record")
 
 
 def explode_predictions(payloads: DataFrame, block="test") -> DataFrame:
