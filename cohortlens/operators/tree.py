@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import null_safe_join, quantiles, running, spread, with_next
@@ -18,7 +18,7 @@ from ..functions.rules import snap
 from ..session import settle
 
 MAX_THRESHOLDS = 64  # fixed value: more distinct values are thinned to this many quantiles
-GAIN = 1e-12  # fixed value: a later feature must beat an earlier one by this much
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
 
 
 @dataclass
@@ -29,21 +29,32 @@ class Encoder:
 
     @classmethod
     def fit(cls, train: DataFrame, cols, max_levels=30) -> "Encoder":
-        types = dict(train.dtypes)
-        spec = []
-        for c in cols:
-            if types[c] in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean") or types[c].startswith("decimal"):
-                x = F.col(c).cast("double")
-                ok = x.isNotNull() & ~F.isnan(x)
-                n = train.filter(ok).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-                med = quantiles(n, [], "v", "c", [0.5]).head()
-                gap = bool(train.filter(~ok).head(1))
-                spec.append(("num", c, med["value"] if med else 0.0, gap))
-            else:
-                top = (train.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-                       .orderBy(F.desc("c"), F.asc_nulls_last("v")).limit(max_levels).collect())  # <= max_levels rows
-                spec.append(("cat", c, [r["v"] for r in top], None))
-        return cls(spec)
+        return cls.fit_all(train.withColumn("fold", F.lit(-1)), 1, cols, max_levels)[0]
+
+    @classmethod
+    def fit_all(cls, df: DataFrame, n_folds: int, cols, max_levels=30) -> list["Encoder"]:
+        """One encoder per partition from one pass: values are counted per fold and column first."""
+        if not cols:
+            return [cls([]) for _ in range(n_folds)]
+        types = dict(df.dtypes)
+        num = [c for c in cols if types[c] in NUMERIC or types[c].startswith("decimal")]
+        x = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+        arms = F.array(*[F.struct(F.lit(i).alias("i"), (x(c) if c in num else F.lit(None)).cast("double").alias("v"),
+                                  (F.lit(None) if c in num else F.col(c)).cast("string").alias("t")) for i, c in enumerate(cols)])
+        per = df.select("fold", F.inline(arms)).groupBy("fold", "i", "v", "t").agg(F.count(F.lit(1)).alias("c"))
+        parts = F.explode(F.array(*[F.lit(f) for f in range(n_folds)])).alias("part")
+        c = settle(per.select("*", parts).filter(F.col("fold") != F.col("part")).groupBy("part", "i", "v", "t").agg(F.sum("c").alias("c")))
+        is_num = F.col("i").isin([i for i, n in enumerate(cols) if n in num]) if num else F.lit(False)
+        med = {(r["part"], r["i"]): r["value"] for r in quantiles(
+            c.filter(is_num & F.col("v").isNotNull()), ["part", "i"], "v", "c", [0.5]).collect()}  # a number per column
+        gap = {(r["part"], r["i"]) for r in c.filter(is_num & F.col("v").isNull()).select("part", "i").distinct().collect()}
+        w = Window.partitionBy("part", "i").orderBy(F.desc("c"), F.asc_nulls_last("t"))
+        top: dict = {}
+        for r in (c.filter(~is_num).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max_levels)
+                  .orderBy("part", "i", "r").collect()):  # max_levels names per column
+            top.setdefault((r["part"], r["i"]), []).append(r["t"])
+        return [cls([("num", n, med.get((f, i), 0.0), (f, i) in gap) if n in num else ("cat", n, top.get((f, i), []), None)
+                     for i, n in enumerate(cols)]) for f in range(n_folds)]
 
     def columns(self) -> list[tuple[str, Column]]:
         out = []
@@ -55,14 +66,14 @@ class Encoder:
                 if gap:
                     out.append((f"{c}__missing", miss.cast("double")))
             else:
-                hits = [F.col(c).eqNullSafe(F.lit(v)) for v in a]
+                hits = [F.col(c).cast("string").eqNullSafe(F.lit(v)) for v in a]
                 out += [(f"{c}={v}", h.cast("double")) for v, h in zip(a, hits)]
                 rest = ~F.coalesce(F.greatest(*hits) if len(hits) > 1 else hits[0], F.lit(False)) if hits else F.lit(True)
                 out.append((f"{c}=__other__", rest.cast("double")))
         return out
 
 
-def _best_splits(long: DataFrame, min_leaf: Column) -> DataFrame:
+def _best_splits(long: DataFrame) -> DataFrame:
     """(partition, node, feature, threshold): the split with least Gini impurity per node."""
     by = ["partition", "node", "feature"]
     c = long.groupBy(*by, "v").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.max("min_leaf").alias("min_leaf"))
@@ -89,7 +100,7 @@ def _best_splits(long: DataFrame, min_leaf: Column) -> DataFrame:
         "partition", "node", F.col("b.feature").alias("feature"), F.col("b.thr").alias("threshold"))
 
 
-def _route(splits: dict, names: list[str], partition: int) -> Column:
+def _route(splits: dict, partition: int) -> Column:
     """Node id of a row under the splits of one partition: root 1, children 2i and 2i + 1."""
     def walk(node):
         if (partition, node) not in splits:
@@ -107,13 +118,12 @@ def fit_score(df: DataFrame, n_folds: int, cols, use_relpos=False, name="tree",
     """
     df = settle(df)
     frames, names = [], {}
-    for f in range(n_folds):
-        enc = Encoder.fit(df.filter(F.col("fold") != f), list(cols), max_levels)
+    for f, enc in enumerate(Encoder.fit_all(df, n_folds, list(cols), max_levels)):
         design = ([("relative_position", F.col("relpos").cast("double"))] if use_relpos else []) + enc.columns()
         names[f] = [n for n, _ in design]
         frames.append((f, [c.alias(f"__x{i}") for i, (_, c) in enumerate(design)]))
     base = [F.col("subject"), F.col("fold"), F.col("label").cast("long").alias("y")]
-    splits, leaves, open_nodes = {}, {}, {(f, 1) for f in range(n_folds)}
+    splits, open_nodes = {}, {(f, 1) for f in range(n_folds)}
     info = {}
     for depth in range(max_depth + 1):
         parts = []
@@ -121,7 +131,7 @@ def fit_score(df: DataFrame, n_folds: int, cols, use_relpos=False, name="tree",
             nodes = [n for (p, n) in open_nodes if p == f]
             if not nodes:
                 continue
-            d = df.filter(F.col("fold") != f).select(*base, *xs).withColumn("node", _route(splits, names[f], f))
+            d = df.filter(F.col("fold") != f).select(*base, *xs).withColumn("node", _route(splits, f))
             parts.append(d.filter(F.col("node").isin(nodes)).select(
                 F.lit(f).alias("partition"), "node", "y",
                 F.array(*[F.col(f"__x{i}") for i in range(len(xs))]).alias("x")))
@@ -147,7 +157,7 @@ def fit_score(df: DataFrame, n_folds: int, cols, use_relpos=False, name="tree",
         long = long.groupBy("partition", "node", "feature", "v").agg(
             F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"), F.max("min_leaf").alias("min_leaf"))
         new = {(r["partition"], r["node"]): (r["feature"], r["threshold"])
-               for r in _best_splits(long, None).collect()}
+               for r in _best_splits(long).collect()}
         splits.update(new)
         open_nodes = {(p, c) for (p, n) in new for c in (2 * n, 2 * n + 1)}
         if not open_nodes:
@@ -160,7 +170,7 @@ def fit_score(df: DataFrame, n_folds: int, cols, use_relpos=False, name="tree",
         for (p, n), (c, k) in info.items():
             if p == f and (p, n) not in splits:
                 rate = F.when(F.col("node") == n, F.lit((k + smoothing * prior) / (c + smoothing))).otherwise(rate)
-        d = (df.filter(F.col("fold") == f).select(*base, *xs).withColumn("node", _route(splits, names[f], f))
+        d = (df.filter(F.col("fold") == f).select(*base, *xs).withColumn("node", _route(splits, f))
              .groupBy("subject", "fold", "node").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
              .select(F.lit(name).alias("feature"), "subject", "fold", F.col("node").cast("string").alias("level"),
                      "p", "n", snap(rate).alias("s")))
