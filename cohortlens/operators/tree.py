@@ -100,13 +100,21 @@ def _best_splits(long: DataFrame) -> DataFrame:
         "partition", "node", F.col("b.feature").alias("feature"), F.col("b.thr").alias("threshold"))
 
 
+def _by_partition(part: Column, cases: dict) -> Column:
+    """One expression that picks the case of a row's partition."""
+    out = F.lit(None)
+    for f, x in cases.items():
+        out = F.when(part == f, x).otherwise(out)
+    return out
+
+
 def _route(splits: dict, partition: int) -> Column:
     """Node id of a row under the splits of one partition: root 1, children 2i and 2i + 1."""
     def walk(node):
         if (partition, node) not in splits:
             return F.lit(node)
         f, thr = splits[(partition, node)]
-        return F.when(F.col(f"__x{f}") <= F.lit(thr), walk(2 * node)).otherwise(walk(2 * node + 1))
+        return F.when(F.col("x")[f] <= F.lit(thr), walk(2 * node)).otherwise(walk(2 * node + 1))
     return walk(1)
 
 
@@ -114,67 +122,56 @@ def fit_score(df: DataFrame, n_folds: int, cols, use_relpos=False, name="tree",
               smoothing=1.0, min_leaf: int | None = None):
     """(scored cells, trees). Rows need subject, fold, label and, with ``use_relpos``, relpos.
 
-    Encoders are fitted per partition; features of a partition are numbered in design order.
+    All partitions grow together in one scan per level; features of a partition are numbered in
+    design order.
     """
-    df = settle(df)
-    frames, names = [], {}
+    need = ["subject", "fold", F.col("label").cast("long").alias("y"), *(["relpos"] if use_relpos else []), *cols]
+    df = settle(df.select(*need))
+    names, design = {}, {}
     for f, enc in enumerate(Encoder.fit_all(df, n_folds, list(cols), max_levels)):
-        design = ([("relative_position", F.col("relpos").cast("double"))] if use_relpos else []) + enc.columns()
-        names[f] = [n for n, _ in design]
-        frames.append((f, [c.alias(f"__x{i}") for i, (_, c) in enumerate(design)]))
-    base = [F.col("subject"), F.col("fold"), F.col("label").cast("long").alias("y")]
-    splits, open_nodes = {}, {(f, 1) for f in range(n_folds)}
-    info = {}
+        pairs = ([("relative_position", F.col("relpos").cast("double"))] if use_relpos else []) + enc.columns()
+        names[f], design[f] = [n for n, _ in pairs], F.array(*[c for _, c in pairs]) if pairs else F.array().cast("array<double>")
+    parts = F.explode(F.array(*[F.lit(f) for f in range(n_folds)])).alias("partition")
+    # a generator keeps the optimizer from copying the design array into every mention of it
+    once = lambda c: F.explode(F.array(c))
+    train = (df.select("*", parts).filter(F.col("fold") != F.col("partition"))
+             .select("partition", "y", once(_by_partition(F.col("partition"), design)).alias("x")))
+    folds = range(n_folds)
+    splits, info, total, least = {}, {}, {}, {}
+    open_nodes = {(f, 1) for f in folds}
     for depth in range(max_depth + 1):
-        parts = []
-        for f, xs in frames:
-            nodes = [n for (p, n) in open_nodes if p == f]
-            if not nodes:
-                continue
-            d = df.filter(F.col("fold") != f).select(*base, *xs).withColumn("node", _route(splits, f))
-            parts.append(d.filter(F.col("node").isin(nodes)).select(
-                F.lit(f).alias("partition"), "node", "y",
-                F.array(*[F.col(f"__x{i}") for i in range(len(xs))]).alias("x")))
-        if not parts:
-            break
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
+        node = _by_partition(F.col("partition"), {f: _route(splits, f) for f in folds})
+        rows = train.withColumn("node", node)
+        tag = F.concat_ws(":", "partition", "node")
+        rows = rows.filter(tag.isin([f"{p}:{n}" for p, n in open_nodes]))
         stats = {(r["partition"], r["node"]): (r["n"], r["k"]) for r in rows.groupBy("partition", "node").agg(
             F.count(F.lit(1)).alias("n"), F.sum("y").alias("k")).collect()}  # <= 2^depth rows per partition
         info.update(stats)
         if depth == 0:
-            total = {f: stats[(f, 1)] for f in range(n_folds) if (f, 1) in stats}
-            leaf_min = {f: min_leaf or max(10, int(0.02 * total[f][0])) for f in total}
-        try_nodes = {k for k, (n, y) in stats.items()
-                     if depth < max_depth and n >= 2 * leaf_min[k[0]] and 0 < y < n}
-        if not try_nodes or not any(names.values()):
+            total = {f: stats[(f, 1)] for f in folds if (f, 1) in stats}
+            least = {f: min_leaf or max(10, int(0.02 * n)) for f, (n, _) in total.items()}
+        grow = {k for k, (n, y) in stats.items() if depth < max_depth and names[k[0]] and n >= 2 * least[k[0]] and 0 < y < n}
+        if not grow:
             break
-        small = F.create_map(*[F.lit(v) for f in leaf_min for v in (f, leaf_min[f])])
-        keep = F.concat_ws(":", "partition", "node").isin([f"{p}:{n}" for p, n in try_nodes])
-        long = rows.filter(keep).select("partition", "node", "y", F.posexplode("x").alias("feature", "v")).withColumn(
-            "min_leaf", small[F.col("partition")])
-        long = long.groupBy("partition", "node", "feature", "v").agg(
-            F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"), F.max("min_leaf").alias("min_leaf"))
+        long = (rows.filter(tag.isin([f"{p}:{n}" for p, n in grow]))
+                .select("partition", "node", "y", F.posexplode("x").alias("feature", "v"))
+                .groupBy("partition", "node", "feature", "v").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")))
+        floor = _by_partition(F.col("partition"), {f: F.lit(v) for f, v in least.items()})
         new = {(r["partition"], r["node"]): (r["feature"], r["threshold"])
-               for r in _best_splits(long).collect()}
+               for r in _best_splits(long.withColumn("min_leaf", floor)).collect()}
         splits.update(new)
         open_nodes = {(p, c) for (p, n) in new for c in (2 * n, 2 * n + 1)}
         if not open_nodes:
             break
-    # smoothed leaf rates
-    scored = None
-    for f, xs in frames:
-        prior = total[f][1] / total[f][0]
-        rate = F.lit(prior)
-        for (p, n), (c, k) in info.items():
-            if p == f and (p, n) not in splits:
-                rate = F.when(F.col("node") == n, F.lit((k + smoothing * prior) / (c + smoothing))).otherwise(rate)
-        d = (df.filter(F.col("fold") == f).select(*base, *xs).withColumn("node", _route(splits, f))
-             .groupBy("subject", "fold", "node").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-             .select(F.lit(name).alias("feature"), "subject", "fold", F.col("node").cast("string").alias("level"),
-                     "p", "n", snap(rate).alias("s")))
-        scored = d if scored is None else scored.unionByName(d)
+    prior = {f: k / n for f, (n, k) in total.items()}
+    leaf = {f"{p}:{n}": (k + smoothing * prior[p]) / (c + smoothing) for (p, n), (c, k) in info.items() if (p, n) not in splits}
+    rates = F.create_map(*[F.lit(x) for kv in leaf.items() for x in kv])
+    test = (df.filter(F.col("fold").isin([f for f in folds if f in total]))
+            .select("subject", "fold", "y", once(_by_partition(F.col("fold"), design)).alias("x"))
+            .withColumn("node", _by_partition(F.col("fold"), {f: _route(splits, f) for f in folds}))
+            .groupBy("subject", "fold", "node").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")))
+    scored = test.select(F.lit(name).alias("feature"), "subject", "fold", F.col("node").cast("string").alias("level"), "p", "n",
+                         snap(rates[F.concat_ws(":", "fold", "node")]).alias("s"))
     return scored, {"splits": splits, "info": info, "names": names}
 
 

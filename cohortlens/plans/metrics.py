@@ -36,9 +36,10 @@ def _(t):
     return m.average_precision_from_counts(m.score_counts(t.runs, KEYS), KEYS)
 
 
-@query("cluster_aggregate", "method condition subject mean_score:d max_score:d label:i mixed:b n:i n_pos:i", "SELECT * FROM run_subj")
+# the mean is snapped to ten digits, so it is compared as a whole number of 1e-10
+@query("cluster_aggregate", "method condition subject mean_e10:i max_score:d label:i mixed:b n:i n_pos:i", "SELECT *, round(mean_score * 1e10) AS mean_e10 FROM run_subj")
 def _(t):
-    return m.cluster_aggregate(t.runs, KEYS)
+    return m.cluster_aggregate(t.runs, KEYS).withColumn("mean_e10", F.round(F.col("mean_score") * 1e10))
 
 
 @query("patient_auc", "method condition auc:d n_pos:i n_neg:i", auc_sql(counts_sql("run_subj", MC, "mean_score"), MC))
@@ -57,9 +58,10 @@ FROM g UNPIVOT (score FOR scheme IN (mean, max, top1_mean, top2_mean, top3_mean,
 """)
 
 
-@query("aggregate_matrix", "subject scheme score:d label:i short:b", "SELECT * FROM agg_matrix")
+@query("aggregate_matrix", "subject scheme score_e10:i label:i short:b", "SELECT *, round(score * 1e10) AS score_e10 FROM agg_matrix")
 def _(t):
-    return m.aggregate_matrix(t.runs.filter("method = 'm2' AND condition = 'a'"))
+    d = m.aggregate_matrix(t.runs.filter("method = 'm2' AND condition = 'a'"))
+    return d.withColumn("score_e10", F.round(F.col("score") * 1e10))
 
 
 STRAT = """
