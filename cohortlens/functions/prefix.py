@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 HOT_ROWS = 2_000_000  # a key with more rows than this is cut into buckets
 SHARE_BUCKETS = 4096  # buckets of a uniform lead
 
@@ -65,11 +67,14 @@ def number_rows(df: DataFrame, keys, order, lead: Column, out: str, by_share=Fal
     number in [0, 1). ``hot`` says whether a hot key exists; by default one small job finds out.
     Without one this is a plain window (one shuffle). With one, the rows are written once, cut
     by ``lead``, numbered inside (key, bucket) and shifted by the totals of earlier buckets.
-    Few keys with many rows each (strata, the whole table) are passed with ``hot=True``.
+    Few keys with many rows each (strata, the whole table) are passed with ``hot=True``, which
+    skips the job and the write.
     """
     keys = list(keys)
     if hot is None:
         hot = not keys or has_hot_key(df, keys)
+        if hot and keys:
+            df = settle(df)  # read by both branches below
     if not hot:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, F.row_number().over(w).cast("long"))
