@@ -1,9 +1,10 @@
 """Queries of this subpackage and, where SQL can express them, their SQL for the cross-check."""
 
-from . import sharding, urlfilter
+from . import sharding, tokencount, urlfilter
 
 QUERIES = {
     "op2_jump_sharding": sharding.op2_jump_sharding,
+    "op7_token_counts": tokencount.op7_token_counts,
     "op8_url_filter": urlfilter.op8_url_filter,
 }
 SQL = {
