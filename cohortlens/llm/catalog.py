@@ -1,9 +1,10 @@
 """Queries of this subpackage and, where SQL can express them, their SQL for the cross-check."""
 
-from . import bpe, sharding, tokencount, urlfilter
+from . import bpe, quality, sharding, tokencount, urlfilter
 
 QUERIES = {
     "op2_jump_sharding": sharding.op2_jump_sharding,
+    "op3_quality_lines": quality.op3_quality_lines,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_token_counts": tokencount.op7_token_counts,
     "op8_url_filter": urlfilter.op8_url_filter,
