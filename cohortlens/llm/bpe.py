@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, texts_of, worker_cache
+from .common import sliced, table, worker_cache
 from .packing import Index, grouped, pack_batch, pack_ints, pack_words, unpack_batch, unpack_ints, unpack_words
 
-BLOCK = 6_000_000  # pre-tokens of a block: bounds the memory of a task, not the result
-GATHERED = 500_000  # encoded pre-tokens held before they are packed for their blocks
+BLOCK = 7_000_000  # pre-tokens of a block: bounds the memory of a task, not the result
+GATHERED = 300_000  # encoded pre-tokens held before they are packed for their blocks
 VOCABULARY = 1_000_000  # entries of a rank file; larger ones are refused, as the table is sent to every worker
 BLOCK_ROWS = "block long, n_words int, words binary, codes binary, sizes binary, rows binary"
 
@@ -60,18 +60,23 @@ def blocks_of(df: DataFrame, text: str, keep: list[str], pattern: str) -> DataFr
         index, codes, rows, held = Index(), [], [], 0
 
         def flush() -> pa.RecordBatch:
-            words = pack_words([w.encode() for w in index])
+            code = np.concatenate(codes)
+            order = np.argsort(-np.bincount(code, minlength=len(index)), kind="stable")  # frequent ones get small numbers
+            rank = np.empty(len(index), np.uint32)
+            rank[order] = np.arange(len(index), dtype=np.uint32)
+            distinct = [w.encode() for w in index]
+            words = pack_words([distinct[i] for i in order.tolist()])
             sizes = np.array([len(c) for c in codes], np.uint32)
             block = xxhash.xxh64_intdigest(b"%d %d " % (part, n_block) + words + sizes.tobytes()) - (1 << 63)
             body = pa.Table.from_batches(rows).combine_chunks().to_batches()
-            row = [[block], [len(index)], [words], [pack_ints(np.concatenate(codes))], [pack_ints(sizes)], [pack_batch(body[0])]]
+            row = [[block], [len(index)], [words], [pack_ints(rank[code])], [pack_ints(sizes)], [pack_batch(body[0])]]
             kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=["block", "n_words", "words", "codes", "sizes", "rows"])
 
         for batch in batches:
             columns, at = batch.select([f"k{i}" for i in range(len(keep))]), 0
-            for i, t in enumerate(texts_of(batch.column("text"))):
-                pieces = find(t)
+            for i in range(len(batch)):
+                pieces = find(batch.column("text")[i].as_py() or "")
                 codes.append(np.fromiter(map(index.__getitem__, pieces), np.uint32, len(pieces)))
                 held += len(pieces)
                 if held >= BLOCK:
@@ -88,7 +93,7 @@ def blocks_of(df: DataFrame, text: str, keep: list[str], pattern: str) -> DataFr
 
 
 def explode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, 1):
         for row in batch.to_pylist():
             words = unpack_words(row["words"])
             for at in range(0, len(words), 100_000):
@@ -114,12 +119,12 @@ def encode(df: DataFrame, text: str, file: bytes, pattern: str = public_tokenize
 
         def flush() -> pa.RecordBatch:
             block, local = np.concatenate(blocks), np.concatenate(locals_)
-            order = np.argsort(block, kind="stable")
+            order = np.lexsort((local, block))
             block, local = block[order], local[order].astype(np.uint32)
             rows = []
             for a, b in grouped(block):
                 some = [found[i] for i in order[a:b].tolist()]
-                rows.append((int(block[a]), pack_ints(local[a:b]), pack_ints(np.array([len(x) for x in some], np.uint32)),
+                rows.append((int(block[a]), pack_ints(np.diff(local[a:b], prepend=np.uint32(0))), pack_ints(np.array([len(x) for x in some], np.uint32)),
                              pack_ints(np.concatenate(some))))
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=["block", "locals", "lens", "ids"])
@@ -139,10 +144,10 @@ def encode(df: DataFrame, text: str, file: bytes, pattern: str = public_tokenize
             yield flush()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for row in batch.to_pylist():
                 parts = row["parts"] or []
-                local = np.concatenate([unpack_ints(p["locals"]) for p in parts] or [np.empty(0, np.uint32)])
+                local = np.concatenate([np.cumsum(unpack_ints(p["locals"]), dtype=np.uint32) for p in parts] or [np.empty(0, np.uint32)])
                 if len(local) != row["n_words"]:
                     raise RuntimeError("a block came back incomplete: its rows were replayed in another order; write the input as a table first")
                 some = np.concatenate([unpack_ints(p["lens"]) for p in parts] or [local])
@@ -153,7 +158,7 @@ def encode(df: DataFrame, text: str, file: bytes, pattern: str = public_tokenize
                 ends, done = np.cumsum(sizes, dtype=np.int64), 0
                 while done < len(sizes):  # some documents at a time
                     first = int(ends[done - 1]) if done else 0
-                    upto = max(done + 1, int(np.searchsorted(ends, first + 500_000, "right")))
+                    upto = max(done + 1, int(np.searchsorted(ends, first + 200_000, "right")))
                     code = codes[first:int(ends[upto - 1])]
                     n = lens[code]
                     stop = np.cumsum(n)
@@ -188,7 +193,7 @@ def decode(df: DataFrame, ids: str, file: bytes, keep: list[str] | None = None,
         if cache.get("decodes_by") != shared.value:
             cache["bytes_of"], cache["decodes_by"] = {i: b for b, i in read_ranks(shared.value).items()}, shared.value
         bytes_of = cache["bytes_of"].__getitem__
-        for batch in batches:
+        for batch in sliced(batches):
             some = [None if x is None else b"".join(map(bytes_of, np.frombuffer(x, "<u4").tolist())) for x in batch.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(some, pa.binary())], names=[*keep, "__decoded"])
 

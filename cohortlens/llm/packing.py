@@ -7,10 +7,10 @@ import pyarrow as pa
 import zstandard
 
 
-def pack_ints(values: np.ndarray) -> bytes:
+def pack_ints(values: np.ndarray, level: int = 3) -> bytes:
     """Unsigned integers as compressed byte planes: high bytes are mostly zero and vanish."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
-    return zstandard.compress(planes.tobytes(), 1)
+    return zstandard.compress(planes.tobytes(), level)
 
 
 def unpack_ints(packed: bytes, kind=np.uint32) -> np.ndarray:
@@ -22,7 +22,7 @@ def unpack_ints(packed: bytes, kind=np.uint32) -> np.ndarray:
 def pack_batch(batch: pa.RecordBatch) -> bytes:
     """Any columns of a few rows, as a compressed Arrow stream."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 

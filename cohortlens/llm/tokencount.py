@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import pick, table, texts_of, worker_cache
+from .common import pick, sliced, table, texts_of, worker_cache
 
 FREQUENT = 1 << 16  # entries of tier one: with MAX_PIECE at most some 6 MB
 MAX_PIECE = 64  # longer pre-tokens are left to tier two
@@ -80,7 +80,7 @@ def frequent_pieces(texts: DataFrame, size: int) -> DataFrame:
     """
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, seen = regex.compile(public_tokenizers.PATTERN).findall, Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in texts_of(batch.column("text")):
                 seen.update(find(text))
                 if len(seen) > TRACKED:
@@ -112,7 +112,7 @@ def count_tokens(df: DataFrame, text: str, path: str, keep: list[str] | None = N
             cache["counted_by"], cache["lengths"] = file, Lengths(file)
         count = cache["lengths"]
         count.tier = {p: n for p, n in zip(pieces, sizes) if n < 255}
-        for batch in batches:
+        for batch in sliced(batches):
             n = pa.array([count.of_text(t) for t in texts_of(batch.column("__text"))], pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ["__n_bytes", *names]], n], names=["__n_bytes", *names, "__n_tokens"])
 
