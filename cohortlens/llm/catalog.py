@@ -1,10 +1,11 @@
 """Queries of this subpackage and, where SQL can express them, their SQL for the cross-check."""
 
-from . import bpe, lm, quality, sharding, tokencount, urlfilter
+from . import bpe, lm, neardup, quality, sharding, tokencount, urlfilter
 
 QUERIES = {
     "op2_jump_sharding": sharding.op2_jump_sharding,
     "op3_quality_lines": quality.op3_quality_lines,
+    "op4_minhash_hamming": neardup.op4_minhash_hamming,
     "op5_interpolated_lm": lm.op5_interpolated_lm,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_token_counts": tokencount.op7_token_counts,

@@ -9,11 +9,15 @@ import zstandard
 
 def pack_ints(values: np.ndarray, level: int = 3) -> bytes:
     """Unsigned integers as compressed byte planes: high bytes are mostly zero and vanish."""
+    if not len(values):
+        return b""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
     return zstandard.compress(planes.tobytes(), level)
 
 
 def unpack_ints(packed: bytes, kind=np.uint32) -> np.ndarray:
+    if not packed:
+        return np.empty(0, kind)
     width = np.dtype(kind).itemsize
     planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(width, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
