@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their SQL for the cross-check."""
 
-from . import bpe, lm, neardup, quality, sharding, tokencount, urlfilter
+from . import bpe, decontaminate, lm, neardup, quality, sharding, tokencount, urlfilter
 
 QUERIES = {
     "op2_jump_sharding": sharding.op2_jump_sharding,
@@ -10,7 +10,9 @@ QUERIES = {
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_token_counts": tokencount.op7_token_counts,
     "op8_url_filter": urlfilter.op8_url_filter,
+    "op9_template_decontamination": decontaminate.op9_template_decontamination,
 }
 SQL = {
     "op8_url_filter": urlfilter.sql(),
+    "op9_template_decontamination": decontaminate.sql(),
 }
