@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their SQL for the cross-check."""
 
-from . import bpe, decontaminate, lm, neardup, quality, sharding, tokencount, urlfilter
+from . import bpe, decontaminate, langid, lm, neardup, quality, sharding, tokencount, urlfilter
 
 QUERIES = {
     "op2_jump_sharding": sharding.op2_jump_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_token_counts": tokencount.op7_token_counts,
     "op8_url_filter": urlfilter.op8_url_filter,
     "op9_template_decontamination": decontaminate.op9_template_decontamination,
+    "op10_language_mixture": langid.op10_language_mixture,
 }
 SQL = {
     "op8_url_filter": urlfilter.sql(),
