@@ -1,8 +1,9 @@
 """Queries of this subpackage and, where SQL can express them, their SQL for the cross-check."""
 
-from . import bpe, decontaminate, langid, lm, neardup, quality, sharding, tokencount, urlfilter
+from . import bpe, decontaminate, langid, lm, neardup, quality, sharding, tokencount, urlfilter, warc
 
 QUERIES = {
+    "op1_warc_derivatives": warc.op1_warc_derivatives,
     "op2_jump_sharding": sharding.op2_jump_sharding,
     "op3_quality_lines": quality.op3_quality_lines,
     "op4_minhash_hamming": neardup.op4_minhash_hamming,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_language_mixture": langid.op10_language_mixture,
 }
 SQL = {
+    "op1_warc_derivatives": warc.sql(),
     "op8_url_filter": urlfilter.sql(),
     "op9_template_decontamination": decontaminate.sql(),
 }
