@@ -1,5 +1,7 @@
 """Queries of this subpackage and, where SQL can express them, their SQL for the cross-check."""
 
+import corpus_pipeline
+
 from . import bpe, decontaminate, langid, lm, neardup, quality, sharding, tokencount, urlfilter, warc
 
 QUERIES = {
@@ -13,6 +15,7 @@ QUERIES = {
     "op8_url_filter": urlfilter.op8_url_filter,
     "op9_template_decontamination": decontaminate.op9_template_decontamination,
     "op10_language_mixture": langid.op10_language_mixture,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op1_warc_derivatives": warc.sql(),
