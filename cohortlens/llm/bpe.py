@@ -60,13 +60,13 @@ def blocks_of(df: DataFrame, text: str, keep: list[str], pattern: str) -> DataFr
         index, codes, rows, held = Index(), [], [], 0
 
         def flush() -> pa.RecordBatch:
-            code = np.concatenate(codes)
+            sizes, code = np.array([len(c) for c in codes], np.uint32), np.concatenate(codes)
+            codes.clear()
             order = np.argsort(-np.bincount(code, minlength=len(index)), kind="stable")  # frequent ones get small numbers
             rank = np.empty(len(index), np.uint32)
             rank[order] = np.arange(len(index), dtype=np.uint32)
             distinct = [w.encode() for w in index]
             words = pack_words([distinct[i] for i in order.tolist()])
-            sizes = np.array([len(c) for c in codes], np.uint32)
             block = xxhash.xxh64_intdigest(b"%d %d " % (part, n_block) + words + sizes.tobytes()) - (1 << 63)
             body = pa.Table.from_batches(rows).combine_chunks().to_batches()
             row = [[block], [len(index)], [words], [pack_ints(rank[code])], [pack_ints(sizes)], [pack_batch(body[0])]]

@@ -8,19 +8,23 @@ import zstandard
 
 
 def pack_ints(values: np.ndarray, level: int = 3) -> bytes:
-    """Unsigned integers as compressed byte planes: high bytes are mostly zero and vanish."""
+    """Unsigned integers as compressed byte planes: high bytes are mostly zero and vanish. One plane is copied at a time."""
     if not len(values):
         return b""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
-    return zstandard.compress(planes.tobytes(), level)
+    by_byte = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
+    squeeze = zstandard.ZstdCompressor(level=level).compressobj()
+    return b"".join([squeeze.compress(np.ascontiguousarray(by_byte[:, k])) for k in range(by_byte.shape[1])] + [squeeze.flush()])
 
 
 def unpack_ints(packed: bytes, kind=np.uint32) -> np.ndarray:
     if not packed:
         return np.empty(0, kind)
     width = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(packed), np.uint8).reshape(width, -1)
+    out = np.empty((planes.shape[1], width), np.uint8)
+    for k in range(width):
+        out[:, k] = planes[k]
+    return out.reshape(-1).view(kind)
 
 
 def pack_batch(batch: pa.RecordBatch) -> bytes:
