@@ -76,7 +76,7 @@ def mask_of(line: bytes, words: list[bytes], seen: bool, first: bool, last: bool
     solid = max(1, len(line.translate(None, SPACE)))
     symbols = (len(line) - len(line.translate(None, SYMBOLS))) / n
     distinct = len(set(words)) / n
-    bits = (n < 4, 4 <= n < 10, 10 <= n < 30, n >= 30, symbols == 0, 0 < symbols < 0.1, 0.1 <= symbols < 0.5, symbols >= 0.5,
+    bits = (n < 4, 4 <= n < 10, 10 <= n < 30, n >= 30, symbols == 0, 0 < symbols < 0.1, 0.1 <= symbols < 0.25, symbols >= 0.25,
             (len(line) - len(line.translate(None, CAPITALS))) / solid > 0.4, line.count(b"!") > 0.3 * n,
             n >= 10 and distinct < 0.3, n >= 10 and 0.3 <= distinct < 0.6, seen, line.rstrip()[-1:] in b".?!", first, last)
     return sum(1 << i for i, b in enumerate(bits) if b)
@@ -140,41 +140,40 @@ def measured(texts: list[str], model: Field) -> Iterator[tuple]:
         yield from flush()
 
 
-def fit(masks: list[np.ndarray], boiler: np.ndarray, rounds: int = 100, rate: float = 0.2, ridge: float = 1e-3) -> Field:
+def fit(masks: list[np.ndarray], boiler: np.ndarray, rounds: int = 200, rate: float = 0.2, ridge: float = 1e-4) -> Field:
     """Maximum likelihood by Adam; gradients are observed minus expected features (forward and backward sums in logs)."""
-    k, n = len(FEATURES), len(masks)
-    longest = max(len(m) for m in masks)
+    order = sorted(range(len(masks)), key=lambda i: -len(masks[i]))  # long ones first: step t works on the first live[t]
+    masks, y = [masks[i] for i in order], np.asarray(boiler, int)[order]
+    k, n, longest = len(FEATURES), len(masks), len(masks[0])
     kinds, at = np.unique(np.concatenate(masks), return_inverse=True)  # few distinct lines: weights act on those
     bits = (kinds[:, None] >> np.arange(k) & 1).astype(np.float64)
-    line, real = np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
-    ends = np.cumsum([len(m) for m in masks])
-    for i, m in enumerate(masks):
-        line[i, :len(m)], real[i, :len(m)] = at[ends[i] - len(m):ends[i]], True
-    y = np.asarray(boiler, int)
-    steps = real[:, 1:].sum()
+    size = np.array([len(m) for m in masks])
+    live = [int((size > t).sum()) for t in range(longest)]
+    line, real = np.zeros((longest, n), np.int64), np.arange(longest)[:, None] < size
+    line.T[real.T] = at
+    steps = real[1:].sum()
     seen_steps = np.zeros((2, 2))
     for label in (0, 1):
-        seen_steps[label, label] = real[y == label, 1:].sum()
+        seen_steps[label, label] = real[1:, y == label].sum()
     theta = np.zeros(k + 4)
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for it in range(1, rounds + 1):
-        e = np.stack([np.zeros((n, longest)), (bits @ theta[:k])[line]], -1)
+        e = np.stack([np.zeros((longest, n)), (bits @ theta[:k])[line]], -1)
         step = theta[k:].reshape(2, 2)
         alpha, beta = np.zeros((longest, n, 2)), np.zeros((longest, n, 2))
-        alpha[0] = e[:, 0]
+        alpha[0] = e[0]
         for t in range(1, longest):
-            into = np.logaddexp(alpha[t - 1][:, 0, None] + step[0], alpha[t - 1][:, 1, None] + step[1]) + e[:, t]
-            alpha[t] = np.where(real[:, t, None], into, alpha[t - 1])
+            before = alpha[t - 1, :live[t]]
+            alpha[t, :live[t]] = np.logaddexp(before[:, 0, None] + step[0], before[:, 1, None] + step[1]) + e[t, :live[t]]
         for t in range(longest - 2, -1, -1):
-            after = e[:, t + 1] + beta[t + 1]
-            out = np.logaddexp(step[:, 0] + after[:, 0, None], step[:, 1] + after[:, 1, None])
-            beta[t] = np.where(real[:, t + 1, None], out, 0)
-        total = np.logaddexp(alpha[-1][:, 0], alpha[-1][:, 1])
-        p = np.exp(alpha[:, :, 1] + beta[:, :, 1] - total).T * real
+            after = (e[t + 1] + beta[t + 1])[:live[t + 1]]
+            beta[t, :live[t + 1]] = np.logaddexp(step[:, 0] + after[:, 0, None], step[:, 1] + after[:, 1, None])
+        total = np.logaddexp(*alpha[size - 1, np.arange(n)].T)
+        p = np.exp(alpha[:, :, 1] + beta[:, :, 1] - total) * real
         grad = np.empty_like(theta)
-        grad[:k] = np.bincount(line.ravel(), weights=(y[:, None] * real - p).ravel(), minlength=len(kinds)) @ bits
-        pair = alpha[:-1, :, :, None] + step + (e[:, 1:].transpose(1, 0, 2) + beta[1:])[:, :, None, :] - total[None, :, None, None]
-        grad[k:] = (seen_steps - (np.exp(pair) * real[:, 1:].T[:, :, None, None]).sum((0, 1))).ravel() if longest > 1 else 0
+        grad[:k] = np.bincount(line.ravel(), weights=(y * real - p).ravel(), minlength=len(kinds)) @ bits
+        pair = alpha[:-1, :, :, None] + step + (e[1:] + beta[1:])[:, :, None, :] - total[None, :, None, None]
+        grad[k:] = (seen_steps - np.exp(pair[real[1:]]).sum(0)).ravel() if longest > 1 else 0
         grad = grad / (real.sum() + steps) - ridge * theta
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad ** 2
         theta = theta + rate * (m1 / (1 - 0.9 ** it)) / (np.sqrt(m2 / (1 - 0.999 ** it)) + 1e-9)
