@@ -47,15 +47,18 @@ def key_table(words: list[bytes]) -> np.ndarray:
     return np.array([PAD, END, *map(xxhash.xxh64_intdigest, words)], np.uint64)
 
 
-def ngram_keys(codes: np.ndarray, keys: np.ndarray, order: int) -> list[np.ndarray]:
+def ngram_keys(codes: np.ndarray, keys: np.ndarray, order: int) -> Iterator[np.ndarray]:
     """For n = 1..order the key of the n-gram that ends at each position; all start positions have one key an order."""
-    out = [keys[codes]]
-    start = codes == 0
-    with np.errstate(over="ignore"):
-        for n in range(2, order + 1):
-            before = np.concatenate([[np.uint64(PAD)], out[-1][:-1]])
-            out.append(np.where(start, np.uint64(PAD + n), mix(before * np.uint64(0xD6E8FEB86659FD93) + out[0])))
-    return out
+    last = single = keys[codes]
+    yield single
+    start = np.flatnonzero(codes == 0)
+    for n in range(2, order + 1):
+        with np.errstate(over="ignore"):
+            last = np.concatenate([[np.uint64(PAD)], last[:-1]]) * np.uint64(0xD6E8FEB86659FD93)
+            last += single
+            last = mix(last)
+            last[start] = np.uint64(PAD + n)
+        yield last
 
 
 def blocks_of(df: DataFrame, text: str, part: str, keep: list[str]) -> DataFrame:
@@ -97,7 +100,7 @@ def blocks_of(df: DataFrame, text: str, part: str, keep: list[str]) -> DataFrame
     return plain.mapInArrow(cut, "block long, words binary, codes binary, sizes binary, parts binary, rows binary")
 
 
-def opened(row: dict, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+def opened(row: dict, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Iterator[np.ndarray]]:
     """Codes, sizes, part of each position, and n-gram keys of a block."""
     codes, sizes = unpack_ints(row["codes"]), unpack_ints(row["sizes"])
     keys = key_table(unpack_words(row["words"]).to_pylist())
@@ -159,18 +162,25 @@ def resolved(df: DataFrame, text: str, part: str, keep: list[str], order: int, r
     return settle(dealt.join(per_block, "block", "left").select("*", F.size("counts").alias("n_counts")))
 
 
-def counts_of(row: dict, grams: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each order the counts (of counted, of deleted documents) of the n-gram at each position."""
-    a, b = [], []
+def counts_of(row: dict, grams: Iterator[np.ndarray], names: tuple[str, ...]) -> list[np.ndarray]:
+    """For each order the count, over the parts ``names``, of the n-gram at each position."""
+    out = []
     for n, keys in enumerate(grams, 1):
         mine = sorted((c for c in row["counts"] or [] if c["n"] == n), key=lambda c: c["range"])
         found, at = np.unique(keys, return_inverse=True)
-        for out, name in ((a, "a"), (b, "b")):
-            got = np.concatenate([unpack_ints(c[name], np.uint64) for c in mine] or [np.empty(0, np.uint64)])
-            if len(got) != len(found):
-                raise RuntimeError("a block came back incomplete: its rows were replayed in another order; write the input as a table first")
-            out.append(got[at].astype(np.float64))
-    return a, b
+        total = sum(np.concatenate([unpack_ints(c[name], np.uint64) for c in mine] or [np.empty(0, np.uint64)]) for name in names)
+        if len(total) != len(found):
+            raise RuntimeError("a block came back incomplete: its rows were replayed in another order; write the input as a table first")
+        out.append(total.astype(np.float64)[at])
+    return out
+
+
+def stretches(counts: list[np.ndarray], total: float, vocabulary: int, size: int = 200_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``estimates`` of some positions at a time: (from, to, estimates, buckets)."""
+    for lo in range(0, len(counts[0]), size):
+        before = min(lo, 1)  # the position before holds the context
+        f, bucket = estimates([c[lo - before:lo + size] for c in counts], total, vocabulary)
+        yield lo, min(lo + size, len(counts[0])), f[before:], bucket[before:]
 
 
 def estimates(counts: list[np.ndarray], total: float, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,14 +205,15 @@ def tally(order: int, total: float, vocabulary: int):
             for i in range(len(batch)):
                 row = batch.slice(i, 1).to_pylist()[0]
                 codes, _, part, grams = opened(row, order)
-                take = (part == DELETED) & (codes != 0)
-                if not take.any():
+                used = (part == DELETED) & (codes != 0)
+                if not used.any():
                     continue
-                f, bucket = estimates(counts_of(row, grams)[0], total, vocabulary)
-                with np.errstate(divide="ignore"):
-                    q = np.where(f[take, 1:] > 0, np.rint(GRID * np.log2(f[take, 1:] * (vocabulary + 1))), NEVER).astype(np.int64)
-                cells, n = np.unique(np.column_stack([bucket[take], q]), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cells.T], pa.array(n.astype(np.int64))], names=["bucket", *names, "n"])
+                for lo, hi, f, bucket in stretches(counts_of(row, grams, ("a",)), total, vocabulary):
+                    take = used[lo:hi]
+                    with np.errstate(divide="ignore"):
+                        q = np.where(f[take, 1:] > 0, np.rint(GRID * np.log2(f[take, 1:] * (vocabulary + 1))), NEVER).astype(np.int64)
+                    cells, n = np.unique(np.column_stack([bucket[take], q]), axis=0, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cells.T], pa.array(n.astype(np.int64))], names=["bucket", *names, "n"])
     return count, ", ".join(f"{c} long" for c in ["bucket", *names, "n"])
 
 
@@ -234,16 +245,15 @@ def scores(order: int, total: float, vocabulary: int, lam: np.ndarray):
             for i in range(len(batch)):
                 row = batch.slice(i, 1).to_pylist()[0]
                 codes, sizes, _, grams = opened(row, order)
-                a, b = counts_of(row, grams)
-                both = [x + y for x, y in zip(a, b)]
-                f, bucket = estimates(both, total, vocabulary)
+                both, p = counts_of(row, grams, ("a", "b")), np.empty(len(codes))
+                for lo, hi, f, bucket in stretches(both, total, vocabulary):
+                    p[lo:hi] = np.log10(np.einsum("ij,ij->i", f, lam[bucket]))
                 real = codes != 0
                 doc = np.repeat(np.arange(len(sizes)), sizes)[real]
-                summed = lambda x: np.bincount(doc, weights=x, minlength=len(sizes))
-                p = np.log10((f * lam[bucket]).sum(1)[real])
-                base = np.log10((both[0][real] + 0.5) / (total + 0.5 * (vocabulary + 1)))
+                summed = lambda x: np.bincount(doc, weights=x[real], minlength=len(sizes))
+                base = np.log10((both[0] + 0.5) / (total + 0.5 * (vocabulary + 1)))
                 rows = unpack_batch(row["rows"])
-                made = [pa.array(sizes.astype(np.int64) - 1), pa.array(summed(both[0][real] > 0).astype(np.int64)), pa.array(summed(base)), pa.array(summed(p))]
+                made = [pa.array(sizes.astype(np.int64) - 1), pa.array(summed(both[0] > 0).astype(np.int64)), pa.array(summed(base)), pa.array(summed(p))]
                 yield pa.RecordBatch.from_arrays([*rows.columns, *made], names=[*rows.schema.names, "n_tokens", "n_known", "base_score", "score"])
     return score
 
