@@ -6,9 +6,10 @@ is therefore filed once for each position that may be wrong, under the other pos
 At similarity 0.8 a position differs with probability 0.2, so 80 positions differ in more than 31 places with
 probability below 3e-5; pairs under the distance are then confirmed on the full shingle sets.
 
-Equal sets are one class from the start. Inside a bucket all members are first linked to its smallest one;
-only buckets that the confirmed links leave in several components are compared further, and only across
-components. So a group of copies costs as many comparisons as it has members.
+Equal sets are one class from the start. Inside a bucket all members are first compared with its smallest one, the
+centre of a star. What the confirmed links leave apart is compared further, but only where it can matter: counts of
+what members share with the centre rule most pairs out (``possible``). So a group of copies costs about as many
+comparisons as it has members, and no link is lost.
 """
 
 from __future__ import annotations
@@ -143,22 +144,53 @@ def sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int) ->
     return settle(found.join(needed, ["id", "set_id"], "left_semi").select("id", "set").dropDuplicates(["id"]))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, similarity: int) -> DataFrame:
-    """Links (u, v) among the pairs: 100 * intersection >= similarity * union of the full sets."""
+def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) with ``na``, ``nb``, ``both`` (sizes of the full sets and of their intersection) and ``novel``: what only b has."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            keep = []
+            sizes, novel = [], []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                few, many = (one, two) if len(one) <= len(two) else (two, one)
-                at = np.minimum(np.searchsorted(many, few), len(many) - 1)
-                both = int((many[at] == few).sum())
-                keep.append(100 * both >= similarity * (len(one) + len(two) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).rename_columns(["u", "v"])
+                shared = one[np.minimum(np.searchsorted(one, two), len(one) - 1)] == two
+                sizes.append((len(one), len(two), int(shared.sum())))
+                novel.append(two[~shared].tobytes())
+            counts = [pa.array(c, pa.int64()) for c in zip(*sizes)] or [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *counts, pa.array(novel, pa.binary())], names=["a", "b", "na", "nb", "both", "novel"])
     sets = sets_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width)
     kind = classes.schema["id"].dataType.simpleString()
     full = (pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a"))
-    return settle(full.select("a", "b", "x", "y").mapInArrow(check, f"u {kind}, v {kind}"))
+    return settle(full.select("a", "b", "x", "y").mapInArrow(check, f"a {kind}, b {kind}, na long, nb long, both long, novel binary"))
+
+
+def linked(checked: DataFrame, similarity: int) -> DataFrame:
+    return checked.filter(100 * F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def explode_novel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches):
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("novel").to_pylist()]
+        rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows), pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))], names=["a", "b", "h"])
+
+
+def possible(stars: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of members of one star that may be similar although one of them is not linked to the star's centre.
+
+    Two members share at most what each shares with the centre, and what is novel to it in both. So for a member u that
+    misses the centre, a partner must have a novel shingle in common with u, or be so small that u's part of the centre alone
+    is enough: similarity * size <= (100 + similarity) * both - similarity * size of u. Every other pair is ruled out by count.
+    """
+    miss = 100 * F.col("both") < similarity * (F.col("na") + F.col("nb") - F.col("both"))
+    short = stars.filter(miss).select("a", F.col("b").alias("x"), ((100 + similarity) * F.col("both") - similarity * F.col("nb")).alias("room"))
+    widest = short.groupBy("a").agg(F.max("room").alias("widest"))
+    some = stars.join(widest, "a")
+    small = some.filter(similarity * F.col("nb") <= F.col("widest")).select("a", F.col("b").alias("y"), (similarity * F.col("nb")).alias("need"))
+    by_size = short.join(small, "a").filter("need <= room AND x <> y").select("x", "y")
+    kind = stars.schema["a"].dataType.simpleString()
+    novel = some.select("a", "b", "novel").mapInArrow(explode_novel, f"a {kind}, b {kind}, h long")
+    of_short = stars.filter(miss).select("a", "b", "novel").mapInArrow(explode_novel, f"a {kind}, b {kind}, h long").withColumnRenamed("b", "x")
+    by_novel = of_short.join(novel.withColumnRenamed("b", "y"), ["a", "h"]).filter("x <> y").select("x", "y")
+    return by_size.unionByName(by_novel).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def cluster(df: DataFrame, key: str, text: str, width: int = 5, similarity: int = SIMILARITY) -> DataFrame:
@@ -177,21 +209,28 @@ def cluster(df: DataFrame, key: str, text: str, width: int = 5, similarity: int
     filed = classes.select("id", "signature").mapInArrow(chunk_keys, f"key long, id {docs.schema['doc_id'].dataType.simpleString()}")
     shared = filed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key", "first")
     members = settle(filed.join(shared, "key"))
-    stars = settle(near(members.filter("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), classes))
-    links = confirm(stars, docs, classes, width, similarity)
-    linked = components(links)
+    stars = confirm(settle(near(members.filter("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), classes)), docs, classes, width)
+    links = linked(stars, similarity)
+    groups = components(links)
 
-    placed = members.join(linked.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    group_of = groups.withColumnRenamed("node", "id")
+    placed = members.join(group_of, "id", "left").select("key", "first", "id", F.coalesce("component", "id").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
-    open_ = placed.join(split, "key")
-    across = (open_.alias("x").join(open_.alias("y"), "key").filter("x.id < y.id AND x.c <> y.c")
-              .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
-    rest = settle(near(across, classes))
+    open_ = settle(placed.join(split, "key"))
+    # members whose signature is far from their bucket's first one are compared inside the bucket
+    far = open_.filter("first <> id").join(stars.select(F.col("a").alias("first"), F.col("b").alias("id")), ["first", "id"], "left_anti").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
+    inside = far.join(open_.select("key", F.col("id").alias("y"), F.col("c").alias("cy")), "key").filter("x <> y AND cx <> cy")
+    inside = inside.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    apart = (possible(stars, similarity).unionByName(inside).distinct().join(stars, ["a", "b"], "left_anti")
+             .join(group_of.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
+             .join(group_of.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+             .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    rest = settle(near(apart, classes))
     if rest.head(1):
-        linked = components(links.unionByName(confirm(rest, docs, classes, width, similarity)))
+        groups = components(links.unionByName(linked(confirm(rest, docs, classes, width), similarity)))
 
     classed = found.select("doc_id", "set_id").join(classes.select("set_id", F.col("id").alias("class_id")), "set_id")
-    placed = classed.join(linked.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    placed = classed.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = known.select("doc_id", "n_shingles").join(placed, "doc_id", "left").select(
         "doc_id", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
     nameless = each.filter("doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
