@@ -27,19 +27,14 @@ UNITS = ["mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "y
          "dollar", "dollars", "cent", "cents", "euro", "euros", "percent", "degree", "degrees", "meter", "meters", "metre", "metres"]
 
 
-def is_number(c: Column) -> Column:
-    first = F.substring(c, 1, 1)
-    return (first >= "0") & (first <= "9")
-
-
 def canonical(tokens: Column) -> Column:
-    """Each token as a literal or a typed placeholder."""
+    """Each token as a literal or a typed placeholder. Most tokens begin with a small letter, so that is asked first."""
     def one(t: Column, i: Column) -> Column:
-        first = F.substring(t, 1, 1)
-        begins = first.isin(*BREAK)
-        unit = F.lower(t).isin(UNITS) & is_number(F.get(tokens, i - 1))
-        return (F.when(begins, F.lower(F.ltrim(t, F.lit(BREAK)))).when(is_number(t), F.lit("<num>"))
-                .when(unit, F.lit("<unit>")).when((first != F.lower(first)) & (i > 0), F.lit("<name>")).otherwise(F.lower(t)))
+        code, low, first = F.ascii(t), F.lower(t), F.substring(t, 1, 1)
+        unit = low.isin(UNITS) & F.ascii(F.get(tokens, i - 1)).between(48, 57)
+        return (F.when(code.between(97, 122), F.when(unit, F.lit("<unit>")).otherwise(low)).when(code.between(48, 57), F.lit("<num>"))
+                .when(code < 65, F.lower(F.ltrim(t, F.lit(BREAK)))).when(unit, F.lit("<unit>"))
+                .when((first != F.lower(first)) & (i > 0), F.lit("<name>")).otherwise(low))
     return F.transform(tokens, one)
 
 
