@@ -12,9 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
-
-HOT_ROWS = 2_000_000  # a key with more rows than this is cut into buckets
 SHARE_BUCKETS = 4096  # buckets of a uniform lead
 
 
@@ -53,31 +50,20 @@ def group_stats(df: DataFrame, keys, *aggs: Column) -> DataFrame:
     return null_safe_join(df, stats, keys)
 
 
-def has_hot_key(df: DataFrame, keys) -> bool:
-    """Does any key own more than HOT_ROWS rows? One aggregate over the key columns alone."""
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    return bool(n.filter(F.col("__rows") > HOT_ROWS).head(1))
+def text_lead(c: Column) -> Column:
+    """Lead of a text order: its first three code points as one number."""
+    code = lambda i: F.ascii(F.substring(c, i, 1)).cast("long")
+    return code(1) * F.lit(1 << 42) + code(2) * F.lit(1 << 21) + code(3)
 
 
-def number_rows(df: DataFrame, keys, order, lead: Column, out: str, by_share=False,
-                hot: bool | None = None) -> DataFrame:
+def number_rows(df: DataFrame, keys, order, lead: Column, out: str, by_share=False) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` that survives a hot key.
 
-    ``lead`` must not decrease along ``order``: a bucket number, or with ``by_share`` a uniform
-    number in [0, 1). ``hot`` says whether a hot key exists; by default one small job finds out.
-    Without one this is a plain window (one shuffle). With one, the rows are written once, cut
-    by ``lead``, numbered inside (key, bucket) and shifted by the totals of earlier buckets.
-    Few keys with many rows each (strata, the whole table) are passed with ``hot=True``, which
-    skips the job and the write.
+    ``lead`` must not decrease along ``order``: a bucket number, or with ``by_share`` a uniform number
+    in [0, 1). Rows are always cut by it, numbered inside (key, bucket) and shifted by the totals of
+    earlier buckets: one plan for tables of every size.
     """
     keys = list(keys)
-    if hot is None:
-        hot = not keys or has_hot_key(df, keys)
-        if hot and keys:
-            df = settle(df)  # read by both branches below
-    if not hot:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("long"))
     if not keys:
         df, keys = df.withColumn("__all", F.lit(1)), ["__all"]
     share = F.floor(lead * F.lit(float(SHARE_BUCKETS))) if by_share else lead

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.prefix import group_stats, null_safe_join, number_rows
+from ..functions.prefix import group_stats, null_safe_join, number_rows, spread, text_lead
 from ..functions.rules import canonical_text
 from ..session import settle
 from . import metrics as m
@@ -90,7 +90,7 @@ def auc_vs_label(subj: DataFrame, cols, label="label", first="subject") -> DataF
     d = settle(subj.select(first, F.col(label).alias("label"), F.inline(arms)).filter(F.col("level").isNotNull()))
     seen = d.filter(F.col("column").isin(*text)).groupBy("column", "level").agg(F.min(first).alias("__f")) if text else \
         d.limit(0).select("column", "level", F.col(first).alias("__f"))
-    codes = number_rows(seen, ["column"], ["__f", "level"], F.lit(0), "code", hot=False)
+    codes = number_rows(seen, ["column"], ["__f", "level"], text_lead(F.col("__f").cast("string")) if dict(seen.dtypes)["__f"] == "string" else spread(F.col("__f")), "code")
     j = null_safe_join(d, codes.drop("__f"), ["column", "level"], "left").withColumn("score", F.coalesce("num", F.col("code").cast("double")))
     lv = d.groupBy("column").agg(F.countDistinct("level").alias("n_levels"), F.count(F.lit(1)).alias("n"))
     a = m.auc(j, ["column"])
@@ -113,16 +113,16 @@ def eta_squared(subj: DataFrame, cols, score="score", label="label", per_level=4
                                            F.when(~ok, "too many levels").alias("skipped"))
 
 
-def connected_components(edges: DataFrame, src="src", dst="dst", max_rounds=50) -> DataFrame:
+def connected_components(edges: DataFrame, src="src", dst="dst") -> DataFrame:
     """(node, component) where component is the smallest node id reachable.
 
     Alternates neighbour minimum and pointer jumping, so a chain of length L needs about log L
-    rounds; each round is written to the shared folder, so lineage stays short.
+    rounds, and the loop ends when one changes nothing; each round is written to the shared folder.
     """
     e = edges.select(F.col(src).alias("x"), F.col(dst).alias("y")).distinct()
     both = settle(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     lab = settle(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("component")))
-    for _ in range(max_rounds):
+    while True:
         near = (both.join(lab.select(F.col("node").alias("y"), F.col("component").alias("c")), "y")
                 .groupBy(F.col("x").alias("node")).agg(F.min("c").alias("__n")))
         step = lab.join(near, "node").select("node", F.col("component").alias("__old"), F.least("component", "__n").alias("component"))
@@ -132,7 +132,6 @@ def connected_components(edges: DataFrame, src="src", dst="dst", max_rounds=50)
         if not new.filter(F.col("component") != F.col("__old")).head(1):
             return new.select("node", "component")
         lab = new.select("node", "component")
-    raise RuntimeError("components did not settle")
 
 
 def site_components(df: DataFrame, institution="institution", device="device"):

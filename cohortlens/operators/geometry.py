@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw, unit_draw
-from ..functions.prefix import group_stats, has_hot_key, null_safe_join, number_rows, spread
+from ..functions.prefix import group_stats, null_safe_join, number_rows, spread
 from ..session import settle
 
 
@@ -129,24 +129,21 @@ def corrupted_order(df: DataFrame, fractions, draws: int, keys=("volume",), pos=
     among themselves; the others keep theirs. Adds fraction, draw and the new position ``pos``.
     """
     keys = list(keys)
-    hot = has_hot_key(df, keys)  # copies of a series are as long as the series
-    if hot:
-        df = settle(df)
     arms = F.array(*[F.struct(F.lit(float(f)).alias("fraction"), F.lit(d).cast("long").alias("draw"))
                      for f in fractions for d in range(draws)])
-    d = number_rows(df, keys, [pos], order_lead(pos), "__rank", hot=hot)
+    d = number_rows(df, keys, [pos], order_lead(pos), "__rank")
     d = settle(group_stats(d, keys, F.count(F.lit(1)).alias("__len")))
     d = d.select("*", F.inline(arms))
     grp = ["fraction", "draw", *keys]
     h = unit_draw(seed, "pick", F.col("fraction"), F.col("draw"), *[F.col(k) for k in keys], F.col("__rank"))
-    d = number_rows(d.withColumn("__h", h), grp, ["__h", "__rank"], F.col("__h"), "__pick", by_share=True, hot=hot)
+    d = number_rows(d.withColumn("__h", h), grp, ["__h", "__rank"], F.col("__h"), "__pick", by_share=True)
     moving = F.col("__pick") <= F.bround(F.col("fraction") * F.col("__len"))
     moved, kept = d.filter(moving), d.filter(~moving)
     places = number_rows(moved.select(*grp, "__rank"), grp, ["__rank"],
-                         spread(F.col("__rank")), "__slot", hot=hot).withColumnRenamed("__rank", "__new")
+                         spread(F.col("__rank")), "__slot").withColumnRenamed("__rank", "__new")
     h2 = unit_draw(seed, "place", F.col("fraction"), F.col("draw"), *[F.col(k) for k in keys], F.col("__rank"))
     shuffled = number_rows(moved.withColumn("__h", h2), grp, ["__h", "__rank"], F.col("__h"), "__slot",
-                           by_share=True, hot=hot)
+                           by_share=True)
     moved = null_safe_join(shuffled, places, [*grp, "__slot"]).withColumn(pos, F.col("__new"))
     kept = kept.withColumn(pos, F.col("__rank"))
     cols = [*df.columns, "fraction", "draw"]

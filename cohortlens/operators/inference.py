@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.prefix import null_safe_join, running, spread
-from ..functions.rules import usable
+from ..functions.rules import snap, usable
 from . import metrics as m
 from .metrics import wilson
 
@@ -54,6 +54,8 @@ def placements(df: DataFrame, keys=(), row="row_id", score="score", label="label
 def delong(df: DataFrame, a: str, b: str, keys=(), row="row_id", label="label") -> DataFrame:
     """Two correlated AUCs on the same rows: variances, covariance and z, with refusal reasons."""
     keys = list(keys)
+    # a row that lacks one score is in neither arm: placements are taken after both scores are known
+    df = df.filter(usable(F.col(label), F.col(a)) & usable(F.col(label), F.col(b))).withColumns({a: snap(F.col(a)), b: snap(F.col(b))})
     pa = placements(df, keys, row, a, label).withColumnRenamed("v", "va")
     pb = placements(df, keys, row, b, label).select(*keys, row, F.col("v").alias("vb"))
     j = null_safe_join(pa, pb, [*keys, row])
@@ -114,14 +116,11 @@ def paired_differences(df: DataFrame, keys=(), subject="subject", score="score",
     return g.filter(both).withColumn("diff", F.col("mean_pos") - F.col("mean_neg")), g.filter(~both)
 
 
-EXACT_MAX = 100  # fixed value: up to this many non-zero differences the exact distribution is used
-
-
-def wilcoxon_signed_rank(diffs: DataFrame, keys=(), value="diff") -> DataFrame:
-    """Zeros dropped, midranks of |d|, W+ and W-; exact p up to 100 differences, else normal.
+def wilcoxon_signed_rank(diffs: DataFrame, keys=(), value="diff", exact_max=100) -> DataFrame:
+    """Zeros dropped, midranks of |d|, W+ and W-; exact p up to ``exact_max`` differences, else normal; the bound is reported.
 
     Ranks and sums are joins and aggregates over any size; only a group already known to hold at
-    most 100 differences sends its ranks to the exact count.
+    most ``exact_max`` differences sends its ranks to the exact count.
     """
     keys = list(keys)
     d = diffs.filter((F.col(value) != 0) & F.col(value).isNotNull()).withColumn("__a", F.round(F.abs(value), 12))
@@ -133,17 +132,17 @@ def wilcoxon_signed_rank(diffs: DataFrame, keys=(), value="diff") -> DataFrame:
     g = null_safe_join(g, t, keys)
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
-    g = g.withColumn("z", F.when((F.col("n") > EXACT_MAX) & (var > 0), (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(var)))
-    small = null_safe_join(d, g.filter(F.col("n") <= EXACT_MAX).select(*keys, F.col("n").alias("__n")), keys)
+    g = g.withColumn("z", F.when((F.col("n") > exact_max) & (var > 0), (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(var)))
+    small = null_safe_join(d, g.filter(F.col("n") <= exact_max).select(*keys, F.col("n").alias("__n")), keys)
     tails = small.groupBy(*keys).agg(_exact_tail(F.col("rank"), (F.col(value) > 0)).alias("p_exact")) if keys else \
         small.agg(_exact_tail(F.col("rank"), (F.col(value) > 0)).alias("p_exact"))
     g = null_safe_join(g, tails, keys, "left") if keys else g.crossJoin(F.broadcast(tails))
-    return g.withColumn("p", F.when(F.col("z").isNotNull(), normal_p(F.coalesce("z", F.lit(0.0)))).otherwise(F.col("p_exact"))).drop("p_exact", "ties")
+    return g.withColumn("p", F.when(F.col("z").isNotNull(), normal_p(F.coalesce("z", F.lit(0.0)))).otherwise(F.col("p_exact"))).withColumn("exact_max", F.lit(exact_max)).drop("p_exact", "ties")
 
 
 @F.pandas_udf(DoubleType())
 def _exact_tail(rank: pd.Series, positive: pd.Series) -> float:
-    """Two-sided tail of the subset sums of at most 100 doubled ranks."""
+    """Two-sided tail of the subset sums of doubled ranks."""
     twice = [int(round(2 * x)) for x in rank]
     ways = [1]
     for x in twice:
@@ -152,23 +151,37 @@ def _exact_tail(rank: pd.Series, positive: pd.Series) -> float:
     return min(1.0, 2 * min(sum(ways[: w + 1]), sum(ways[w:])) / 2 ** len(twice)) if twice else None
 
 
-def _log_choose_tail(n: Column, k: Column) -> Column:
-    """Sum of C(n, i) / 2^n for i = 0..k by a running ratio in log space."""
-    zero = F.struct((-n * F.lit(math.log(2.0))).alias("term"), F.lit(0.0).cast("double").alias("total"))
-    step = lambda acc, i: F.struct(
-        F.when(i == 0, acc["term"]).otherwise(acc["term"] + F.log((n - i + 1) / i)).alias("term"),
-        (acc["total"] + F.exp(F.when(i == 0, acc["term"]).otherwise(acc["term"] + F.log((n - i + 1) / i)))).alias("total"))
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), k.cast("long")), zero, step)["total"]
-
-
-def sign_test(diffs: DataFrame, keys=(), value="diff", max_exact=10_000) -> DataFrame:
-    """Exact binomial sign test; above ``max_exact`` signs the normal form (difference below 1e-4)."""
+@F.pandas_udf(DoubleType())
+def _half_binomial_tail(n: pd.Series, k: pd.Series) -> pd.Series:
+    """P(X <= k) of n fair coins: the regularised incomplete beta function at 1/2 by its continued fraction."""
+    def tail(n, k):
+        if not n > 0:
+            return None
+        if 2 * k >= n:  # past the middle: by symmetry
+            return 1.0 - tail(n, n - k - 1) if k < n else 1.0
+        a, b, x = n - k, k + 1.0, 0.5
+        c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1.0))
+        h, i, step = d, 0, 0.0
+        while abs(step - 1.0) > 1e-14:
+            i += 1
+            if i > 1000 + 50 * math.sqrt(n):
+                raise ArithmeticError(f"no convergence for {n} signs")
+            step = 1.0
+            for term in (i * (b - i) * x / ((a + 2 * i - 1) * (a + 2 * i)), -(a + i) * (a + b + i) * x / ((a + 2 * i) * (a + 2 * i + 1))):
+                d, c = 1.0 / (1.0 + term * d), 1.0 + term / c
+                step *= d * c
+            h *= step
+        log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + (a + b) * math.log(0.5)
+        return math.exp(log_front) * h / a
+    return pd.Series([tail(float(i), float(j)) for i, j in zip(n, k)], dtype="float64")
+
+
+def sign_test(diffs: DataFrame, keys=(), value="diff") -> DataFrame:
+    """Exact two-sided binomial sign test, for any number of signs."""
     g = diffs.groupBy(*keys).agg(F.count_if(F.col(value) > 0).alias("n_pos"), F.count_if(F.col(value) < 0).alias("n_neg"),
                                  F.count_if(F.col(value) == 0).alias("n_zero"))
-    n, k = (F.col("n_pos") + F.col("n_neg")).cast("double"), F.least("n_pos", "n_neg")
-    exact = F.least(F.lit(1.0), 2 * _log_choose_tail(n, k))
-    far = F.least(F.lit(1.0), 2 * normal_cdf((k + 0.5 - n / 2) / F.sqrt(n / 4)))
-    return g.withColumn("p", F.when(n == 0, None).when(n <= max_exact, exact).otherwise(far))
+    n, k = (F.col("n_pos") + F.col("n_neg")).cast("double"), F.least("n_pos", "n_neg").cast("double")
+    return g.withColumn("p", F.least(F.lit(1.0), 2 * _half_binomial_tail(n, k)))
 
 
 def concordance(diffs: DataFrame, keys=(), value="diff", sign=1) -> DataFrame:
@@ -200,7 +213,11 @@ def _chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
         b = z + 1 - a
         c, d = 1e300, 1.0 / b
         h = d
-        for i in range(1, 500):
+        i = 0
+        while True:
+            i += 1
+            if i > 10_000:
+                raise ArithmeticError(f"no convergence for chi-square {v} with {k} degrees of freedom")
             an = -i * (i - a)
             b += 2
             d = an * d + b
@@ -217,41 +234,55 @@ def chi2_p(x: Column, df: Column) -> Column:
     return _chi2_sf(x.cast("double"), df.cast("double"))
 
 
-def confound_screen(df: DataFrame, cols, label="label", few=6) -> DataFrame:
-    """Each column against the label: chi-square for categories, else a rank test, sorted by p.
+def confound_screen(df: DataFrame, cols, label="label", few=6, unit="row", subject="subject") -> DataFrame:
+    """Each column against the label, one row each: chi-square for categories, else a rank test.
 
-    One plan for all columns: they are unpivoted, counted per (column, value, label), and both
-    statistics come from those counts.
+    ``unit="subject"`` tests one row per subject: its largest label and the smallest value of each column. Negative or
+    missing labels leave. A missing category is a level of its own; missing numbers leave the rank test, and so do
+    classes with fewer than two numbers. Two-by-two tables have the continuity correction; two classes get the
+    Mann-Whitney normal p with tie and continuity correction, more the Kruskal-Wallis one. One plan for all columns:
+    they are unpivoted, counted per (column, value, label), and all statistics come from those counts.
     """
     types = dict(df.dtypes)
     numeric = {c for c in cols if types[c] in ("tinyint", "smallint", "int", "bigint", "float", "double") or types[c].startswith("decimal")}
-    arms = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
-    c = df.select(F.col(label).alias("y"), F.inline(arms)).filter(F.col("value").isNotNull()).groupBy("column", "value", "y").agg(
-        F.count(F.lit(1)).alias("c"))
-    lv = c.groupBy("column").agg(F.countDistinct("value").alias("levels"), F.countDistinct("y").alias("classes"), F.sum("c").alias("total"))
-    chi = ~F.col("column").isin(*numeric) | (F.col("levels") <= few) if numeric else F.lit(True)
-    kind = lv.withColumn("test", F.when(chi, "chi-square").when(F.col("classes") == 2, "mann-whitney").otherwise("kruskal-wallis"))
-    # chi-square = N (sum O^2 / (R C) - 1), absent cells add nothing
-    rows = c.groupBy("column", "value").agg(F.sum("c").alias("r"))
-    cls = c.groupBy("column", "y").agg(F.sum("c").alias("k"))
+    d = df if unit == "row" else df.groupBy(subject).agg(F.max(label).alias(label), *[F.min(c).alias(c) for c in cols])
+    arms = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(c in numeric).alias("num"), F.col(c).cast("string").alias("value")) for c in cols])
+    c = d.filter(F.col(label) >= 0).select(F.col(label).alias("y"), F.inline(arms)).groupBy("column", "num", "value", "y").agg(F.count(F.lit(1)).alias("c"))
+    known = c.groupBy("column").agg(F.countDistinct("value").alias("known"))  # missing is no value here
+    c = c.join(known, "column").withColumn("ranked", F.col("num") & (F.col("known") > few)).filter(~F.col("ranked") | F.col("value").isNotNull())
+    big = c.groupBy("column", "y").agg(F.sum("c").alias("k"))
+    c = c.join(big, ["column", "y"]).filter(~F.col("ranked") | (F.col("k") >= 2)).drop("k").withColumn("value", F.coalesce("value", F.lit("NA")))
+    lv = c.groupBy("column").agg(F.countDistinct("value").alias("levels"), F.countDistinct("y").alias("classes"), F.sum("c").alias("total"),
+                                 F.first("ranked").alias("ranked")).filter("levels >= 2 AND classes >= 2")
+    kind = lv.withColumn("test", F.when(~F.col("ranked"), "chi-square").when(F.col("classes") == 2, "mann-whitney").otherwise("kruskal-wallis"))
+    # chi-square = N (sum O^2 / (R C) - 1), absent cells add nothing; all |O - E| of a two-by-two table are equal
+    rows, cls = c.groupBy("column", "value").agg(F.sum("c").alias("r")), c.groupBy("column", "y").agg(F.sum("c").alias("k"))
     x = c.join(rows, ["column", "value"]).join(cls, ["column", "y"]).groupBy("column").agg(
         F.sum(F.col("c") * F.col("c") / (F.col("r").cast("double") * F.col("k"))).alias("q"))
-    # rank sums of the numeric columns from counts; Kruskal-Wallis with tie correction
-    num = c.filter(F.col("column").isin(*numeric)).withColumn("v", F.col("value").cast("double"))
+    inv = rows.groupBy("column").agg(F.sum(1.0 / F.col("r")).alias("ir")).join(cls.groupBy("column").agg(F.sum(1.0 / F.col("k")).alias("ik")), "column")
+    # rank sums of the numeric columns from counts, with tie correction
+    num = c.filter("ranked").withColumn("v", F.col("value").cast("double"))
     v = num.groupBy("column", "v").agg(F.sum("c").alias("t"))
     r = running(v, ["column"], ["v"], spread(F.col("v")), u="t").withColumn("rank", F.col("u") - (F.col("t") - 1) / 2.0)
     ties = v.groupBy("column").agg(F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     rs = num.join(r.select("column", "v", "rank"), ["column", "v"]).groupBy("column", "y").agg(
-        F.sum(F.col("rank") * F.col("c")).alias("R"), F.sum("c").alias("k"))
-    kw = rs.groupBy("column").agg(F.sum(F.col("R") * F.col("R") / F.col("k")).alias("h"))
-    d = kind.join(x, "column", "left").join(kw, "column", "left").join(ties, "column", "left")
-    n = F.col("total").cast("double")
-    stat = F.when(F.col("test") == "chi-square", n * (F.col("q") - 1)).otherwise(
-        (12.0 / (n * (n + 1)) * F.col("h") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n)))
-    dof = F.when(F.col("test") == "chi-square", (F.col("levels") - 1) * (F.col("classes") - 1)).otherwise(F.col("classes") - 1)
-    d = d.withColumn("statistic", stat).withColumn("dof", dof)
-    return d.withColumn("p", F.when(F.col("dof") > 0, chi2_p(F.col("statistic"), F.col("dof")))).select(
-        "column", "test", "levels", "classes", "statistic", "dof", "p")
+        F.sum(F.col("rank") * F.col("c")).alias("R"), F.sum("c").cast("double").alias("k"))
+    kw = rs.groupBy("column").agg(F.sum(F.col("R") * F.col("R") / F.col("k")).alias("h"), F.max(F.struct("y", "R", "k")).alias("top"))
+    d = kind.join(x, "column", "left").join(inv, "column", "left").join(kw, "column", "left").join(ties, "column", "left")
+    n, k1 = F.col("total").cast("double"), F.col("top.k")
+    k0 = n - k1
+    plain, off = n * (F.col("q") - 1), n * F.col("ir") * F.col("ik")
+    corrected = off * F.pow(F.greatest(F.lit(0.0), F.sqrt(F.greatest(F.lit(0.0), plain) / off) - 0.5), F.lit(2.0))
+    chi = F.when((F.col("levels") == 2) & (F.col("classes") == 2), corrected).otherwise(plain)
+    u = F.col("top.R") - k1 * (k1 + 1) / 2
+    spread_u = F.sqrt(k1 * k0 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    kruskal = (12.0 / (n * (n + 1)) * F.col("h") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
+    test = F.col("test")
+    d = d.withColumn("statistic", F.when(test == "chi-square", chi).when(test == "mann-whitney", u).otherwise(kruskal))
+    d = d.withColumn("dof", F.when(test == "chi-square", (F.col("levels") - 1) * (F.col("classes") - 1)).when(test == "kruskal-wallis", F.col("classes") - 1))
+    z = F.greatest(F.lit(0.0), F.abs(u - k1 * k0 / 2) - 0.5) / spread_u
+    p = F.when(test == "mann-whitney", normal_p(F.coalesce(z, F.lit(0.0)))).otherwise(chi2_p(F.coalesce("statistic", F.lit(0.0)), F.coalesce("dof", F.lit(1))))
+    return d.withColumn("p", p).select("column", "test", "levels", "classes", "statistic", "dof", "p")
 
 
 def alias_filter(cols, target: str, aliases=()) -> list[str]:

@@ -133,7 +133,7 @@ def split_half_tau(df: DataFrame, n_rep=200, seed=0, method="method", subject="s
     s = df.select(subject).distinct()
     reps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rep - 1).cast("long"))).alias("rep")
     h = s.select(subject, reps).withColumn("__h", unit_draw(seed, "half", F.col("rep"), F.col(subject)))
-    h = number_rows(h, ["rep"], ["__h", subject], F.col("__h"), "__r", by_share=True, hot=True)
+    h = number_rows(h, ["rep"], ["__h", subject], F.col("__h"), "__r", by_share=True)
     k = s.agg(F.count(F.lit(1)).alias("__k"))
     h = h.crossJoin(F.broadcast(k)).select("rep", subject, (F.col("__r") <= F.expr("__k div 2")).cast("int").alias("half"))
     rows = resample.subject_cells(df, [method]).withColumn("unit", F.lit("slice"))

@@ -41,11 +41,19 @@ def bundle(cells: DataFrame, keys, n_boot=2000, seed=0) -> DataFrame:
     return out
 
 
+OWN = ("subject", "volume", "slice", "label", "relpos", "n_slices", "fold")  # names that prepared tables use themselves
+
+
+def metadata_name(c: str) -> str:
+    """A metadata column keeps its name unless a prepared table has its own column of that name."""
+    return f"metadata_{c}" if c in OWN else c
+
+
 def prepare(df: DataFrame, cm: roles.ColumnMap, positive_if=None, relpos_col=None) -> DataFrame:
     """Bind roles to subject, volume, slice, label, relpos, n_slices; rows without a slice number go."""
     d, _ = roles.binarise(df, cm.label, positive_if, "__y")
     vol = F.col(cm.subject).cast("string") if cm.volume is None else F.concat_ws("|", F.col(cm.subject).cast("string"), F.col(cm.volume).cast("string"))
-    keep = [F.col(c) for c in cm.metadata if c not in ("subject", "volume", "slice", "label", "relpos", "fold")]
+    keep = [F.col(c).alias(metadata_name(c)) for c in cm.metadata]
     extra = ([F.col(cm.split).alias("__split")] if cm.split else []) + ([F.col(relpos_col).alias("__pos")] if relpos_col else [])
     d = d.select(*keep, F.col(cm.subject).cast("string").alias("subject"), vol.alias("volume"), F.col(cm.slice).try_cast("double").alias("slice"), F.col("__y").alias("label"), *extra)
     d = d.filter(F.col("slice").isNotNull())
@@ -70,28 +78,38 @@ def evaluate(d: DataFrame, n_folds: int, metadata, numeric, n_boot=2000, seed=0,
         sc = settle(b.column_scores(b.cells(d, {c: F.col(c) for c in [*metadata, "n_slices"]}), n_folds, {*numeric, "n_slices"}))
         out["univariate"] = bundle(sc, ["feature"], 0).select("feature", "slice_auc", "patient_auc", (F.col("slice_auc") >= 0.999).alias("tautology"))
     if n_perm:
-        rows = settle(d.withColumn("__id", F.xxhash64("volume", "slice", "label", "n_slices", "relpos")))
+        rows = settle(d.withColumn("__id", F.monotonically_increasing_id()))  # written once, so every reader sees one number a row
+        can = changeable(rows).head()
         p = r.permute_within(rows, n_perm, row="__id", seed=seed + 1)
         pd_ = rows.select("__id", "subject", "fold", "relpos").join(p, "__id")
         c = settle(b.encode(b.cells(pd_, b.position_features((n_bins,)), ["perm"]), n_folds, 0.0, ["perm"]))
         pos = m.auc_from_counts(c.groupBy("perm", "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), ["perm"], few=True)
         nulls = pos.select(F.lit(f"positional_{n_bins}bin").alias("baseline"), F.lit("within_volume_label_permutation").alias("kind"), "auc")
+        nulls = nulls.filter(F.lit(can["labels"]))
         blk = settle(r.permute_metadata(rows, ["n_slices"], n_perm, "__id", seed=seed + 2))
         sd = rows.select("__id", "subject", "fold", "label").join(blk, "__id")
         c2 = b.column_scores(b.cells(sd, {"volume_size": F.col("n_slices")}, ["perm"]), n_folds, {"volume_size"}, keys=["perm"])
         siz = m.auc_from_counts(c2.groupBy("perm", "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), ["perm"], few=True)
-        nulls = nulls.unionByName(siz.select(F.lit("volume_size").alias("baseline"), F.lit("metadata_block_permutation").alias("kind"), "auc"))
+        nulls = nulls.unionByName(siz.select(F.lit("volume_size").alias("baseline"), F.lit("metadata_block_permutation").alias("kind"), "auc").filter(F.lit(bool(metadata) and can["blocks"])))
         out["nulls"] = r.null_attach(out["baselines"].select(F.col("feature").alias("baseline"), F.col("slice_auc").alias("auc")), settle(nulls))
     return out
 
 
+def changeable(rows: DataFrame) -> DataFrame:
+    """Whether a permutation can change anything: labels inside a volume, metadata blocks between subjects."""
+    volumes = rows.groupBy("volume").agg((F.min("label") < F.max("label")).alias("mixed"))
+    blocks = rows.groupBy("subject").agg(F.min("n_slices").alias("lo"), F.max("n_slices").alias("hi"))
+    return volumes.agg(F.coalesce(F.bool_or("mixed"), F.lit(False)).alias("labels")).crossJoin(
+        blocks.agg((F.coalesce(F.min("lo") < F.max("hi"), F.lit(False)) & (F.count(F.lit(1)) > 1)).alias("blocks")))
+
+
 def audit(df: DataFrame, n_boot=2000, seed=0, n_bins=20, cv_folds=5, depth=3, max_levels=30, published=None, published_metric="slice_auc",
           val_as=None, positive_if=None, n_perm=20, relpos_col=None, trees=True, **columns) -> dict:
     """Full audit of one label table: roles, label, geometry, own split and subject folds, baselines, nulls, headline."""
     cm = roles.resolve_columns(df, exclude=(relpos_col,) if relpos_col else (), **columns)
     d = settle(prepare(df, cm, positive_if, relpos_col))
     types = dict(d.dtypes)
-    meta = [c for c in cm.metadata if c in types]
+    meta = [metadata_name(c) for c in cm.metadata]
     numeric = {c for c in meta if types[c] in ("tinyint", "smallint", "int", "bigint", "float", "double") or types[c].startswith("decimal")}
     opts = dict(n_boot=n_boot, seed=seed, n_perm=n_perm, depth=depth, max_levels=max_levels, n_bins=n_bins, trees=trees)
     evals = {}

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw, poisson_weight, unit_draw
-from ..functions.prefix import group_stats, has_hot_key, null_safe_join, number_rows, spread
+from ..functions.prefix import group_stats, null_safe_join, number_rows, spread
 from ..functions.rules import snap, usable
 from ..session import settle
 from . import metrics as m
@@ -27,7 +27,7 @@ def subject_cells(df: DataFrame, keys=(), subject="subject", score="score", labe
 def index_units(units: DataFrame, unit="subject") -> DataFrame:
     """(unit, idx, k): dense numbers 0..k-1 in hash order, and their count."""
     u = units.select(unit).distinct().withColumn("__h", unit_draw("idx", F.col(unit)))
-    d = number_rows(u, [], ["__h", unit], F.col("__h"), "idx", by_share=True, hot=True).drop("__h")
+    d = number_rows(u, [], ["__h", unit], F.col("__h"), "idx", by_share=True).drop("__h")
     k = u.agg(F.count(F.lit(1)).alias("k"))
     return d.withColumn("idx", F.col("idx") - 1).crossJoin(F.broadcast(k))
 
@@ -172,12 +172,11 @@ def permute_within(df: DataFrame, n_perm: int, keys=("volume",), row="row_id", v
     """
     keys = list(keys)
     base = df.select(*keys, row, value)
-    hot = has_hot_key(base, keys)
     d = base.withColumn("__h", unit_draw(seed, "base", F.col(row)))
-    a = settle(number_rows(d, keys, ["__h", row], F.col("__h"), "__i", by_share=True, hot=hot).drop("__h"))
+    a = settle(number_rows(d, keys, ["__h", row], F.col("__h"), "__i", by_share=True).drop("__h"))
     p = a.select(*keys, row, value, _perms(n_perm)).withColumn("__h", unit_draw(seed, F.col("perm"), F.col(row)))
     by = ["perm", *keys]
-    p = number_rows(p, by, ["__h", row], F.col("__h"), "__i", by_share=True, hot=hot)
+    p = number_rows(p, by, ["__h", row], F.col("__h"), "__i", by_share=True)
     giver = p.select(*by, "__i", value)
     taker = a.select(*keys, row, "__i", _perms(n_perm))
     return null_safe_join(taker, giver, [*by, "__i"]).select("perm", row, value)
@@ -188,10 +187,10 @@ def subject_donors(subjects: DataFrame, n_perm: int, keys=(), subject="subject",
     keys = list(keys)
     s = subjects.select(*keys, subject).distinct()
     a = number_rows(s.withColumn("__h", unit_draw(seed, salt, F.col(subject))), keys, ["__h", subject], F.col("__h"),
-                    "__i", by_share=True, hot=True).drop("__h")
+                    "__i", by_share=True).drop("__h")
     a = a.select("*", _perms(n_perm))
     p = a.select("perm", *keys, subject).withColumn("__h", unit_draw(seed, salt, F.col("perm"), F.col(subject)))
-    p = number_rows(p, ["perm", *keys], ["__h", subject], F.col("__h"), "__i", by_share=True, hot=True)
+    p = number_rows(p, ["perm", *keys], ["__h", subject], F.col("__h"), "__i", by_share=True)
     return null_safe_join(a, p.select("perm", *keys, "__i", F.col(subject).alias("donor")), ["perm", *keys, "__i"]) \
         .select("perm", *keys, subject, "donor")
 

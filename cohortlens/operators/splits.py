@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw, hash_unit, unit_draw
-from ..functions.prefix import group_stats, null_safe_join, number_rows
+from ..functions.prefix import group_stats, null_safe_join, number_rows, spread
 
 
 def subject_labels(df: DataFrame, subject="subject", label="label", keys=()) -> DataFrame:
@@ -20,7 +20,7 @@ def hash_ranked(subj: DataFrame, strata, h: Column, subject="subject", out="rank
     Strata are few and large, so the rank is always computed in hash buckets.
     """
     d = subj.withColumn("__h", h)
-    d = number_rows(d, strata, ["__h", subject], F.col("__h"), out, by_share=True, hot=True)
+    d = number_rows(d, strata, ["__h", subject], F.col("__h"), out, by_share=True)
     n = subj.groupBy(*strata).agg(F.count(F.lit(1)).alias("size"))
     # one row per stratum: labels times draws or folds, all plan-time constants
     return null_safe_join(d, F.broadcast(n), strata).drop("__h")
@@ -132,14 +132,17 @@ def build_partitions(df: DataFrame, k: int, seed: int, arm: str | None = None, v
 
 def finish_cohort(df: DataFrame, seed: int, val_frac: float, test_frac: float, official="official_split",
                   order=("row_id",), lead: Column | None = None, subject="subject", label="label") -> DataFrame:
-    """Official split where given, else the fallback; its source, a carved validation, a row index."""
+    """Official split where given, else the fallback; its source, a carved validation, a row index.
+
+    ``lead`` cuts the order into buckets; by default the first column of ``order``, which is then a number.
+    """
     fallback = stratified_split(df, seed, val_frac, test_frac, subject, label).select(
         subject, F.col("split").alias("fallback_split"))
     given = F.nullif(F.col(official), F.lit(""))
     d = (df.join(fallback, subject).withColumn("split", F.coalesce(given, F.col("fallback_split")))
          .withColumn("split_source", F.when(given.isNotNull(), "official").otherwise("fallback")))
     d = carve_validation(d, seed, val_frac, subject, label)
-    d = number_rows(d, [], list(order), lead, "idx", hot=True)
+    d = number_rows(d, [], list(order), spread(F.col(order[0])) if lead is None else lead, "idx")
     return d.withColumn("idx", F.col("idx") - 1)
 
 
@@ -241,7 +244,7 @@ def sampling_frame(ids: DataFrame, col: str, seed, spans: dict[str, tuple[int, i
     """
     u = ids.select(F.col(col).alias("id")).distinct()
     p = number_rows(u.withColumn("__h", unit_draw(seed, F.col("id"))), [], ["__h", "id"], F.col("__h"),
-                    "position", by_share=True, hot=True).drop("__h")
+                    "position", by_share=True).drop("__h")
     span = F.lit(None).cast("string")
     for name, (a, b) in spans.items():
         span = F.when(F.col("position").between(a, b), name).otherwise(span)

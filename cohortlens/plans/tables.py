@@ -67,9 +67,8 @@ def _(t):
 
 @query("sampled_scan", "page_id:i host place:i", "SELECT page_id, host, place FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS place FROM files) q WHERE place <= 2")
 def _(t):
-    from ..functions.prefix import number_rows, spread
-    d = number_rows(t.files, ["host"], ["page_id"], spread(F.col("page_id")), "place")
-    return d.filter("place <= 2")
+    files = t.files.withColumn("path", F.format_string("%020d", "page_id"))  # text order is the order of the ids
+    return s.sampled_scan(files, 2, "host", "path")
 
 
 @query("layout_census", "event_type signature n:i", """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,9 +30,16 @@ def local_session(cores: str = "8", name: str = "cohortlens") -> SparkSession:
     return spark
 
 
+def is_local(master: str) -> bool:
+    """One machine, so that its folders are everyone's (a local-cluster is none)."""
+    return re.match(r"local(\[|$)", master) is not None
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh temporary one only where none is named."""
+    """The cluster's checkpoint folder; a fresh temporary one only on a local master where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None and not is_local(spark.sparkContext.master):
+        raise RuntimeError("executors do not share the driver's folders: name one that they do in spark.checkpoint.dir")
     if named is None:
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(named)

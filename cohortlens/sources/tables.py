@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.prefix import null_safe_join, number_rows
+from ..functions.prefix import null_safe_join, number_rows, text_lead
 from ..operators.geometry import order_lead
 
 RESERVED = "__"  # internal columns start with it
@@ -98,7 +98,7 @@ def read_manifest(spark: SparkSession, root: str) -> DataFrame:
 
 def sampled_scan(files: DataFrame, per_folder: int, folder="dir", order="path") -> DataFrame:
     """The first files of every folder, so that a sample touches every group (the feature is the sample)."""
-    d = number_rows(files, [folder], [order], F.ascii(F.col(order)).cast("long"), "place")
+    d = number_rows(files, [folder], [order], text_lead(F.col(order).cast("string")), "place")
     return d.filter(F.col("place") <= per_folder)
 
 

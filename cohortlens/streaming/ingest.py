@@ -17,20 +17,47 @@ from ..operators import metrics as m
 PREDICTIONS = "run string, subject string, row_id bigint, label bigint, score double"
 
 
-def run_ingest(spark: SparkSession, landing: str, counts: str, checkpoint: str, keys=("run",), late="1 hour", files_per_trigger=16):
+def fresh(batch: DataFrame, number: int, stored: str, keys) -> DataFrame:
+    """Rows of a batch whose keys no earlier batch stored, one per key (the smallest), written under the batch's number.
+
+    However late a row lands it is compared with everything stored, so nothing is dropped unseen. A replayed batch
+    sees the same earlier batches and writes the same rows again.
+    """
+    keys = list(keys)
+    rest = [c for c in batch.columns if c not in keys]
+    rows = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__r"), F.count(F.lit(1)).alias("n_landed")).select(*keys, "__r.*", "n_landed")
+    if number > 0:
+        have = batch.sparkSession.read.parquet(stored).filter(F.col("batch") < number).select(*keys)
+        rows = null_safe_join(rows, have.distinct().withColumn("__had", F.lit(True)), keys, "left")
+    else:
+        rows = rows.withColumn("__had", F.lit(None).cast("boolean"))
+    path = os.path.join(stored, f"batch={number}")
+    kept = rows.withColumn("n_refused", F.col("n_landed") - 1)
+    kept.filter("__had IS NULL").drop("__had", "n_landed").write.mode("overwrite").parquet(path)
+    again = rows.filter("__had").agg(F.coalesce(F.sum("n_landed"), F.lit(0)).alias("n_known_again"))
+    again.write.mode("overwrite").parquet(os.path.join(stored + "-refused", f"batch={number}"))
+    return batch.sparkSession.read.parquet(path).drop("n_refused")
+
+
+def refused(spark: SparkSession, stored: str) -> int:
+    """How many landed rows repeated a key: within their batch, or of an earlier one."""
+    inside = spark.read.parquet(stored).agg(F.coalesce(F.sum("n_refused"), F.lit(0))).head()[0]
+    return inside + spark.read.parquet(stored + "-refused").agg(F.coalesce(F.sum("n_known_again"), F.lit(0))).head()[0]
+
+
+def run_ingest(spark: SparkSession, landing: str, counts: str, checkpoint: str, keys=("run",), files_per_trigger=16):
     """Score counts per (keys, score) of predictions that keep landing as JSON lines.
 
-    A row that lands again within ``late`` is dropped. Each batch adds its counts under its own
+    A row that lands again, at any time, is refused and counted. Each batch adds its counts under its own
     number; counts add up, so ``live_auc`` over all batches is the AUC of everything seen.
     """
-    src = (spark.readStream.schema(PREDICTIONS).option("maxFilesPerTrigger", files_per_trigger).json(landing)
-           .withColumn("landed", F.col("_metadata.file_modification_time")))
-    once = src.withWatermark("landed", late).dropDuplicatesWithinWatermark([*keys, "row_id"])
+    src = spark.readStream.schema(PREDICTIONS).option("maxFilesPerTrigger", files_per_trigger).json(landing)
 
     def add(batch: DataFrame, number: int) -> None:
-        m.score_counts(batch, keys).write.mode("overwrite").parquet(os.path.join(counts, f"batch={number}"))
+        new = fresh(batch, number, counts + "-rows", [*keys, "row_id"])
+        m.score_counts(new, keys).write.mode("overwrite").parquet(os.path.join(counts, f"batch={number}"))
 
-    return once.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return src.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def live_auc(spark: SparkSession, counts: str, keys=("run",)) -> DataFrame:
@@ -39,7 +66,7 @@ def live_auc(spark: SparkSession, counts: str, keys=("run",)) -> DataFrame:
 
 
 def ledger_step(events: DataFrame, keys=("cohort", "control")) -> DataFrame:
-    """Per key of one batch: the last begin, and failures and notes after it (or all, without one)."""
+    """Per key: the last begin, and failures and notes after it (or all, without one)."""
     keys = list(keys)
     last = events.groupBy(*keys).agg(F.max(F.when(F.col("kind") == "begin", F.col("seq"))).alias("began"))
     j = null_safe_join(events, last, keys)
@@ -48,15 +75,12 @@ def ledger_step(events: DataFrame, keys=("cohort", "control")) -> DataFrame:
                                 F.count_if(after & (F.col("kind") == "note")).alias("n_note"), F.max("seq").alias("updated"))
 
 
-def ledger_merge(state: DataFrame, step: DataFrame, keys=("cohort", "control")) -> DataFrame:
-    """A begin in the newer step resets a key, otherwise counts add."""
+def ledger_fold(events: DataFrame, keys=("cohort", "control")) -> DataFrame:
+    """The events that can still matter: those from the last begin of their key on. Event order decides, not arrival."""
     keys = list(keys)
-    n = step.select(*keys, *[F.col(c).alias(f"new_{c}") for c in ("began", "n_fail", "n_note", "updated")])
-    j = state.join(n, keys, "full_outer")
-    reset = F.col("new_began").isNotNull()
-    add = lambda c: F.when(reset, F.col(f"new_{c}")).otherwise(F.coalesce(c, F.lit(0)) + F.coalesce(f"new_{c}", F.lit(0)))
-    return j.select(*keys, F.coalesce("new_began", "began").alias("began"), add("n_fail").alias("n_fail"), add("n_note").alias("n_note"),
-                    F.greatest("updated", "new_updated").alias("updated"))
+    last = events.groupBy(*keys).agg(F.max(F.when(F.col("kind") == "begin", F.col("seq"))).alias("__began"))
+    kept = null_safe_join(events.distinct(), last, keys).filter(F.col("__began").isNull() | (F.col("seq") >= F.col("__began")))
+    return kept.drop("__began")
 
 
 def ledger_state(step: DataFrame) -> DataFrame:
@@ -68,15 +92,15 @@ LEDGER = "seq bigint, cohort string, control string, kind string"
 
 
 def failure_ledger(spark: SparkSession, landing: str, state: str, checkpoint: str, files_per_trigger=1):
-    """Latest state per (cohort, control), one row per key, a new version per batch."""
+    """Events since the last begin per (cohort, control), a new version per batch; the version before it stays for a replay."""
     src = spark.readStream.schema(LEDGER).option("maxFilesPerTrigger", files_per_trigger).json(landing)
 
     def fold(batch: DataFrame, number: int) -> None:
-        step = ledger_step(batch)
-        old = os.path.join(state, f"version={number - 1}")
-        if number > 0:
-            step = ledger_merge(spark.read.parquet(old), step)
-        step.write.mode("overwrite").parquet(os.path.join(state, f"version={number}"))
+        s = batch.sparkSession
+        events = batch if number == 0 else batch.unionByName(s.read.schema(batch.schema).parquet(os.path.join(state, f"version={number - 1}")))
+        ledger_fold(events).write.mode("overwrite").parquet(os.path.join(state, f"version={number}"))
+        old = s._jvm.org.apache.hadoop.fs.Path(os.path.join(state, f"version={number - 2}"))
+        old.getFileSystem(s._jsc.hadoopConfiguration()).delete(old, True)
 
     return src.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -84,16 +108,17 @@ def failure_ledger(spark: SparkSession, landing: str, state: str, checkpoint: st
 def latest_ledger(spark: SparkSession, state: str) -> DataFrame:
     d = spark.read.parquet(state)
     last = d.agg(F.max("version").alias("v")).first()["v"]
-    return ledger_state(d.filter(F.col("version") == last).drop("version"))
+    return ledger_state(ledger_step(d.filter(F.col("version") == last).drop("version")))
 
 
 MEASURES = "file string, slice bigint, value double"
 
 
-def resumable_measure(spark: SparkSession, landing: str, out: str, checkpoint: str, measure, late="1 hour", files_per_trigger=16):
-    """Exactly-once append of per-slice measurements; a restart continues from the checkpoint."""
-    src = (spark.readStream.schema(MEASURES).option("maxFilesPerTrigger", files_per_trigger).json(landing)
-           .withColumn("landed", F.col("_metadata.file_modification_time")))
-    once = src.withWatermark("landed", late).dropDuplicatesWithinWatermark(["file", "slice"]).drop("landed")
-    return (once.withColumn("measured", measure).writeStream.format("parquet").option("path", out)
-            .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+def resumable_measure(spark: SparkSession, landing: str, out: str, checkpoint: str, measure, files_per_trigger=16):
+    """Per-slice measurements, each once however often and late it lands; a restart continues from the checkpoint."""
+    src = spark.readStream.schema(MEASURES).option("maxFilesPerTrigger", files_per_trigger).json(landing)
+
+    def store(batch: DataFrame, number: int) -> None:
+        fresh(batch.withColumn("measured", measure), number, out, ["file", "slice"])
+
+    return src.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -33,11 +33,9 @@ def test_spread_never_decreases(spark, skewed):
 
 
 @pytest.mark.parametrize("by_share", [False, True])
-def test_number_rows_hot_equals_window(skewed, by_share, monkeypatch):
-    monkeypatch.setattr(prefix, "HOT_ROWS", 20)
+def test_number_rows_equals_window(skewed, by_share):
     d = skewed.withColumn("h", unit_draw("x", F.col("id")))
     order, lead = (["h", "id"], F.col("h")) if by_share else (["score", "id"], prefix.spread(F.col("score")))
-    assert prefix.has_hot_key(d, ["key"])
     got = prefix.number_rows(d, ["key"], order, lead, "rn", by_share)
     want = d.withColumn("want", F.row_number().over(Window.partitionBy("key").orderBy(*order)))
     assert got.join(want.select("id", "want"), "id").filter("rn <> want").count() == 0
@@ -72,8 +70,7 @@ def test_quantiles_match_numpy(skewed):
         assert np.isclose(v, np.quantile([q["score"] for q in rows if q["key"] == key], p), rtol=1e-9, atol=1e-12)
 
 
-def test_permutation_keeps_positives_per_volume(skewed, monkeypatch):
-    monkeypatch.setattr(prefix, "HOT_ROWS", 20)
+def test_permutation_keeps_positives_per_volume(skewed):
     p = r.permute_within(skewed, 3, ["key"], "id", "label", 1)
     before = {x["key"]: x["k"] for x in skewed.groupBy("key").agg(F.sum("label").alias("k")).collect()}
     after = p.join(skewed.select("id", "key"), "id").groupBy("perm", "key").agg(F.sum("label").alias("k"), F.count("*").alias("n")).collect()
