@@ -14,11 +14,14 @@ from .common import table
 
 CAPTURED, DERIVED = "2024-01-01T00:00:00Z", "2024-02-01T00:00:00Z"  # dates of the query's records: the pages have none
 CRLF = "\r\n"
-#: (pattern, replacement) in order: what turns HTML into text, valid for Java and RE2
-TEXT_STEPS = [(r"(?s)<!--.*?-->", " "), (r"(?is)<script\b.*?</script\s*>", " "), (r"(?is)<style\b.*?</style\s*>", " "), (r"(?is)<head\b.*?</head\s*>", " "),
-              (r"(?i)</?(?:p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|header|footer|nav|main|aside|form|pre|blockquote|body|html)\b[^>]*>", "\n"),
-              (r"<[^>]*>", ""), (r"&nbsp;|&#160;", " "), (r"&lt;|&#60;", "<"), (r"&gt;|&#62;", ">"), (r"&quot;|&#34;", "\""), (r"&apos;|&#39;", "'"),
-              (r"&copy;", "©"), (r"&middot;", "·"), (r"&amp;|&#38;", "&"), (r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", "")]
+#: (pattern, replacement) in order, valid for Java and RE2: what has no text, tags that break lines, other tags
+TAG_STEPS = [(r"(?is)<(?:!--.*?--|script\b.*?</script\s*|style\b.*?</style\s*|head\b.*?</head\s*)>", " "),
+             (r"(?i)</?(?:p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|header|footer|nav|main|aside|form|pre|blockquote|body|html)\b[^>]*>", "\n"),
+             (r"<[^>]*>", "")]
+#: plain replacements; the ampersand comes last, so that no text is decoded twice
+ENTITIES = [("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&#60;", "<"), ("&gt;", ">"), ("&#62;", ">"), ("&quot;", "\""), ("&#34;", "\""), ("&apos;", "'"),
+            ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"), ("&#38;", "&")]
+SPACE_STEPS = [(r"[ \t\r\f]{2,}|[\t\r\f]", " "), (r" ?\n[ \n]*", "\n")]
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 LINK = r"(?i)<a\s[^>]*?href=\"([^\"]*)\""
 
@@ -43,9 +46,13 @@ def responses(pages: DataFrame, date: str = CAPTURED) -> DataFrame:
 
 
 def plain_text(html: Column) -> Column:
-    for pattern, to in TEXT_STEPS:
+    for pattern, to in TAG_STEPS:
         html = F.regexp_replace(html, pattern, to)
-    return html
+    for entity, to in ENTITIES:
+        html = F.replace(html, F.lit(entity), F.lit(to))
+    for pattern, to in SPACE_STEPS:
+        html = F.regexp_replace(html, pattern, to)
+    return F.btrim(html, F.lit(" \n"))
 
 
 def metadata(source: dict[str, Column]) -> Column:
@@ -100,8 +107,13 @@ def sql() -> str:
     def text(v: str) -> str:
         return "concat('" + v.replace("'", "''").replace("\r", "', chr(13), '").replace("\n", "', chr(10), '") + "')"
     plain = "payload"
-    for pattern, to in TEXT_STEPS:
+    for pattern, to in TAG_STEPS:
+        plain = f"regexp_replace({plain}, {text(pattern)}, {text(to)}, 'g')"
+    for entity, to in ENTITIES:
+        plain = f"replace({plain}, {text(entity)}, {text(to)})"
+    for pattern, to in SPACE_STEPS:
         plain = f"regexp_replace({plain}, {text(pattern)}, {text(to)}, 'g')"
+    plain = f"trim({plain}, ' ' || chr(10))"
     uuid = lambda h: " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
     end = "chr(13) || chr(10)"
     line = lambda name, value: f"coalesce('{name}: ' || {value} || {end}, '')"
