@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import pick, sliced, table, texts_of, worker_cache
+from .common import pick, settle, sliced, table, texts_of, worker_cache
 
 FREQUENT = 1 << 16  # entries of tier one: with MAX_PIECE at most some 6 MB
 MAX_PIECE = 64  # longer pre-tokens are left to tier two
@@ -100,7 +100,8 @@ def count_tokens(df: DataFrame, text: str, path: str, keep: list[str] | None = N
     """
     file = open(path).read()
     check_byte_level(file)
-    pieces = [r.piece for r in frequent_pieces(pick(df, text=text), frequent).collect()]
+    # written first: collecting a top list directly would send every partition's own list to the driver
+    pieces = [r.piece for r in settle(frequent_pieces(pick(df, text=text), frequent)).collect()]
     counter = Lengths(file)
     shared = df.sparkSession.sparkContext.broadcast((file, pieces, bytes(min(255, counter[p]) for p in pieces)))
     names = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("n_bytes", "n_tokens", "over_limit")]
