@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, table, worker_cache
+from .common import rowwise, sliced, table, worker_cache
 from .packing import Index, grouped, pack_batch, pack_ints, pack_words, unpack_batch, unpack_ints, unpack_words
 
 BLOCK = 7_000_000  # pre-tokens of a block: bounds the memory of a task, not the result
@@ -93,7 +93,7 @@ def blocks_of(df: DataFrame, text: str, keep: list[str], pattern: str) -> DataFr
 
 
 def explode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches, 1):
+    for batch in rowwise(batches):
         for row in batch.to_pylist():
             words = unpack_words(row["words"])
             for at in range(0, len(words), 100_000):
@@ -144,7 +144,7 @@ def encode(df: DataFrame, text: str, file: bytes, pattern: str = public_tokenize
             yield flush()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
+        for batch in rowwise(batches):
             for row in batch.to_pylist():
                 parts = row["parts"] or []
                 local = np.concatenate([np.cumsum(unpack_ints(p["locals"]), dtype=np.uint32) for p in parts] or [np.empty(0, np.uint32)])

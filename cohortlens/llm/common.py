@@ -33,11 +33,28 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches: bounds what a Python worker holds as objects."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` rows and some ``size`` bytes: bounds what a worker holds as objects.
+
+    Rows are taken as equally long inside pieces of 16, so only a text that is long by itself makes a batch larger.
+    """
+    for batch in batches:
+        at, held = 0, 0
+        for upto in range(0, len(batch), 16):
+            n = batch.slice(upto, 16).nbytes
+            if upto > at and (held + n > size or upto - at >= rows):
+                yield batch.slice(at, upto - at)
+                at, held = upto, 0
+            held += n
+        if at < len(batch):
+            yield batch.slice(at)
+
+
+def rowwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row at a time, for rows that are large by design."""
     for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.slice(at, rows)
+        for at in range(len(batch)):
+            yield batch.slice(at, 1)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

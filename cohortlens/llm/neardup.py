@@ -38,7 +38,7 @@ def multipliers(n: int) -> np.ndarray:
 
 class WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 65_536:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

@@ -59,6 +59,24 @@ def test_components_match_all_pairs(spark, width):
             assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
 
 
+def test_a_group_around_the_threshold_loses_no_link(spark):
+    """Copies with few to many edits, some shortened, some sharing an edit: much is linked, much is not."""
+    rng = np.random.default_rng(9)
+    base = [f"w{int(x)}" for x in rng.integers(0, 5000, 120)]
+    texts = {0: " ".join(base)}
+    for copy in range(1, 160):
+        mine, rate = list(base), rng.uniform(0.01, 0.16)
+        for i in np.flatnonzero(rng.random(len(mine)) < rate):
+            mine[i] = f"e{int(i)}" if copy % 4 == 0 else f"n{copy}x{int(i)}"
+        if copy % 5 == 0:
+            del mine[:int(rng.integers(5, 40))]
+        texts[copy] = " ".join(mine)
+    got = neardup.cluster(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4), "doc_id", "text", 2).collect()
+    want = plain(texts, 2)
+    assert {r.doc_id: r.component_id for r in got} == {k: c for k, (_, c) in want.items()}
+    assert 5 < len({c for _, c in want.values()}) < 150
+
+
 def test_empty_table(spark):
     assert neardup.cluster(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
