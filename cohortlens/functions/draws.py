@@ -38,10 +38,10 @@ def hash_unit(key: Column, seed) -> Column:
 
 
 def poisson_weight(*parts) -> Column:
-    """Poisson(1) weight by inversion of a uniform draw (0..7; the rest has mass below 2e-6)."""
+    """Poisson(1) weight by inversion of a uniform draw, to the last of its 52 bits (weights up to 17)."""
     u = unit_draw(*parts)
     out, cdf, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(8):
+    for k in range(18):  # the mass beyond is below one step of the draw
         cdf += term
         out = out + F.when(u >= F.lit(cdf), 1).otherwise(0)
         term /= k + 1

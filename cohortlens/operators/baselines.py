@@ -143,7 +143,7 @@ def multiclass_positional(df: DataFrame, train: Column, cls="class", n_bins=20,
     tr = d.filter("__tr").groupBy("bin", cls).agg(F.count(F.lit(1)).alias("c"))
     prior = tr.groupBy(cls).agg(F.sum("c").alias("t"))
     pick = lambda cols: F.max(F.struct(*cols, (-F.col(cls)).alias("neg")))
-    best = (tr.join(F.broadcast(prior), cls).groupBy("bin").agg(pick([F.col("c"), F.col("t")]).alias("b"))
+    best = (tr.join(prior, cls).groupBy("bin").agg(pick([F.col("c"), F.col("t")]).alias("b"))
             .select("bin", (-F.col("b.neg")).alias("pred")))
     major = prior.agg(pick([F.col("t")]).alias("b")).select((-F.col("b.neg")).alias("majority"))
     # one row per bin and one row in all: bounded by the bin count

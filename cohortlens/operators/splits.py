@@ -22,8 +22,7 @@ def hash_ranked(subj: DataFrame, strata, h: Column, subject="subject", out="rank
     d = subj.withColumn("__h", h)
     d = number_rows(d, strata, ["__h", subject], F.col("__h"), out, by_share=True)
     n = subj.groupBy(*strata).agg(F.count(F.lit(1)).alias("size"))
-    # one row per stratum: labels times draws or folds, all plan-time constants
-    return null_safe_join(d, F.broadcast(n), strata).drop("__h")
+    return null_safe_join(d, n, strata).drop("__h")
 
 
 def stratified_split(df: DataFrame, seed: int, val_frac: float, test_frac: float,
@@ -226,7 +225,7 @@ def inverse_class_weights(df: DataFrame, label="label", seed=0, row="row_id") ->
     """
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     total = n.agg(F.count(F.lit(1)).alias("__k"), F.sum("__n").alias("__all"))
-    d = df.join(F.broadcast(n), label).crossJoin(F.broadcast(total))
+    d = df.join(n, label).crossJoin(F.broadcast(total))
     d = d.withColumn("weight", F.when(F.col("__k") < 2, F.raise_error(F.lit("single-class labels")))
                      .otherwise(1.0 / F.col("__n")))
     # expected copies of a row: share of its class in a balanced table of the same size
@@ -305,7 +304,7 @@ def viable_classes(df: DataFrame, k: int, seed: int, subject="subject", label="l
     """Classes with enough subjects for K folds, the share of rows they keep, and the gate on them."""
     per = df.groupBy(label).agg(F.countDistinct(subject).alias("n_subjects"), F.count(F.lit(1)).alias("n_rows"))
     per = per.withColumn("kept", F.col("n_subjects") >= k * MIN_PER_CLASS)
-    rest = df.join(F.broadcast(per.filter("kept").select(label)), label, "left_semi")
+    rest = df.join(per.filter("kept").select(label), label, "left_semi")
     gate = fold_counts(subject_labels(rest, subject, label), [k], seed, subject, label).agg(
         F.coalesce(F.every("clears"), F.lit(False)).alias("clears_gate"))
     tot = per.agg((F.sum(F.when(F.col("kept"), F.col("n_rows")).otherwise(0)) / F.sum("n_rows")).alias("kept_fraction"))

@@ -95,13 +95,13 @@ def _(t):
 
 
 @query("site_components", "inst site n_rows:i n_strings:i n_shared_devices:i", """
-WITH RECURSIVE s AS (SELECT trim(regexp_replace(regexp_replace(upper(trim(institution)), '[^A-Z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS inst, device FROM sites WHERE CAST(subject AS BIGINT) % 15 = 0 OR true),
+WITH RECURSIVE s AS (SELECT trim(regexp_replace(regexp_replace(upper(trim(institution)), '[^A-Z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS inst, device FROM sites),
 e AS (SELECT DISTINCT x.inst AS a, y.inst AS b FROM s x JOIN s y ON x.device = y.device),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT a AS inst, min(b) AS comp FROM r GROUP BY a), n AS (SELECT inst, count(*) AS n_rows FROM s GROUP BY inst),
 nm AS (SELECT comp, arg_min(c.inst, (-n_rows, length(c.inst), c.inst)) AS site, count(*) AS n_strings FROM c JOIN n ON n.inst = c.inst GROUP BY comp),
 sh AS (SELECT comp, count(*) AS k FROM (SELECT device, min(inst) AS i FROM s GROUP BY device HAVING count(DISTINCT inst) > 1) d JOIN c ON c.inst = d.i GROUP BY comp)
-SELECT c.inst, site, n_rows, n_strings, coalesce(k, 0) AS n_shared_devices FROM c JOIN n ON n.inst = c.inst JOIN nm ON nm.comp = c.comp LEFT JOIN sh ON sh.comp = c.comp""".replace(" WHERE CAST(subject AS BIGINT) % 15 = 0 OR true", ""))
+SELECT c.inst, site, n_rows, n_strings, coalesce(k, 0) AS n_shared_devices FROM c JOIN n ON n.inst = c.inst JOIN nm ON nm.comp = c.comp LEFT JOIN sh ON sh.comp = c.comp""")
 def _(t):
     return a.site_components(t.sites)
 
