@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import pick, settle, table
 
 WIDTH = 8
 LITERALS = 5  # windows with fewer plain words are no evidence and are not indexed
@@ -38,13 +38,26 @@ def canonical(tokens: Column) -> Column:
     return F.transform(tokens, one)
 
 
+def typed_tokens(df: DataFrame, ident: str) -> DataFrame:
+    tokens = df.select(ident, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    return tokens.select(ident, "tokens", canonical(F.col("tokens")).alias("canon"))
+
+
+def window_places() -> Column:
+    return F.when(F.size("canon") >= WIDTH, F.sequence(F.lit(1), F.size("canon") - (WIDTH - 1))).otherwise(F.array().cast("array<int>"))
+
+
+def window_hashes(df: DataFrame, ident: str) -> DataFrame:
+    """(ident, h) of every window of column ``text``."""
+    made = F.transform(window_places(), lambda i: F.xxhash64(F.slice("canon", i, WIDTH)))
+    return typed_tokens(df, ident).select(ident, F.explode(made).alias("h"))
+
+
 def windows(df: DataFrame, ident: str) -> DataFrame:
     """(ident, place, h, slots) of every window of column ``text``; slots hold the raw value of each placeholder, else null."""
-    tokens = df.select(ident, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)).alias("tokens"))
-    typed = tokens.select(ident, "tokens", canonical(F.col("tokens")).alias("canon"))
+    typed = typed_tokens(df, ident)
     slotted = typed.select(ident, "canon", F.transform("canon", lambda c, i: F.when(c.startswith("<"), F.lower(F.get("tokens", i)))).alias("slots"))
-    places = F.when(F.size("canon") >= WIDTH, F.sequence(F.lit(1), F.size("canon") - (WIDTH - 1))).otherwise(F.array().cast("array<int>"))
-    made = F.transform(places, lambda i: F.struct(F.xxhash64(F.slice("canon", i, WIDTH)).alias("h"), F.slice("slots", i, WIDTH).alias("slots")))
+    made = F.transform(window_places(), lambda i: F.struct(F.xxhash64(F.slice("canon", i, WIDTH)).alias("h"), F.slice("slots", i, WIDTH).alias("slots")))
     out = slotted.select(ident, F.posexplode(made).alias("place", "w"))
     return out.select(ident, "place", "w.h", "w.slots")
 
@@ -59,9 +72,14 @@ def template_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     asked = windows(pick(benchmark, item=item, text=item_text).filter("item IS NOT NULL"), "item").withColumnsRenamed({"place": "item_place", "slots": "item_slots"})
     asked = asked.filter(F.size(F.filter("item_slots", lambda s: s.isNotNull())) <= WIDTH - LITERALS)
     sizes = asked.groupBy("item").agg(F.countDistinct("h").alias("item_windows"))
+    templates = asked.select("h").distinct()
     if asked.count() <= BROADCAST_ROWS:
-        asked, sizes = F.broadcast(asked), F.broadcast(sizes)
-    found = windows(pick(docs, key=key, text=text).filter("key IS NOT NULL"), "key").join(asked, "h")
+        asked, sizes, templates = F.broadcast(asked), F.broadcast(sizes), F.broadcast(templates)
+    texts = pick(docs, key=key, text=text).filter("key IS NOT NULL")
+    # every window as a hash first; places and slots are worked out for documents that have a template at all
+    hit = settle(window_hashes(texts, "key").join(templates, "h", "left_semi").select("key").distinct())
+    hit = F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit
+    found = windows(texts.join(hit, "key", "left_semi"), "key").join(asked, "h")
     runs = ["key", "item", (F.col("place") - F.col("item_place")).alias("diagonal")]
     matches = found.select(*runs, "h", F.arrays_zip("item_slots", "slots").alias("pairs"))
     counted = matches.groupBy("key", "item", "diagonal").agg(F.countDistinct("h").alias("n_windows"))
