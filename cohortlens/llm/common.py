@@ -50,6 +50,13 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 1 <<
             yield batch.slice(at)
 
 
+def short_batches(spark, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch than Spark's 10,000: documents are long rows, and both sides hold whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def rowwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row at a time, for rows that are large by design."""
     for batch in batches:

@@ -127,7 +127,7 @@ def predict(df: DataFrame, text: str, model: tuple[list[str], np.ndarray], keep:
     shared = df.sparkSession.sparkContext.broadcast(tables)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 256):
+        for batch in sliced(batches, 256, 1 << 20):
             texts = [t if t and any(map(str.isalpha, t)) else "" for t in batch.column("__text").to_pylist()]
             chosen, full = identify([t.encode() for t in texts], shared.value)
             at = chosen.argmax(1) if names else np.zeros(len(texts), int)
