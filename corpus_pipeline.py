@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import bpe, decontaminate, langid, neardup, quality
+from cohortlens.llm.common import short_batches
 from cohortlens.session import shared_dir
 
 LANGUAGE_SCORE = 0.4  # a language that holds less than this of a text is no identification
@@ -25,6 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that fail the base rules or are mostly boilerplate lines."""
+    short_batches(spark)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     verdict = quality.judge(docs.withColumn("__text", F.col("text")), "__text", model, keep=docs.columns)
     return verdict.filter("kept").select(*docs.columns)
@@ -32,12 +34,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents in which no language can be identified."""
+    short_batches(spark)
     found = langid.predict(docs, "text", langid.learned_from(docs), keep=docs.columns)
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group linked by five-word shingles at similarity 0.8."""
+    short_batches(spark)
     gone = neardup.cluster(docs, "doc_id", "text", width=5).filter("NOT kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -49,6 +53,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit) of each document, and whether they decode to its text."""
+    short_batches(spark)
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = f.read()
     texts = docs.select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), "text")
