@@ -15,7 +15,7 @@ from ..streaming import ingest
 from .baselines import K, ev_cv
 from .metrics import KEYS
 from .registry import query
-from .resampling import B, ci, rep_auc, runs2
+from .resampling import B, P, ci, rep_auc, runs2
 from .sqlkit import auc_sql, counts_sql, subj_sql
 from .tables import folder
 from .views import H, U, sql_view
@@ -28,13 +28,13 @@ def flagship(t):
     parts = d.select("subject", "fold").distinct().groupBy("subject").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     guards.require_empty(parts, "subject in two folds")
     c = b.simple_baselines(d, K)
-    return rp.bundle(c, ["feature"], n_boot=100, seed=1)
+    return rp.bundle(c, ["feature"], n_boot=B, seed=1)
 
 
 @query("audit_report", "evaluation baseline slice_auc:d ap:d patient_auc:d slice_lo:d slice_hi:d patient_lo:d patient_hi:d kind null_mean:d p:d headline:b fraction:d")
 def _(t):
     d = t.ev_deep.select("subject", "slice", "label", "hour", "k", "event_type", F.col("volume"))
-    a = rp.audit(d, n_boot=50, n_perm=3, published=0.9, volume="volume", trees=True, seed=1, metadata=["hour", "event_type"])
+    a = rp.audit(d, n_boot=B, n_perm=P, published=0.9, volume="volume", trees=True, seed=1, metadata=["hour", "event_type"])
     h = a["headline"].select(F.col("feature").alias("__f"), "fraction")
     e = a["evaluations"][a["headline_evaluation"]]
     j = e["baselines"].withColumnRenamed("feature", "baseline").join(e["nulls"].select("baseline", "kind", "null_mean", "p"), "baseline", "left")

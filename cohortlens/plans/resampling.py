@@ -11,7 +11,7 @@ from .registry import query
 from .sqlkit import auc_sql, counts_sql, subj_sql
 from .views import H, U, sql_view
 
-B = 100
+B = 2000
 sql_view("unit_idx", f"""
 SELECT subject, row_number() OVER (ORDER BY {U("'idx|' || subject")}, subject) - 1 AS idx, count(*) OVER () AS k FROM (SELECT DISTINCT subject FROM ev_deep) q
 """)
@@ -139,7 +139,7 @@ def _(t):
 
 
 # ---------------------------------------------------------------- permutations
-P = 5
+P = 20
 sql_view("perm_vol", f"""
 WITH b AS (SELECT volume, row_id, label, row_number() OVER (PARTITION BY volume ORDER BY {U("'3|base|' || row_id")}, row_id) AS i FROM ev_slices),
 p AS (SELECT perm, volume, label, row_number() OVER (PARTITION BY perm, volume ORDER BY {U("'3|' || perm || '|' || row_id")}, row_id) AS i FROM ev_slices, range({P}) x(perm))
