@@ -20,6 +20,9 @@ LITERALS = 5  # windows with fewer plain words are no evidence and are not index
 WINDOWS = 3  # matching windows on a diagonal (all of an item that has fewer)
 BROADCAST_ROWS = 1_000_000  # benchmark windows up to this number are sent to the tasks; more are joined by shuffle
 TOKEN = r"[.?!\n][ .?!\n\t\r\x22]*[\p{L}\p{M}]+|[\p{L}\p{M}]+|[0-9]+(?:[.,:/][0-9]+)*"
+# raw tokens: one for each letter of a script without spaces, and signs, so that 1 + 2 and 1 - 2 differ
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+RAW = rf"[{UNSPACED}]|[\p{{L}}\p{{M}}&&[^{UNSPACED}]]+|[0-9]+(?:[.,:/][0-9]+)*|[\p{{S}}*/%-]"
 BREAK = " .?!\n\t\r\""
 UNITS = ["mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams", "ton", "tons",
          "lb", "lbs", "pound", "pounds", "oz", "ounce", "ounces", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "s", "sec", "second",
@@ -94,8 +97,62 @@ def template_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     return best.select(F.col("key").alias(key), F.col("item").alias(item), "b.n_windows", "item_windows", F.negate("b.c").alias("n_changed"))
 
 
+def raw_tokens() -> Column:
+    return F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(RAW), F.lit(0)), F.lower)
+
+
+def raw_windows(df: DataFrame, ident: str, lengths: list[int]) -> DataFrame:
+    """(ident, place, h) of every window of so many raw tokens of column ``text``."""
+    def made(n: int) -> Column:
+        places = F.when(F.size("raw") >= n, F.sequence(F.lit(1), F.size("raw") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice("raw", i, n)).alias("h")))
+    out = df.select(ident, raw_tokens().alias("raw")).select(ident, F.explode(F.concat(*[made(n) for n in lengths])).alias("w"))
+    return out.select(ident, "w.place", "w.h")
+
+
+def verbatim_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The columns of ``template_leaks`` for word-for-word copies of items with fewer than WINDOWS windows of LITERALS plain words.
+
+    Such an item is found by windows of WIDTH raw tokens in order, or whole if it is shorter; case, spaces and punctuation
+    do not count, numbers and names do. A short item of one word is found wherever that word is. Items without a letter,
+    number or sign, missing texts and rows without a key match nothing.
+    """
+    items = pick(benchmark, item=item, text=item_text).filter("item IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
+    items = settle(items)
+    typed = windows(items, "row").filter(F.size(F.filter("slots", lambda s: s.isNotNull())) <= WIDTH - LITERALS)
+    # the first window counts for nothing: inside a sentence its first word can look like a name
+    rich = typed.filter("place > 0").groupBy("row").agg(F.countDistinct("h").alias("k")).filter(F.col("k") >= WINDOWS)
+    poor = items.join(rich.select("row"), "row", "left_anti").withColumn("n", F.least(F.lit(WIDTH), F.size(raw_tokens()))).filter("n > 0")
+    poor = settle(poor)
+    lengths = sorted(r[0] for r in poor.select("n").distinct().collect())  # WIDTH values at most
+    texts = pick(docs, key=key, text=text).filter("key IS NOT NULL")
+    asked = None
+    for n in lengths:
+        of_n = raw_windows(poor.filter(F.col("n") == n), "row", [n])
+        asked = of_n if asked is None else asked.unionByName(of_n)
+    if asked is None:
+        kinds = texts.schema["key"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
+        return docs.sparkSession.createDataFrame([], f"`{key}` {kinds[0]}, `{item}` {kinds[1]}, n_windows long, item_windows long, n_changed long")
+    asked = settle(asked.join(poor.select("row", "item"), "row").withColumnRenamed("place", "item_place"))
+    sizes = asked.groupBy("row").agg(F.countDistinct("h").alias("item_windows"))
+    if asked.count() <= BROADCAST_ROWS:
+        asked, sizes = F.broadcast(asked), F.broadcast(sizes)
+    found = raw_windows(texts, "key", lengths).join(asked, "h")
+    runs = found.groupBy("key", "item", "row", (F.col("place") - F.col("item_place")).alias("diagonal")).agg(F.countDistinct("h").alias("n_windows"))
+    leaks = runs.join(sizes, "row").filter(F.col("n_windows") >= F.least(F.lit(WINDOWS), F.col("item_windows")))
+    best = leaks.groupBy("key", "item").agg(F.max(F.struct("n_windows", "item_windows")).alias("b"))
+    return best.select(F.col("key").alias(key), F.col("item").alias(item), "b.n_windows", "b.item_windows", F.lit(0).cast("long").alias("n_changed"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``template_leaks`` and ``verbatim_leaks``, one row for each document and item; what both find is the template's."""
+    names = dict(key=key, text=text, item=item, item_text=item_text)
+    first = settle(template_leaks(docs, benchmark, **names))
+    return first.unionByName(verbatim_leaks(docs, benchmark, **names).join(first.select(key, item), [key, item], "left_anti"))
+
+
 def op9_template_decontamination(spark, sf_dir: str) -> DataFrame:
-    return template_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def sql() -> str:

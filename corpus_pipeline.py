@@ -47,7 +47,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontaminate.template_leaks(docs, table(spark, sf_dir, "benchmark"))
+    leaks = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
     return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
