@@ -6,7 +6,7 @@ import pytest
 
 from cohortlens.operators import reports as rp
 from cohortlens.operators import resample as r
-from cohortlens.plans import reports, resampling
+from cohortlens.plans import reports, resampling, tables, views
 from cohortlens.plans.catalog import REGISTRY
 
 
@@ -35,3 +35,11 @@ def test_reports_use_them_too(monkeypatch):
     with pytest.raises(Called) as e:
         REGISTRY["audit_report"].build(Any())
     assert (e.value.args[0]["n_boot"], e.value.args[0]["n_perm"]) == (2000, 20)
+
+
+def test_resumable_append_reads_all_rows(spark, monkeypatch):
+    seen, resume = [], tables.s.resume
+    monkeypatch.setattr(tables.s, "resume", lambda sl, *a: seen.append(sl.count()) or resume(sl, *a))
+    t = views.Tables(spark, "/root/testdata/sf0.001")
+    REGISTRY["resumable_append"].build(t)
+    assert seen == [t.table("lineitem").count()]
