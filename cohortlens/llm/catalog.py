@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, langid, lm, neardup, quality, sharding, tokencount, urlfilter, warc
+from . import bpe, centroids, decontaminate, langid, lm, neardup, quality, sharding, tokencount, urlfilter, warc
 
 QUERIES = {
     "op1_warc_derivatives": warc.op1_warc_derivatives,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_url_filter": urlfilter.op8_url_filter,
     "op9_template_decontamination": decontaminate.op9_template_decontamination,
     "op10_language_mixture": langid.op10_language_mixture,
+    "op11_shallot_kmeans": centroids.op11_shallot_kmeans,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op1_warc_derivatives": warc.sql(),
     "op8_url_filter": urlfilter.sql(),
     "op9_template_decontamination": decontaminate.sql(),
+    "op11_shallot_kmeans": centroids.sql(),
 }
