@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import bpe, centroids, decontaminate, langid, lm, neardup, quality, sharding, spelling, tokencount, urlfilter, warc
+from . import bpe, centroids, decontaminate, langid, lm, neardup, quality, setjoin, sharding, spelling, tokencount, urlfilter, warc
 
 QUERIES = {
     "op1_warc_derivatives": warc.op1_warc_derivatives,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language_mixture": langid.op10_language_mixture,
     "op11_shallot_kmeans": centroids.op11_shallot_kmeans,
     "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_jaccard_join": setjoin.op13_jaccard_join,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
