@@ -32,6 +32,7 @@ from .neardup import FILTER_BITS, id_filter, sets_of, shingles, word_hashes
 
 SALTS = 16  # parts of a star's rows
 STAR_LEVELS = 3  # after them, pairs that still reach each other are compared one by one
+OFTEN = 8  # hits in a task that make a bucket worth counting
 BUCKETS = 1 << 22  # of the table of frequencies
 
 
@@ -44,38 +45,58 @@ def steps(similarity: int, upto: int) -> np.ndarray:
 
 
 def sizes(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id); without words the set id is null."""
+    """(doc_id, n_shingles, set_id, bucket, hits); without words the set id is null.
+
+    Each task adds rows without a document (``hits`` is not null): buckets of shingles that it met at least OFTEN times.
+    """
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
+        hashes, hits, names = word_hashes(), np.zeros(BUCKETS, np.int32), ["doc_id", "n_shingles", "set_id", "bucket", "hits"]
+        kind = None
         for batch in sliced(batches):
+            kind = batch.schema.field("doc_id").type
             sets = [shingles(t, width, hashes) for t in texts_of(batch.column("text"))]
+            np.add.at(hits, np.concatenate(sets) & np.uint64(BUCKETS - 1), 1)
+            none = pa.nulls(len(batch), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())],
-                                             names=["doc_id", "n_shingles", "set_id"])
-    return docs.mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_id binary")
+                                              pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), none, none], names=names)
+        met = np.flatnonzero(hits >= OFTEN)
+        if len(met):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(met), kind), pa.nulls(len(met), pa.int64()), pa.nulls(len(met), pa.binary()),
+                                              pa.array(met.astype(np.int32)), pa.array(hits[met])], names=names)
+    return docs.mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_id binary, bucket int, hits int")
 
 
-def index(docs: DataFrame, classes: DataFrame, width: int, similarity: int) -> DataFrame:
-    """(key, id, u, r): prefix entries of the first document of each class, filed by shingle and size block.
+def by_bucket(rows: DataFrame) -> np.ndarray:
+    """Binary logarithms of summed ``hits``, at most one row for a bucket."""
+    got = rows.groupBy("bucket").agg(F.sum("hits").alias("n")).filter("n > 1").select("bucket", F.floor(F.log2("n")).cast("byte").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.uint8)
+    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    return out
 
+
+def index(docs: DataFrame, classes: DataFrame, frequent: np.ndarray, width: int, similarity: int) -> DataFrame:
+    """(key, id, u, r, d, e, part): prefix entries of the first document of each class, filed by shingle and size block.
+
+    ``d`` is the size of the set and ``e`` the number of its entries in the block ``part``.
     Texts are read in place behind a filter of fixed size; a document it lets through in vain is a copy of another
     and only adds entries.
     """
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(classes.select("id")))
-    low = steps(similarity, 1 << 40)
+    low, often_ = steps(similarity, 1 << 40), docs.sparkSession.sparkContext.broadcast(frequent)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = word_hashes(), shared.value
+        hashes, bits, often = word_hashes(), shared.value, often_.value
         for batch in sliced(batches):
             at = batch.column("at").to_numpy().astype(np.uint64)
             batch = batch.filter(pa.array((bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) > 0))
-            keys, rows, us, rs = [], [], [], []
+            keys, rows, us, rs, ds, es, gs = ([] for _ in range(7))
             for row, text in enumerate(texts_of(batch.column("text"))):
                 s = shingles(text, width, hashes)
                 n = len(s)
                 if not n:
                     continue
-                reach = (200 * n - 2 * (100 + similarity) * np.arange(n)) if n else np.empty(0)
+                s = s[np.argsort(often[s & np.uint64(BUCKETS - 1)], kind="stable")]  # rare ones first
+                reach = 200 * n - 2 * (100 + similarity) * np.arange(n)
                 block = int(np.searchsorted(low, n, "right")) - 1
                 for b, least in ((block, -(-similarity * n // 100)), (block + 1, max(int(low[block + 1]), n + 1))):
                     m = int((reach >= 2 * similarity * least).sum())  # reach falls along the prefix
@@ -84,12 +105,16 @@ def index(docs: DataFrame, classes: DataFrame, width: int, similarity: int) -> D
                     rows.append(np.full(m, row))
                     us.append(np.full(m, 2 * similarity * n))
                     rs.append(reach[:m])
+                    ds.append(np.full(m, n))
+                    es.append(np.full(m, m))
+                    gs.append(np.full(m, b))
             ids = batch.column("id").take(pa.array(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64)), ids,
-                                              *[pa.array(np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64)) for x in (us, rs)]], names=["key", "id", "u", "r"])
+                                              *[pa.array(np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64)) for x in (us, rs, ds, es, gs)]],
+                                             names=["key", "id", "u", "r", "d", "e", "part"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     asked = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text", F.expr(f"pmod(xxhash64(doc_id), {FILTER_BITS})").alias("at"))
-    return settle(asked.mapInArrow(make, f"key long, id {kind}, u long, r long"))
+    return settle(asked.mapInArrow(make, f"key long, id {kind}, u long, r long, d long, e long, part long"))
 
 
 def familiar(sets: DataFrame, frequency, kind: str) -> DataFrame:
@@ -105,31 +130,43 @@ def familiar(sets: DataFrame, frequency, kind: str) -> DataFrame:
     return sets.mapInArrow(make, f"id {kind}, p long")
 
 
+def shared_entries(entries: DataFrame, similarity: int) -> DataFrame:
+    """Entries of lists with several members, with ``t``: a bound of U(x) + U(y) from the entries that nothing shares.
+
+    An unshared entry is missing in every partner whose prefix goes as far; so of two sets, the bound of the one whose prefix
+    ends first holds, and the larger one always.
+    """
+    lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    members = settle(entries.join(lists, "key"))
+    shared = members.groupBy("id", "part").agg(F.count(F.lit(1)).alias("s"))
+    return members.join(shared, ["id", "part"]).withColumn("t", 2 * (100 + similarity) * (F.col("d") - F.col("e") + F.col("s"))).drop("d", "e", "s", "part")
+
+
 def reachable(entries: DataFrame) -> DataFrame:
     """Entries without those that nothing in their list can reach, or that reach nothing there.
 
     Members of the component of the list's centre (``main``) need partners outside it only.
     """
     side = lambda f, c, m: f(F.when(F.col("main") == F.lit(m), F.col(c)))
-    ends = entries.groupBy("key").agg(side(F.min, "u", True).alias("um"), side(F.min, "u", False).alias("uo"), side(F.max, "r", True).alias("rm"), side(F.max, "r", False).alias("ro"))
+    ends = entries.groupBy("key").agg(side(F.min, "u", True).alias("um"), side(F.min, "u", False).alias("uo"), side(F.max, "r", True).alias("rm"), side(F.max, "r", False).alias("ro"), F.max("t").alias("tx"))
     u, r = F.when(F.col("main"), F.col("uo")).otherwise(F.least("um", "uo")), F.when(F.col("main"), F.col("ro")).otherwise(F.greatest("rm", "ro"))
-    return entries.join(ends, "key").filter((F.col("r") >= u) & (F.col("u") <= r)).drop("um", "uo", "rm", "ro")
+    return entries.join(ends, "key").filter((F.col("r") >= u) & (F.col("u") <= r) & (F.col("u") + u <= F.col("tx"))).drop("um", "uo", "rm", "ro", "tx")
 
 
 def star_pairs(entries: DataFrame) -> DataFrame:
     """(a, b): each list's centre with every other member, for lists that span components; two alone are paired only within reach."""
     entries = reachable(entries)
-    lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("p", "id", "u", "r")).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("p", "id", "u", "r", "t")).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     lists = lists.filter("n > 1 AND low < high").select("key", "n", "c")
-    members = entries.join(lists, "key").filter("id <> c.id AND (n > 2 OR (u <= c.r AND c.u <= r))")
+    members = entries.join(lists, "key").filter("id <> c.id AND (n > 2 OR (u <= c.r AND c.u <= r AND u + c.u <= greatest(t, c.t)))")
     return members.select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def reaching_pairs(entries: DataFrame) -> DataFrame:
     """(a, b): members of one list in different components that reach each other."""
     entries = settle(reachable(entries))
-    one, two = (entries.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("id", "u", "r", "comp")]) for i in (1, 2))
-    met = one.join(two, "key").filter("id1 < id2 AND comp1 <> comp2 AND u1 <= r2 AND u2 <= r1")
+    one, two = (entries.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("id", "u", "r", "t", "comp")]) for i in (1, 2))
+    met = one.join(two, "key").filter("id1 < id2 AND comp1 <> comp2 AND u1 <= r2 AND u2 <= r1 AND u1 + u2 <= greatest(t1, t2)")
     return met.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
 
 
@@ -139,12 +176,8 @@ def rarity(sets: DataFrame) -> np.ndarray:
         for batch in sliced(batches, 4096):
             all_ = np.concatenate([*[np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("set")], np.empty(0, np.uint64)])
             bucket, n = np.unique((all_ & np.uint64(BUCKETS - 1)).astype(np.int32), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int64))], names=["bucket", "n"])
-    rows = sets.select("set").mapInArrow(tally, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter("n > 1")
-    got = rows.select("bucket", F.floor(F.log2("n")).cast("byte").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.uint8)
-    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return out
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int64))], names=["bucket", "hits"])
+    return by_bucket(sets.select("set").mapInArrow(tally, "bucket int, hits long"))
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -187,11 +220,11 @@ def open_members(checked: DataFrame, groups: DataFrame, similarity: int) -> Data
 
 
 def differences(members: DataFrame, sets: DataFrame, frequency, similarity: int, kind: str) -> DataFrame:
-    """(key, id, p, u, r, comp, main): prefix entries of b's difference from its centre, rare elements first."""
+    """(key, id, p, u, r, d, e, part, comp, main): prefix entries of b's difference from its centre, rare elements first."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequency.value
         for batch in sliced(batches):
-            keys, rows, rs = [], [], []
+            keys, rows, rs, ds, es = [], [], [], [], []
             seen = zip(batch.column("x"), batch.column("y"), batch.column("u").to_pylist(), batch.column("least").to_pylist(), batch.column("star").to_pylist())
             for row, (x, y, u, least, star) in enumerate(seen):
                 one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -203,19 +236,22 @@ def differences(members: DataFrame, sets: DataFrame, frequency, similarity: int,
                     keys.append(mix(d[:m] ^ mix(np.array([star], np.int64).view(np.uint64))))
                 rows.append(np.full(m, row))
                 rs.append(reach[:m])
+                ds.append(np.full(m, len(d)))
+                es.append(np.full(m, m))
             take = pa.array(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64)), batch.column("b").take(take), batch.column("p").take(take), batch.column("u").take(take),
-                                              pa.array(np.concatenate([*rs, np.empty(0, np.int64)]).astype(np.int64)), batch.column("comp").take(take), batch.column("main").take(take)], names=["key", "id", "p", "u", "r", "comp", "main"])
+                                              *[pa.array(np.concatenate([*v, np.empty(0, np.int64)]).astype(np.int64)) for v in (rs, ds, es)],
+                                              *[batch.column(c).take(take) for c in ("star", "comp", "main")]], names=["key", "id", "p", "u", "r", "d", "e", "part", "comp", "main"])
     rows = with_sets(members, sets).select("b", "p", "x", "y", "u", "least", "comp", "main", F.xxhash64("a").alias("star"))
-    return rows.mapInArrow(make, f"key long, id {kind}, p long, u long, r long, comp {kind}, main boolean")
+    return rows.mapInArrow(make, f"key long, id {kind}, p long, u long, r long, d long, e long, part long, comp {kind}, main boolean")
 
 
-def join_groups(docs: DataFrame, classes: DataFrame, width: int, similarity: int) -> DataFrame:
+def join_groups(docs: DataFrame, classes: DataFrame, frequent: np.ndarray, width: int, similarity: int) -> DataFrame:
     """(node, component) of the similarity graph of the classes' first documents."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    entries = index(docs, classes, width, similarity)
-    lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    entries = settle(entries.join(lists, "key").withColumn("comp", F.col("id")).withColumn("main", F.lit(False)))
+    entries = index(docs, classes, frequent, width, similarity)
+    entries = shared_entries(entries, similarity).withColumn("comp", F.col("id")).withColumn("main", F.lit(False))
+    entries = settle(reachable(entries))
     sets = sets_of(docs, classes, entries.select("id").distinct(), width)
     frequency = docs.sparkSession.sparkContext.broadcast(rarity(sets))
     places = settle(familiar(sets, frequency, kind))
@@ -230,7 +266,7 @@ def join_groups(docs: DataFrame, classes: DataFrame, width: int, similarity: int
             groups = components(reduce(DataFrame.unionByName, links))
         if level == STAR_LEVELS:
             return groups
-        entries = settle(differences(open_members(checked, groups, similarity), sets, frequency, similarity, kind))
+        entries = settle(shared_entries(settle(differences(open_members(checked, groups, similarity), sets, frequency, similarity, kind)), similarity))
         pairs = settle((star_pairs if level + 1 < STAR_LEVELS else reaching_pairs)(entries))
         if not pairs.head(1):
             return groups
@@ -247,12 +283,13 @@ def similar(df: DataFrame, key: str, text: str, width: int = 4, similarity: int
     """
     short_batches(df.sparkSession)
     docs = pick(df, doc_id=key, text=text)
-    each = settle(sizes(docs, width))
+    counted = settle(sizes(docs, width))
+    each, frequent = counted.filter("hits IS NULL").drop("bucket", "hits"), by_bucket(counted.filter("hits IS NOT NULL"))
     named = each.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.when(F.col("set_id").isNotNull(), F.struct("set_id", "n_shingles"))).alias("s"))
     known = named.select("doc_id", F.coalesce("s.n_shingles", F.lit(0)).cast("long").alias("n_shingles"), "s.set_id")
     found = known.filter("set_id IS NOT NULL")
     classes = settle(found.groupBy("set_id").agg(F.min("doc_id").alias("id")))
-    groups = join_groups(docs, classes, width, similarity)
+    groups = join_groups(docs, classes, frequent, width, similarity)
     placed = found.join(classes.withColumnRenamed("id", "class_id"), "set_id").join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
     placed = placed.select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = known.select("doc_id", "n_shingles").join(placed, "doc_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
