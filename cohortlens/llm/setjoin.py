@@ -75,9 +75,10 @@ def by_bucket(rows: DataFrame) -> np.ndarray:
 
 
 def index(docs: DataFrame, classes: DataFrame, frequent: np.ndarray, width: int, similarity: int) -> DataFrame:
-    """(key, id, u, r, d, e, part): prefix entries of the first document of each class, filed by shingle and size block.
+    """(key, id, u, r, d, e, part, p): prefix entries of the first document of each class, filed by shingle and size block.
 
-    ``d`` is the size of the set and ``e`` the number of its entries in the block ``part``.
+    ``d`` is the size of the set and ``e`` the number of its entries in the block ``part``;
+    ``p`` says how frequent its shingles are on average, negated.
     Texts are read in place behind a filter of fixed size; a document it lets through in vain is a copy of another
     and only adds entries.
     """
@@ -89,13 +90,15 @@ def index(docs: DataFrame, classes: DataFrame, frequent: np.ndarray, width: int,
         for batch in sliced(batches):
             at = batch.column("at").to_numpy().astype(np.uint64)
             batch = batch.filter(pa.array((bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) > 0))
-            keys, rows, us, rs, ds, es, gs = ([] for _ in range(7))
+            keys, rows, us, rs, ds, es, gs, ps = ([] for _ in range(8))
             for row, text in enumerate(texts_of(batch.column("text"))):
                 s = shingles(text, width, hashes)
                 n = len(s)
                 if not n:
                     continue
-                s = s[np.argsort(often[s & np.uint64(BUCKETS - 1)], kind="stable")]  # rare ones first
+                known = often[s & np.uint64(BUCKETS - 1)]
+                familiar = -int(known.sum(dtype=np.int64)) * 10_000 // n
+                s = s[np.argsort(known, kind="stable")]  # rare ones first
                 reach = 200 * n - 2 * (100 + similarity) * np.arange(n)
                 block = int(np.searchsorted(low, n, "right")) - 1
                 for b, least in ((block, -(-similarity * n // 100)), (block + 1, max(int(low[block + 1]), n + 1))):
@@ -108,26 +111,14 @@ def index(docs: DataFrame, classes: DataFrame, frequent: np.ndarray, width: int,
                     ds.append(np.full(m, n))
                     es.append(np.full(m, m))
                     gs.append(np.full(m, b))
+                    ps.append(np.full(m, familiar))
             ids = batch.column("id").take(pa.array(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64)), ids,
-                                              *[pa.array(np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64)) for x in (us, rs, ds, es, gs)]],
-                                             names=["key", "id", "u", "r", "d", "e", "part"])
+                                              *[pa.array(np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64)) for x in (us, rs, ds, es, gs, ps)]],
+                                             names=["key", "id", "u", "r", "d", "e", "part", "p"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     asked = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text", F.expr(f"pmod(xxhash64(doc_id), {FILTER_BITS})").alias("at"))
-    return settle(asked.mapInArrow(make, f"key long, id {kind}, u long, r long, d long, e long, part long"))
-
-
-def familiar(sets: DataFrame, frequency, kind: str) -> DataFrame:
-    """(id, p): how frequent the shingles of a set are on average, negated.
-
-    The most familiar member of a list becomes its centre: an original rather than one of its altered copies.
-    """
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = frequency.value
-        for batch in sliced(batches, 4096):
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) & np.uint64(BUCKETS - 1) for x in batch.column("set")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([-int(often[s].sum(dtype=np.int64)) * 10_000 // len(s) for s in sets], pa.int64())], names=["id", "p"])
-    return sets.mapInArrow(make, f"id {kind}, p long")
+    return settle(asked.mapInArrow(make, f"key long, id {kind}, u long, r long, d long, e long, part long, p long"))
 
 
 def shared_entries(entries: DataFrame, similarity: int) -> DataFrame:
@@ -252,12 +243,11 @@ def join_groups(docs: DataFrame, classes: DataFrame, frequent: np.ndarray, width
     entries = index(docs, classes, frequent, width, similarity)
     entries = shared_entries(entries, similarity).withColumn("comp", F.col("id")).withColumn("main", F.lit(False))
     entries = settle(reachable(entries))
-    sets = sets_of(docs, classes, entries.select("id").distinct(), width)
+    pairs = settle(star_pairs(entries))
+    places = entries.select("id", "p").distinct()
+    sets = sets_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width)
     frequency = docs.sparkSession.sparkContext.broadcast(rarity(sets))
-    places = settle(familiar(sets, frequency, kind))
-    sets = sets.join(places, "id")
-    pairs = settle(star_pairs(entries.join(places, "id")))
-    known = sets.select("id")
+    sets = settle(sets.join(places, "id"))
     links, groups = [], None
     for level in range(STAR_LEVELS + 1):
         checked = compared(pairs, sets, kind)
