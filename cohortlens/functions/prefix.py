@@ -64,7 +64,8 @@ def number_rows(df: DataFrame, keys, order, lead: Column, out: str, by_share=Fal
     earlier buckets: one plan for tables of every size.
     """
     keys = list(keys)
-    if not keys:
+    made = not keys
+    if made:
         df, keys = df.withColumn("__all", F.lit(1)), ["__all"]
     share = F.floor(lead * F.lit(float(SHARE_BUCKETS))) if by_share else lead
     marked = df.withColumn("__bucket", share.cast("long"))
@@ -76,7 +77,7 @@ def number_rows(df: DataFrame, keys, order, lead: Column, out: str, by_share=Fal
     offsets = totals.select(*keys, "__bucket", F.sum("__n").over(before).alias("__off"))
     joined = null_safe_join(numbered, offsets, [*keys, "__bucket"], "left")
     return (joined.withColumn(out, F.col(out) + F.coalesce("__off", F.lit(0)))
-            .drop("__bucket", "__off", "__all"))
+            .drop("__bucket", "__off", *(["__all"] if made else [])))
 
 
 def running(df: DataFrame, keys, order, lead: Column, **cols) -> DataFrame:

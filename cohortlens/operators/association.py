@@ -66,8 +66,8 @@ def association_matrix(df: DataFrame, cols, label: str) -> DataFrame:
 
 def association_null(df: DataFrame, a: str, b: str, n_perm: int, seed=0, row="row_id") -> DataFrame:
     """Observed V and MI against shuffles of one variable: null mean, q95, p."""
-    base = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("__all", F.lit(1))
-    p = resample.permute_within(base, n_perm, ["__all"], row, b, seed)
+    base = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("whole", F.lit(1))
+    p = resample.permute_within(base, n_perm, ["whole"], row, b, seed)
     null = table_statistics(settle(contingency(base.drop(b).join(p, row), a, b, ["perm"])), ["perm"])
     obs = table_statistics(contingency(base, a, b)).select(F.col("v").alias("v_obs"), F.col("mi").alias("mi_obs"))
     j = null.crossJoin(F.broadcast(obs))
