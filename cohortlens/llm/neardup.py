@@ -197,12 +197,14 @@ def cluster(df: DataFrame, key: str, text: str, width: int = 5, similarity: int
     """One row per document: ``key``, ``n_shingles``, ``class_id`` (first document with its set), ``component_id``, ``kept``.
 
     ``component_id`` is the smallest key that links lead to. A missing or empty text is linked with nothing and kept.
-    Rows of one key are one document, with that of their sets whose hash is lowest. A missing key has no class, is
+    Rows of one key are one document, with that of their non-empty sets whose hash is lowest. A missing key has no class, is
     linked with nothing and kept, row by row. Other columns are ignored.
     """
     docs = pick(df, doc_id=key, text=text)
     each = settle(prints(docs, width))
-    known = each.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("set_id", "n_shingles", "signature")).alias("s")).select("doc_id", "s.*")
+    known = each.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min(F.when(F.col("set_id").isNotNull(), F.struct("set_id", "n_shingles", "signature"))).alias("s"))
+    known = known.select("doc_id", "s.set_id", F.coalesce("s.n_shingles", F.lit(0)).cast("long").alias("n_shingles"), "s.signature")
     found = known.filter("set_id IS NOT NULL")
     classes = settle(found.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature")))
 

@@ -124,3 +124,11 @@ def test_links_of_paths_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 141)}}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_repeated_id_with_a_missing_text(spark):
+    """A null or empty row of an id does not hide its text."""
+    text = " ".join(f"a{i}" for i in range(40))
+    rows = [(1, None), (1, text), (1, ""), (2, text), (3, None), (3, "")]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.cluster(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {1: (36, 1, True), 2: (36, 1, False), 3: (0, 3, True)}
