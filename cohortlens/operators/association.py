@@ -178,11 +178,24 @@ def rater_agreement(df: DataFrame, item="item", code="code", keys=()) -> DataFra
 
 
 def agreement_bootstrap(df: DataFrame, n_boot=2000, seed=0, item="item", code="code") -> DataFrame:
-    """Item-resampled interval of the observed agreement."""
+    """Item-resampled intervals of the observed agreement, Fleiss kappa and Gwet AC1: one row per ``statistic``.
+
+    Items of equal category counts are one type; a replicate is the weights of its types, so its statistics are sums over
+    few rows. Categories are those of the replicate; with one alone kappa is undefined (skipped) and AC1 is 1.
+    """
     c = df.groupBy(item, F.col(code).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    per = settle(c.groupBy(item).agg((F.sum(F.col("n") * (F.col("n") - 1)) / (F.sum("n") * (F.sum("n") - 1))).alias("pa")))
-    r = per.join(resample.draws(per, n_boot, seed, item), item).groupBy("rep").agg((F.sum(F.col("pa") * F.col("mult")) / F.sum("mult")).alias("pa"))
-    return resample.percentile_ci(r, [], "pa")
+    per = settle(c.groupBy(item).agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("type")))  # an item has few codes
+    types = settle(per.join(resample.draws(per, n_boot, seed, item), item).groupBy("rep", "type").agg(F.sum("mult").alias("w")))
+    cell = types.select("rep", "w", F.inline("type"), F.aggregate("type", F.lit(0).cast("long"), lambda t, x: t + x["n"]).alias("m"))
+    share = cell.groupBy("rep").agg(F.sum(F.col("w") * F.col("n")).alias("t"), F.sum(F.col("w") * F.col("n") * (F.col("n") - 1) / (F.col("m") * (F.col("m") - 1))).alias("agree"))
+    items = types.groupBy("rep").agg(F.sum("w").alias("items"))
+    cat = cell.groupBy("rep", "c").agg(F.sum(F.col("w") * F.col("n")).alias("n")).join(share, "rep").withColumn("s", F.col("n") / F.col("t"))
+    g = cat.groupBy("rep").agg(F.sum(F.col("s") * F.col("s")).alias("pf"), F.sum(F.col("s") * (1 - F.col("s"))).alias("pg"), F.count(F.lit(1)).alias("q"), F.max("agree").alias("agree"))
+    g = g.join(items, "rep").withColumn("pa", F.col("agree") / F.col("items")).withColumn("pg", F.when(F.col("q") > 1, F.col("pg") / (F.col("q") - 1)).otherwise(0.0))
+    kappa = F.when(F.col("q") > 1, (F.col("pa") - F.col("pf")) / (1 - F.col("pf")))
+    rows = F.array(*[F.struct(F.lit(k).alias("statistic"), v.alias("value")) for k, v in (
+        ("pa", F.col("pa")), ("fleiss_kappa", kappa), ("gwet_ac1", (F.col("pa") - F.col("pg")) / (1 - F.col("pg"))))])
+    return resample.percentile_ci(g.select(F.inline(rows)), ["statistic"], "value")
 
 
 def cohen_kappa(df: DataFrame, item="item", rater="rater", code="code") -> DataFrame:

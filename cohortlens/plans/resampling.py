@@ -125,14 +125,15 @@ def _(t):
     return r.bootstrap_accuracy(t.emb_multi.withColumn("correct", F.expr("class % 2 = row_id % 2")), B, 1)
 
 
-AGREE = "sum(pa * mult) / sum(mult)"
-
-
-@query("agreement_bootstrap", CI, f"""
-WITH c AS (SELECT item, sum(n * (n - 1)) / 12.0::DOUBLE AS pa FROM (SELECT item, code, count(*) AS n FROM raters GROUP BY 1, 2) q GROUP BY item),
-u AS (SELECT *, row_number() OVER (ORDER BY {U("'idx|' || item")}, item) - 1 AS idx, count(*) OVER () AS k FROM c),
-d AS (SELECT rep, {H("'1|' || rep || '|' || idx")} % k AS d, count(*) AS mult FROM u, range({B}) x(rep) GROUP BY 1, 2)
-{ci("SELECT rep, sum(pa * mult) / sum(mult) AS pa FROM d JOIN u ON u.idx = d.d GROUP BY rep", "", "pa")}""")
+@query("agreement_bootstrap", f"statistic {CI}", f"""
+WITH c AS (SELECT item, code, count(*) AS n FROM raters GROUP BY 1, 2), p AS (SELECT item, sum(n) AS m, sum(n * (n - 1)) AS ag FROM c GROUP BY item),
+u AS (SELECT *, row_number() OVER (ORDER BY {U("'idx|' || item")}, item) - 1 AS idx, count(*) OVER () AS k FROM p),
+d AS (SELECT rep, {H("'1|' || rep || '|' || idx")} % k AS d, count(*) AS mult FROM u, range({B}) x(rep) GROUP BY 1, 2),
+o AS (SELECT rep, sum(mult * ag / CAST(m * (m - 1) AS DOUBLE)) / sum(mult) AS pa, sum(mult * m) AS t FROM d JOIN u ON u.idx = d.d GROUP BY rep),
+s AS (SELECT d.rep, code, sum(mult * n) AS n FROM d JOIN u ON u.idx = d.d JOIN c ON c.item = u.item GROUP BY 1, 2),
+e AS (SELECT o.rep, pa, sum((n / CAST(t AS DOUBLE)) * (n / CAST(t AS DOUBLE))) AS pf, sum((n / CAST(t AS DOUBLE)) * (1 - n / CAST(t AS DOUBLE))) AS w, count(*) AS q FROM s JOIN o ON o.rep = s.rep GROUP BY 1, 2),
+r AS (SELECT rep, pa, CASE WHEN q > 1 THEN (pa - pf) / (1 - pf) END AS fleiss_kappa, CASE WHEN q > 1 THEN (pa - w / (q - 1)) / (1 - w / (q - 1)) ELSE 1.0 END AS gwet_ac1 FROM e)
+{ci("SELECT unnest(['pa', 'fleiss_kappa', 'gwet_ac1']) AS statistic, unnest([pa, fleiss_kappa, gwet_ac1]) AS value FROM r", "statistic", "value")}""")
 def _(t):
     from ..operators.association import agreement_bootstrap
     return agreement_bootstrap(t.raters, B, 1)

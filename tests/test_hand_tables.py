@@ -136,3 +136,12 @@ def test_normal_tail_column_matches_erfc(spark):
 def test_chi_square_tail(spark):
     r = spark.range(1).select(i.chi2_p(F.lit(3.841458820694124), F.lit(1)).alias("a"), i.chi2_p(F.lit(18.307038053275146), F.lit(10)).alias("b")).first()
     assert abs(r["a"] - 0.05) < 1e-9 and abs(r["b"] - 0.05) < 1e-9
+
+
+def test_agreement_bootstrap_degenerate_replicates(spark):
+    """One category everywhere: agreement and AC1 are 1 in each replicate, kappa is undefined and skipped."""
+    from cohortlens.operators.association import agreement_bootstrap
+    rows = [(str(i), str(r), "yes") for i in range(6) for r in range(3)]
+    got = {r.statistic: r for r in agreement_bootstrap(spark.createDataFrame(rows, "item string, rater string, code string"), 40, 1).collect()}
+    assert (got["pa"].ci_lo, got["pa"].ci_hi, got["gwet_ac1"].ci_lo, got["gwet_ac1"].ci_hi) == (1.0, 1.0, 1.0, 1.0)
+    assert (got["fleiss_kappa"].n_used, got["fleiss_kappa"].n_skipped, got["fleiss_kappa"].ci_lo) == (0, 40, None)
