@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import unit_draw
-from ..functions.prefix import number_rows
+from ..functions.prefix import null_safe_join, number_rows, running, spread
 from ..session import settle
 from . import metrics as m
 from . import resample
@@ -42,14 +42,53 @@ def pairs(df: DataFrame, keys=(), item="method", values=("a", "b")) -> DataFrame
     return j.filter(F.col("i") < F.col("j"))
 
 
-def kendall_tau_b(df: DataFrame, a: str, b: str, keys=(), item="method", out="tau") -> DataFrame:
-    """Tau-b with tie correction; null when a side is all tied."""
+def tau_of_methods(df: DataFrame, a: str, b: str, keys=(), item="method", out="tau") -> DataFrame:
+    """Tau-b of short lists (methods of a replicate) by their pairs; null when a side is all tied."""
     p = pairs(df, keys, item, (a, b))
     sa, sb = F.signum(F.col(f"{a}_i") - F.col(f"{a}_j")), F.signum(F.col(f"{b}_i") - F.col(f"{b}_j"))
     na, nb = F.sum(F.abs(sa)), F.sum(F.abs(sb))
     return p.groupBy(*keys).agg(F.when((na > 0) & (nb > 0), F.sum(sa * sb) / F.sqrt(na * nb)).alias(out))
 
 
+def inversions(df: DataFrame, keys, place: str, rank: str) -> DataFrame:
+    """(keys, inversions): pairs whose ``rank`` strictly falls while ``place`` (0-based, distinct) rises.
+
+    Two ranks differ first at one binary digit, where the larger has a one: for every digit, each zero counts the ones before
+    it among the ranks that agree in all higher digits. Running counts are cut by place, so no list is one task: n log n rows.
+    """
+    top = df.agg(F.coalesce(F.length(F.bin(F.max(rank))), F.lit(1)).alias("n")).head()[0]  # one number
+    digits = df.select(*keys, F.col(place).alias("__at"), F.col(rank).alias("__r"), F.explode(F.sequence(F.lit(0), F.lit(top - 1))).alias("__digit"))
+    rows = digits.select(*keys, "__at", "__digit", F.expr("shiftright(__r, __digit + 1)").alias("__high"), F.expr("shiftright(__r, __digit) & 1").alias("__one"))
+    counted = running(rows, [*keys, "__digit", "__high"], ["__at"], F.expr("shiftright(__at, 12)"), __before="__one")
+    return counted.groupBy(*keys).agg(F.sum(F.when(F.col("__one") == 0, F.col("__before")).otherwise(0)).alias("inversions"))
+
+
+def kendall_tau_b(df: DataFrame, a: str, b: str, keys=(), out="tau") -> DataFrame:
+    """Tau-b with tie correction of lists of any length; null when a side is all tied. Rows that miss a value are left out.
+
+    Discordant pairs are the inversions of b's rank in the order of (a, b); tied pairs come from counts.
+    """
+    made = not keys
+    keys = list(keys) or ["__list"]
+    d = (df.withColumn("__list", F.lit(1)) if made else df).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    d = settle(d.select(*keys, F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b")))
+    both = settle(d.groupBy(*keys, "__a", "__b").agg(F.count(F.lit(1)).alias("__n")))
+    tied = lambda cols, name: (both.groupBy(*keys, *cols).agg(F.sum("__n").alias("t")).groupBy(*keys)
+                               .agg(F.sum(F.expr("t * (t - 1) div 2")).alias(name), F.sum("t").alias("n")))
+    ranks = number_rows(both.select(*keys, "__b").distinct(), keys, ["__b"], spread(F.col("__b")), "__rank")
+    placed = number_rows(d, keys, ["__a", "__b"], spread(F.col("__a")), "__place")
+    rows = settle(null_safe_join(placed, ranks, [*keys, "__b"]))
+    t = tied(["__a"], "ta")
+    for cols, name in ((["__b"], "tb"), (["__a", "__b"], "tab")):
+        t = null_safe_join(t, tied(cols, name).drop("n"), keys)
+    t = null_safe_join(t, inversions(rows, keys, "__place", "__rank"), keys)
+    all_ = F.expr("n * (n - 1) div 2")
+    free_a, free_b = (all_ - F.col("ta")).cast("double"), (all_ - F.col("tb")).cast("double")
+    score = all_ - F.col("ta") - F.col("tb") + F.col("tab") - 2 * F.col("inversions")
+    got = t.select(*keys, F.when((free_a > 0) & (free_b > 0), score / F.sqrt(free_a * free_b)).alias(out))
+    return got.drop("__list") if made else got
+
+
 def top_k(df: DataFrame, k: int, keys=(), value="auc") -> DataFrame:
     """Top-k rows including ties at the k-th place."""
     w = Window.partitionBy(*keys).orderBy(F.col(value).desc())
@@ -76,7 +115,7 @@ def _agreement(wide: DataFrame, keys) -> DataFrame:
     t = wide.select(*keys, "method", rs.alias("rs"), rp.alias("rp")).groupBy(*keys).agg(
         F.max(((F.col("rs") == 1) & (F.col("rp") == 1)).cast("int")).alias("top1_same"),
         F.count_if((F.col("rs") <= 3) & (F.col("rp") <= 3)).alias("top3_overlap"))
-    return (spearman(wide, "slice", "patient", keys).join(kendall_tau_b(wide, "slice", "patient", keys), keys).join(t, keys))
+    return (spearman(wide, "slice", "patient", keys).join(tau_of_methods(wide, "slice", "patient", keys), keys).join(t, keys))
 
 
 def rank_agreement(point: DataFrame, reps: DataFrame) -> DataFrame:
@@ -103,12 +142,12 @@ def rank_stability(point: DataFrame, reps: DataFrame, halves: DataFrame | None =
         "method", F.col("slice").alias("slice_0"), F.col("patient").alias("patient_0"))
     j = settle(w.join(F.broadcast(pw), "method"))  # one row per method on the small side
     keys = ["rep"]
-    t = (kendall_tau_b(j, "slice", "patient", keys, out="t_bt").join(kendall_tau_b(j, "slice", "slice_0", keys, out="t_ws"), keys)
-         .join(kendall_tau_b(j, "patient", "patient_0", keys, out="t_wp"), keys))
+    t = (tau_of_methods(j, "slice", "patient", keys, out="t_bt").join(tau_of_methods(j, "slice", "slice_0", keys, out="t_ws"), keys)
+         .join(tau_of_methods(j, "patient", "patient_0", keys, out="t_wp"), keys))
     first = lambda c: F.rank().over(Window.partitionBy(*keys).orderBy(F.col(c).desc())) == 1
     top = j.select("rep", (first("slice") & first("slice_0")).cast("int").alias("s"), (first("patient") & first("patient_0")).cast("int").alias("p")) \
         .groupBy("rep").agg(F.max("s").alias("top_s"), F.max("p").alias("top_p"))
-    obs = kendall_tau_b(pw, "slice_0", "patient_0", out="tau_obs")
+    obs = tau_of_methods(pw, "slice_0", "patient_0", out="tau_obs")
     d = t.join(top, "rep").filter("t_bt IS NOT NULL AND t_ws IS NOT NULL AND t_wp IS NOT NULL").crossJoin(F.broadcast(obs))
     med = lambda c: F.percentile(c, F.lit(0.5))
     ds, dp = F.col("t_ws") - F.col("t_bt"), F.col("t_wp") - F.col("t_bt")  # (1 - t_bt) - (1 - t_w)
@@ -146,7 +185,7 @@ def split_half_tau(df: DataFrame, n_rep=200, seed=0, method="method", subject="s
                                              (F.count("auc") == 2).alias("ok"))
     w = settle(w)
     bad = w.filter("NOT ok").select("rep").distinct()
-    t = kendall_tau_b(w.join(bad, "rep", "left_anti"), "h0", "h1", ["rep", "unit"], method)
+    t = tau_of_methods(w.join(bad, "rep", "left_anti"), "h0", "h1", ["rep", "unit"], method)
     q = lambda x: F.percentile("tau", F.lit(x))
     return t.groupBy("unit").agg(q(0.5).alias("tau_median"), q(0.025).alias("tau_lo"), q(0.975).alias("tau_hi"), F.count("tau").alias("n_used"))
 
@@ -215,7 +254,7 @@ def discordant_tables(cells: DataFrame) -> DataFrame:
     b = w.join(top, keys).groupBy(*keys).agg(
         F.count_if(F.col("fine") == F.col("mf")).alias("kf"), F.count_if(F.col("coarse") == F.col("mc")).alias("kc"), F.max("n_models").alias("n_models"),
         F.count_if((F.col("fine") == F.col("mf")) & (F.col("coarse") == F.col("mc"))).alias("both"))
-    return (g.join(b, keys).join(kendall_tau_b(w, "fine", "coarse", keys, "model"), keys).filter("n_discordant > 0")
+    return (g.join(b, keys).join(kendall_tau_b(w, "fine", "coarse", keys), keys).filter("n_discordant > 0")
             .withColumn("top1_changed_strict", (F.col("both") == 0) & (F.col("kf") == 1) & (F.col("kc") == 1)).drop("kf", "kc", "both"))
 
 

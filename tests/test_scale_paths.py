@@ -105,3 +105,22 @@ def test_folded_normal_inversion(spark):
     d = d.withColumn("obs", th.folded_mean(F.col("delta"), F.col("tau")))
     for q in d.select("delta", th.invert_folded(F.col("obs"), F.col("tau")).alias("back")).collect():
         assert abs(q["delta"] - q["back"]) < 1e-6
+
+
+@pytest.mark.parametrize("n, levels", [(10_000, 10_000), (10_000, 40), (3, 2), (5, 1)])
+def test_kendall_counts_inversions(spark, n, levels):
+    """Two lists, one of them long: the same as all pairs, counted by numpy."""
+    import numpy as np
+    from cohortlens.operators.ranking import kendall_tau_b
+    g = np.random.default_rng(n + levels)
+    lists = {None: (g.integers(0, levels, n), g.integers(0, levels, n)), "short": (np.array([1, 1, 2, 5]), np.array([3.5, 3.5, -1, -1e9]))}
+    lists[None] = (lists[None][0], lists[None][1] + lists[None][0] // 2)
+    rows = [(k, f"m{i}", float(x), float(y)) for k, (a, b) in lists.items() for i, (x, y) in enumerate(zip(a, b))] + [("short", "no", None, 1.0)]
+    got = {r.grp: r.tau for r in kendall_tau_b(spark.createDataFrame(rows, "grp string, method string, a double, b double"), "a", "b", ["grp"]).collect()}
+    for key, (a, b) in lists.items():
+        c = free_a = free_b = 0.0
+        for i in range(len(a)):
+            x, y = np.sign(a[i] - a[i + 1:]), np.sign(b[i] - b[i + 1:])
+            c, free_a, free_b = c + (x * y).sum(), free_a + abs(x).sum(), free_b + abs(y).sum()
+        want = c / np.sqrt(free_a * free_b) if free_a and free_b else None
+        assert got[key] == (pytest.approx(want, abs=1e-12) if want is not None else None)
