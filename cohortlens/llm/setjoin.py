@@ -175,7 +175,7 @@ def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` with the sets x of a and y of b. A centre's set is copied to SALTS parts of its star at most."""
     salted = pairs.withColumn("salt", F.expr(f"pmod(xxhash64(b), {SALTS})"))
     centres = salted.select("a", "salt").distinct().join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-    return salted.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y"), "p"), "b").join(centres, ["a", "salt"]).drop("salt")
+    return salted.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(centres, ["a", "salt"]).drop("salt")
 
 
 def in_first(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -244,10 +244,9 @@ def join_groups(docs: DataFrame, classes: DataFrame, frequent: np.ndarray, width
     entries = shared_entries(entries, similarity).withColumn("comp", F.col("id")).withColumn("main", F.lit(False))
     entries = settle(reachable(entries))
     pairs = settle(star_pairs(entries))
-    places = entries.select("id", "p").distinct()
+    places = entries.groupBy(F.col("id").alias("b")).agg(F.min("p").alias("p"))
     sets = sets_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width)
     frequency = docs.sparkSession.sparkContext.broadcast(rarity(sets))
-    sets = settle(sets.join(places, "id"))
     links, groups = [], None
     for level in range(STAR_LEVELS + 1):
         checked = compared(pairs, sets, kind)
@@ -256,7 +255,7 @@ def join_groups(docs: DataFrame, classes: DataFrame, frequent: np.ndarray, width
             groups = components(reduce(DataFrame.unionByName, links))
         if level == STAR_LEVELS:
             return groups
-        entries = settle(shared_entries(settle(differences(open_members(checked, groups, similarity), sets, frequency, similarity, kind)), similarity))
+        entries = settle(shared_entries(settle(differences(open_members(checked, groups, similarity).join(places, "b"), sets, frequency, similarity, kind)), similarity))
         pairs = settle((star_pairs if level + 1 < STAR_LEVELS else reaching_pairs)(entries))
         if not pairs.head(1):
             return groups
