@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rowwise, sliced, table, worker_cache
+from .common import owned, rowwise, short_batches, sliced, table, trimmed, worker_cache
 from .packing import Index, grouped, pack_batch, pack_ints, pack_words, unpack_batch, unpack_ints, unpack_words
 
 BLOCK = 7_000_000  # pre-tokens of a block: bounds the memory of a task, not the result
@@ -80,16 +80,16 @@ def blocks_of(df: DataFrame, text: str, keep: list[str], pattern: str) -> DataFr
                 codes.append(np.fromiter(map(index.__getitem__, pieces), np.uint32, len(pieces)))
                 held += len(pieces)
                 if held >= BLOCK:
-                    rows.append(columns.slice(at, i + 1 - at))
+                    rows.append(owned(columns.slice(at, i + 1 - at)))
                     yield flush()
                     index, codes, rows, held, at, n_block = Index(), [], [], 0, i + 1, n_block + 1
             if at < len(columns):
-                rows.append(columns.slice(at))
+                rows.append(owned(columns.slice(at)))
         if codes:
             yield flush()
 
     plain = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("text"))
-    return plain.mapInArrow(cut, BLOCK_ROWS)
+    return plain.mapInArrow(trimmed(cut), BLOCK_ROWS)
 
 
 def explode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,12 +171,12 @@ def encode(df: DataFrame, text: str, file: bytes, pattern: str = public_tokenize
     blocks = blocks_of(df, text, keep, pattern)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = blocks.repartition(n, "block")  # both branches below read this one exchange
-    words = dealt.mapInArrow(explode_words, "block long, local int, word binary").repartition(n, "word").sortWithinPartitions("word")
-    parts = words.mapInArrow(encode_sorted, "block long, locals binary, lens binary, ids binary")
+    words = dealt.mapInArrow(trimmed(explode_words), "block long, local int, word binary").repartition(n, "word").sortWithinPartitions("word")
+    parts = words.mapInArrow(trimmed(encode_sorted), "block long, locals binary, lens binary, ids binary")
     joined = dealt.join(parts.groupBy("block").agg(F.collect_list(F.struct("locals", "lens", "ids")).alias("parts")), "block", "left")
     kinds = {f.name: f for f in df.schema.fields}
     schema = T.StructType([T.StructField(f"k{i}", kinds[c].dataType) for i, c in enumerate(keep)] + [T.StructField("__ids", T.BinaryType())])
-    return joined.mapInArrow(assemble, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("__ids").alias(out))
+    return joined.mapInArrow(trimmed(assemble), schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("__ids").alias(out))
 
 
 def decode(df: DataFrame, ids: str, file: bytes, keep: list[str] | None = None, out: str = "decoded") -> DataFrame:
@@ -199,7 +199,7 @@ def decode(df: DataFrame, ids: str, file: bytes, keep: list[str] | None = None,
 
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{ids}`").alias("__ids"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("__decoded", T.BinaryType())])
-    return rows.mapInArrow(join_bytes, schema).withColumnRenamed("__decoded", out)
+    return rows.mapInArrow(trimmed(join_bytes), schema).withColumnRenamed("__decoded", out)
 
 
 def ids_array(ids: str):
@@ -211,6 +211,7 @@ def ids_array(ids: str):
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
+    short_batches(docs.sparkSession)
     file = open(path, "rb").read()
     encoded = encode(docs, "text", file, keep=["doc_id"])
     both = decode(encoded, "ids", file)
