@@ -8,8 +8,8 @@ probability below 3e-5; pairs under the distance are then confirmed on the full
 
 Equal sets are one class from the start. Inside a bucket all members are first compared with its smallest one, the
 centre of a star. What the confirmed links leave apart is compared further, but only where it can matter: counts of
-what members share with the centre rule most pairs out (``possible``). So a group of copies costs about as many
-comparisons as it has members, and no link is lost.
+what members share with the centre (``possible``) and the rarest values of signatures (``inside``) rule most pairs out
+before they are formed. So a group of copies costs about as many comparisons as it has members, and no link is lost.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, settle, sliced, table, texts_of, worker_cache
+from .common import pick, settle, short_batches, sliced, table, texts_of, trimmed, worker_cache
 from .components import components
 from .lm import mix
 
@@ -88,7 +88,7 @@ def prints(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(signatures, pa.binary())],
                                              names=["doc_id", "n_shingles", "set_id", "signature"])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(make, f"doc_id {kind}, n_shingles long, set_id binary, signature binary")
+    return docs.mapInArrow(trimmed(make), f"doc_id {kind}, n_shingles long, set_id binary, signature binary")
 
 
 def chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,7 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     signed = (pairs.join(classes.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a")
               .join(classes.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b"))
     kind = classes.schema["id"].dataType.simpleString()
-    return signed.select("a", "b", "sa", "sb").mapInArrow(close, f"a {kind}, b {kind}")
+    return signed.select("a", "b", "sa", "sb").mapInArrow(trimmed(close), f"a {kind}, b {kind}")
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -139,7 +139,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int) ->
                                               pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set_id", "set"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     asked = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.expr(f"pmod(xxhash64(doc_id), {FILTER_BITS})").alias("at"))
-    found = asked.mapInArrow(make, f"id {kind}, set_id binary, set binary")
+    found = asked.mapInArrow(trimmed(make), f"id {kind}, set_id binary, set binary")
     needed = ids.join(classes.select("id", "set_id"), "id")
     return settle(found.join(needed, ["id", "set_id"], "left_semi").select("id", "set").dropDuplicates(["id"]))
 
@@ -159,38 +159,101 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -
     sets = sets_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width)
     kind = classes.schema["id"].dataType.simpleString()
     full = (pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a"))
-    return settle(full.select("a", "b", "x", "y").mapInArrow(check, f"a {kind}, b {kind}, na long, nb long, both long, novel binary"))
+    return settle(full.select("a", "b", "x", "y").mapInArrow(trimmed(check), f"a {kind}, b {kind}, na long, nb long, both long, novel binary"))
 
 
 def linked(checked: DataFrame, similarity: int) -> DataFrame:
     return checked.filter(100 * F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def explode_novel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
-        sets = [np.frombuffer(x, np.int64) for x in batch.column("novel").to_pylist()]
-        rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows), pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))], names=["a", "b", "h"])
+def novel_prefixes(similarity: int):
+    """Rows (a, id, c, size, shared, h, rest) of the novel shingles that a link of ``id`` inside its star could meet first.
+
+    A partner y of u is at least ``similarity`` of its size, and the centre's part can give them no more than u shares with
+    the centre; so at least ceil(similarity * size) - shared shingles must be common among the novel ones, which are in one
+    order everywhere. The first common one has that many less one after it. ``rest`` is the number of those after it.
+    """
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            rows, values, rests = [], [], []
+            for i, (novel, size, shared) in enumerate(zip(batch.column("novel").to_pylist(), batch.column("size").to_pylist(), batch.column("shared").to_pylist())):
+                h = np.frombuffer(novel, np.int64)
+                upto = max(0, len(h) - max(1, -(-similarity * size // 100) - shared) + 1)
+                rows.append(np.full(upto, i))
+                values.append(h[:upto])
+                rests.append(len(h) - 1 - np.arange(upto))
+            at = pa.array(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64))
+            kept = [batch.column(c).take(at) for c in ("a", "id", "c", "size", "shared")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate([*values, np.empty(0, np.int64)])), pa.array(np.concatenate([*rests, np.empty(0, np.int64)]).astype(np.int64))],
+                                             names=["a", "id", "c", "size", "shared", "h", "rest"])
+    return explode
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def possible(stars: DataFrame, groups: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of members of one star that may be similar, although one of them is not linked to its centre and no links join them yet.
+
+    Two members share at most the smaller of what they share with the centre, and of what is novel to it in both. So a pair
+    needs that many novel shingles in common, or none where the centre's part is enough; every other pair is ruled out by
+    count, inside the joins. Stars whose members are all in one component are left out before.
+    """
+    at = stars.join(groups.select(F.col("node").alias("b"), F.col("component").alias("c")), "b", "left")
+    missed = 100 * F.col("both") < similarity * (F.col("na") + F.col("nb") - F.col("both"))
+    at = at.select("a", F.col("b").alias("id"), F.coalesce("c", "b").alias("c"), F.col("nb").alias("size"), F.col("both").alias("shared"), "novel", missed.alias("missed"))
+    mixed = at.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("missed"), (100 + similarity) * F.col("shared") - similarity * F.col("size"))).alias("widest"))
+    at = settle(at.join(mixed.filter("low < high AND widest IS NOT NULL").select("a", "widest"), "a"))
+
+    def sides(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(*[F.col(c).alias(c if c in ("a", "h") else f"{c}{name}") for c in rows.columns])
+    apart = "idx <> idy AND cx <> cy"
+    counts = f"{similarity} * (sizex + sizey) <= {100 + similarity} * (least(sharedx, sharedy)"
+    plain = at.select("a", "id", "c", "size", "shared", "missed", "widest")
+    small = plain.filter(similarity * F.col("size") <= F.col("widest")).drop("missed", "widest")
+    x, y = sides(plain.filter("missed").drop("missed", "widest"), "x").alias("l"), sides(small, "y").alias("r")
+    by_size = x.join(y, F.expr(f"l.a = r.a AND {apart} AND {counts})"))
+    kinds = "a {0}, id {0}, c {0}, size long, shared long, h long, rest long".format(stars.schema["a"].dataType.simpleString())
+    whole = at.select("a", "id", "c", "size", "shared", "novel")
+    x = sides(at.filter("missed").select("a", "id", "c", "size", "shared", "novel").mapInArrow(novel_prefixes(similarity), kinds), "x").alias("l")
+    y = sides(whole.mapInArrow(novel_prefixes(similarity), kinds), "y").alias("r")
+    by_novel = x.join(y, F.expr(f"l.a = r.a AND l.h = r.h AND {apart} AND {counts} + 1 + least(restx, resty))"))
+    pairs = [d.select(F.col("idx").alias("x"), F.col("idy").alias("y")) for d in (by_size, by_novel)]
+    return ordered(pairs[0].unionByName(pairs[1]))
+
+
+def signature_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, token): one for each position of a signature, the position and its value as one number."""
+    marks = np.arange(CHUNKS * LENGTH, dtype=np.int64) << 16
+    for batch in sliced(batches, 1024):
+        tokens = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(len(batch), -1).astype(np.int64) + marks
+        rows = np.repeat(np.arange(len(batch)), len(marks))
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), pa.array(tokens.reshape(-1))], names=["id", "token"])
 
 
-def possible(stars: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of members of one star that may be similar although one of them is not linked to the star's centre.
+def inside(open_: DataFrame, stars: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of members of open buckets, one of them far from its bucket's first one, whose signatures may be near.
 
-    Two members share at most what each shares with the centre, and what is novel to it in both. So for a member u that
-    misses the centre, a partner must have a novel shingle in common with u, or be so small that u's part of the centre alone
-    is enough: similarity * size <= (100 + similarity) * both - similarity * size of u. Every other pair is ruled out by count.
+    Near signatures agree in all positions but DISTANCE, so they share one of their DISTANCE + 1 rarest values: a prefix
+    filter, in which what many members have in common (a passage, a footer) counts for nothing. Values that occur in
+    one component only are dropped before the join; sizes that rule a link out are ruled out in it.
     """
-    miss = 100 * F.col("both") < similarity * (F.col("na") + F.col("nb") - F.col("both"))
-    short = stars.filter(miss).select("a", F.col("b").alias("x"), ((100 + similarity) * F.col("both") - similarity * F.col("nb")).alias("room"))
-    widest = short.groupBy("a").agg(F.max("room").alias("widest"))
-    some = stars.join(widest, "a")
-    small = some.filter(similarity * F.col("nb") <= F.col("widest")).select("a", F.col("b").alias("y"), (similarity * F.col("nb")).alias("need"))
-    by_size = short.join(small, "a").filter("need <= room AND x <> y").select("x", "y")
-    kind = stars.schema["a"].dataType.simpleString()
-    novel = some.select("a", "b", "novel").mapInArrow(explode_novel, f"a {kind}, b {kind}, h long")
-    of_short = stars.filter(miss).select("a", "b", "novel").mapInArrow(explode_novel, f"a {kind}, b {kind}, h long").withColumnRenamed("b", "x")
-    by_novel = of_short.join(novel.withColumnRenamed("b", "y"), ["a", "h"]).filter("x <> y").select("x", "y")
-    return by_size.unionByName(by_novel).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    far = (open_.filter("first <> id").join(stars.select(F.col("a").alias("first"), F.col("b").alias("id")), ["first", "id"], "left_anti")
+           .select("id").distinct().withColumn("far", F.lit(True)))
+    members = open_.select("id", "c").distinct().join(far, "id", "left")
+    kind = classes.schema["id"].dataType.simpleString()
+    signed = members.join(classes.select("id", "signature"), "id").select("id", "signature")
+    tokens = settle(signed.mapInArrow(signature_tokens, f"id {kind}, token long"))
+    seen = tokens.join(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token")
+    rare = Window.partitionBy("id").orderBy("n", "token")  # a window has as many rows as a signature has positions
+    prefix = seen.withColumn("i", F.row_number().over(rare)).filter(F.col("i") <= DISTANCE + 1).select("id", "token")
+    placed = prefix.join(members, "id").join(classes.select("id", "n_shingles"), "id")
+    mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
+    placed = settle(placed.join(mixed, "token"))
+    x = placed.filter("far").select("token", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n_shingles").alias("nx")).alias("l")
+    y = placed.select("token", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n_shingles").alias("ny")).alias("r")
+    return ordered(x.join(y, F.expr(f"l.token = r.token AND x <> y AND cx <> cy AND 100 * least(nx, ny) >= {similarity} * greatest(nx, ny)")).select("x", "y"))
 
 
 def cluster(df: DataFrame, key: str, text: str, width: int = 5, similarity: int = SIMILARITY) -> DataFrame:
@@ -200,13 +263,14 @@ def cluster(df: DataFrame, key: str, text: str, width: int = 5, similarity: int
     Rows of one key are one document, with that of their non-empty sets whose hash is lowest. A missing key has no class, is
     linked with nothing and kept, row by row. Other columns are ignored.
     """
+    short_batches(df.sparkSession)
     docs = pick(df, doc_id=key, text=text)
     each = settle(prints(docs, width))
     known = each.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.min(F.when(F.col("set_id").isNotNull(), F.struct("set_id", "n_shingles", "signature"))).alias("s"))
     known = known.select("doc_id", "s.set_id", F.coalesce("s.n_shingles", F.lit(0)).cast("long").alias("n_shingles"), "s.signature")
     found = known.filter("set_id IS NOT NULL")
-    classes = settle(found.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature")))
+    classes = settle(found.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles")))
 
     filed = classes.select("id", "signature").mapInArrow(chunk_keys, f"key long, id {docs.schema['doc_id'].dataType.simpleString()}")
     shared = filed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key", "first")
@@ -219,14 +283,7 @@ def cluster(df: DataFrame, key: str, text: str, width: int = 5, similarity: int
     placed = members.join(group_of, "id", "left").select("key", "first", "id", F.coalesce("component", "id").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
     open_ = settle(placed.join(split, "key"))
-    # members whose signature is far from their bucket's first one are compared inside the bucket
-    far = open_.filter("first <> id").join(stars.select(F.col("a").alias("first"), F.col("b").alias("id")), ["first", "id"], "left_anti").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
-    inside = far.join(open_.select("key", F.col("id").alias("y"), F.col("c").alias("cy")), "key").filter("x <> y AND cx <> cy")
-    inside = inside.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    apart = (possible(stars, similarity).unionByName(inside).distinct().join(stars, ["a", "b"], "left_anti")
-             .join(group_of.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-             .join(group_of.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-             .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    apart = possible(stars, groups, similarity).unionByName(inside(open_, stars, classes, similarity)).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
     rest = settle(near(apart, classes))
     if rest.head(1):
         groups = components(links.unionByName(linked(confirm(rest, docs, classes, width), similarity)))
