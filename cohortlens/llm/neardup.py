@@ -145,48 +145,34 @@ def sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int) ->
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) with ``na``, ``nb``, ``both`` (sizes of the full sets and of their intersection) and ``novel``: what only b has."""
+    """The pairs (a, b) with ``na``, ``nb``, ``both`` (sizes of the full sets and of their intersection) and ``diff``: what only b has, and the complements of what only a has."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sizes, novel = [], []
+            sizes, diff = [], []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 shared = one[np.minimum(np.searchsorted(one, two), len(one) - 1)] == two
                 sizes.append((len(one), len(two), int(shared.sum())))
-                novel.append(two[~shared].tobytes())
+                lacking = np.delete(one, np.searchsorted(one, two[shared]))
+                diff.append(np.concatenate([two[~shared], ~lacking]).tobytes())
             counts = [pa.array(c, pa.int64()) for c in zip(*sizes)] or [pa.array([], pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *counts, pa.array(novel, pa.binary())], names=["a", "b", "na", "nb", "both", "novel"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *counts, pa.array(diff, pa.binary())], names=["a", "b", "na", "nb", "both", "diff"])
     sets = sets_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width)
     kind = classes.schema["id"].dataType.simpleString()
     full = (pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a"))
-    return settle(full.select("a", "b", "x", "y").mapInArrow(trimmed(check), f"a {kind}, b {kind}, na long, nb long, both long, novel binary"))
+    return settle(full.select("a", "b", "x", "y").mapInArrow(trimmed(check), f"a {kind}, b {kind}, na long, nb long, both long, diff binary"))
 
 
 def linked(checked: DataFrame, similarity: int) -> DataFrame:
     return checked.filter(100 * F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def novel_prefixes(similarity: int):
-    """Rows (a, id, c, size, shared, h, rest) of the novel shingles that a link of ``id`` inside its star could meet first.
-
-    A partner y of u is at least ``similarity`` of its size, and the centre's part can give them no more than u shares with
-    the centre; so at least ceil(similarity * size) - shared shingles must be common among the novel ones, which are in one
-    order everywhere. The first common one has that many less one after it. ``rest`` is the number of those after it.
-    """
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            rows, values, rests = [], [], []
-            for i, (novel, size, shared) in enumerate(zip(batch.column("novel").to_pylist(), batch.column("size").to_pylist(), batch.column("shared").to_pylist())):
-                h = np.frombuffer(novel, np.int64)
-                upto = max(0, len(h) - max(1, -(-similarity * size // 100) - shared) + 1)
-                rows.append(np.full(upto, i))
-                values.append(h[:upto])
-                rests.append(len(h) - 1 - np.arange(upto))
-            at = pa.array(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64))
-            kept = [batch.column(c).take(at) for c in ("a", "id", "c", "size", "shared")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate([*values, np.empty(0, np.int64)])), pa.array(np.concatenate([*rests, np.empty(0, np.int64)]).astype(np.int64))],
-                                             names=["a", "id", "c", "size", "shared", "h", "rest"])
-    return explode
+def explode_diff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches):
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("diff").to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+        kept = [batch.column(c).take(at) for c in ("a", "id", "n")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))], names=["a", "id", "n", "h"])
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -196,31 +182,31 @@ def ordered(pairs: DataFrame) -> DataFrame:
 def possible(stars: DataFrame, groups: DataFrame, similarity: int) -> DataFrame:
     """Pairs of members of one star that may be similar, although one of them is not linked to its centre and no links join them yet.
 
-    Two members share at most the smaller of what they share with the centre, and of what is novel to it in both. So a pair
-    needs that many novel shingles in common, or none where the centre's part is enough; every other pair is ruled out by
-    count, inside the joins. Stars whose members are all in one component are left out before.
+    ``diff`` holds what a member has and the centre lacks, and the reverse. Two members x, y share
+    shared(x) + shared(y) - size of the centre + |diff(x) and diff(y)| shingles, so a link needs a number of common
+    differences that is known for each pair; and a member that misses the centre needs one at least, whatever the partner: the
+    least need is that of a partner of the centre's size, ``need``. A prefix filter on the differences, those that are rare in
+    the star first, rules the other pairs out inside the join: the first common difference leaves too few behind it.
     """
     at = stars.join(groups.select(F.col("node").alias("b"), F.col("component").alias("c")), "b", "left")
-    missed = 100 * F.col("both") < similarity * (F.col("na") + F.col("nb") - F.col("both"))
-    at = at.select("a", F.col("b").alias("id"), F.coalesce("c", "b").alias("c"), F.col("nb").alias("size"), F.col("both").alias("shared"), "novel", missed.alias("missed"))
-    mixed = at.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("missed"), (100 + similarity) * F.col("shared") - similarity * F.col("size"))).alias("widest"))
-    at = settle(at.join(mixed.filter("low < high AND widest IS NOT NULL").select("a", "widest"), "a"))
-
-    def sides(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select(*[F.col(c).alias(c if c in ("a", "h") else f"{c}{name}") for c in rows.columns])
-    apart = "idx <> idy AND cx <> cy"
-    counts = f"{similarity} * (sizex + sizey) <= {100 + similarity} * (least(sharedx, sharedy)"
-    plain = at.select("a", "id", "c", "size", "shared", "missed", "widest")
-    small = plain.filter(similarity * F.col("size") <= F.col("widest")).drop("missed", "widest")
-    x, y = sides(plain.filter("missed").drop("missed", "widest"), "x").alias("l"), sides(small, "y").alias("r")
-    by_size = x.join(y, F.expr(f"l.a = r.a AND {apart} AND {counts})"))
-    kinds = "a {0}, id {0}, c {0}, size long, shared long, h long, rest long".format(stars.schema["a"].dataType.simpleString())
-    whole = at.select("a", "id", "c", "size", "shared", "novel")
-    x = sides(at.filter("missed").select("a", "id", "c", "size", "shared", "novel").mapInArrow(novel_prefixes(similarity), kinds), "x").alias("l")
-    y = sides(whole.mapInArrow(novel_prefixes(similarity), kinds), "y").alias("r")
-    by_novel = x.join(y, F.expr(f"l.a = r.a AND l.h = r.h AND {apart} AND {counts} + 1 + least(restx, resty))"))
-    pairs = [d.select(F.col("idx").alias("x"), F.col("idy").alias("y")) for d in (by_size, by_novel)]
-    return ordered(pairs[0].unionByName(pairs[1]))
+    over = similarity * (F.col("na") + F.col("nb")) - (100 + similarity) * F.col("both")
+    at = at.select("a", F.col("b").alias("id"), F.coalesce("c", "b").alias("c"), F.col("na").alias("whole"), F.col("nb").alias("size"), F.col("both").alias("shared"), "diff",
+                   F.ceil(over / (100 + similarity)).cast("long").alias("need"))
+    mixed = at.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("need").alias("worst")).filter("low < high AND worst > 0")
+    at = settle(at.join(mixed.select("a"), "a"))
+    kind = stars.schema["a"].dataType.simpleString()
+    exploded = at.select("a", "id", (F.octet_length("diff") / 8).cast("long").alias("n"), "diff").mapInArrow(explode_diff, f"a {kind}, id {kind}, n long, h long")
+    exploded = settle(exploded)
+    seen = exploded.join(exploded.groupBy("a", "h").agg(F.count(F.lit(1)).alias("f")), ["a", "h"])
+    rare = Window.partitionBy("a", "id").orderBy("f", "h")  # as many rows as a text has differences
+    ranked = seen.withColumn("rest", F.col("n") - F.row_number().over(rare)).filter("f > 1")
+    placed = ranked.join(at.drop("diff"), ["a", "id"]).filter("rest + 1 >= need").select("a", "h", "id", "c", "whole", "size", "shared", "need", "rest")
+    split = placed.groupBy("a", "h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("need").alias("worst")).filter("low < high AND worst > 0")
+    placed = settle(placed.join(split.select("a", "h"), ["a", "h"]))
+    x, y = (placed.select("a", "h", *[F.col(c).alias(f"{c}{side}") for c in ("id", "c", "whole", "size", "shared", "need", "rest")]).alias(side) for side in "xy")
+    return ordered(x.filter("needx > 0").join(y, F.expr(
+        f"x.a = y.a AND x.h = y.h AND idx <> idy AND cx <> cy AND {100 + similarity} * (sharedx + sharedy - wholex + 1 + least(restx, resty)) >= {similarity} * (sizex + sizey)"))
+        .select(F.col("idx").alias("x"), F.col("idy").alias("y")))
 
 
 def signature_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,11 +223,13 @@ def inside(open_: DataFrame, stars: DataFrame, classes: DataFrame, similarity: i
 
     Near signatures agree in all positions but DISTANCE, so they share one of their DISTANCE + 1 rarest values: a prefix
     filter, in which what many members have in common (a passage, a footer) counts for nothing. Values that occur in
-    one component only are dropped before the join; sizes that rule a link out are ruled out in it.
+    one component only are dropped before the join; sizes that rule a link out are ruled out in it. Members of one star
+    are left to ``possible``: ``home`` is the first star of a member, and equal homes are not joined.
     """
     far = (open_.filter("first <> id").join(stars.select(F.col("a").alias("first"), F.col("b").alias("id")), ["first", "id"], "left_anti")
            .select("id").distinct().withColumn("far", F.lit(True)))
-    members = open_.select("id", "c").distinct().join(far, "id", "left")
+    homes = stars.select(F.col("b").alias("id"), "a").unionByName(stars.select(F.col("a").alias("id"), "a")).groupBy("id").agg(F.min("a").alias("home"))
+    members = open_.select("id", "c").distinct().join(far, "id", "left").join(homes, "id", "left").withColumn("home", F.coalesce("home", "id"))
     kind = classes.schema["id"].dataType.simpleString()
     signed = members.join(classes.select("id", "signature"), "id").select("id", "signature")
     tokens = settle(signed.mapInArrow(signature_tokens, f"id {kind}, token long"))
@@ -249,11 +237,12 @@ def inside(open_: DataFrame, stars: DataFrame, classes: DataFrame, similarity: i
     rare = Window.partitionBy("id").orderBy("n", "token")  # a window has as many rows as a signature has positions
     prefix = seen.withColumn("i", F.row_number().over(rare)).filter(F.col("i") <= DISTANCE + 1).select("id", "token")
     placed = prefix.join(members, "id").join(classes.select("id", "n_shingles"), "id")
-    mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
+    mixed = (placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("home").alias("one"), F.max("home").alias("two"))
+             .filter("low < high AND one < two").select("token"))
     placed = settle(placed.join(mixed, "token"))
-    x = placed.filter("far").select("token", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n_shingles").alias("nx")).alias("l")
-    y = placed.select("token", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n_shingles").alias("ny")).alias("r")
-    return ordered(x.join(y, F.expr(f"l.token = r.token AND x <> y AND cx <> cy AND 100 * least(nx, ny) >= {similarity} * greatest(nx, ny)")).select("x", "y"))
+    x = placed.filter("far").select("token", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n_shingles").alias("nx"), F.col("home").alias("hx")).alias("l")
+    y = placed.select("token", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n_shingles").alias("ny"), F.col("home").alias("hy")).alias("r")
+    return ordered(x.join(y, F.expr(f"l.token = r.token AND x <> y AND cx <> cy AND hx <> hy AND 100 * least(nx, ny) >= {similarity} * greatest(nx, ny)")).select("x", "y"))
 
 
 def cluster(df: DataFrame, key: str, text: str, width: int = 5, similarity: int = SIMILARITY) -> DataFrame:
