@@ -13,7 +13,7 @@ from ..functions.draws import unit_draw
 from ..functions.prefix import null_safe_join, number_rows, running, spread
 from ..session import settle
 from . import metrics as m
-from . import resample
+from . import replicates, resample
 from .inference import holm_adjust
 
 STABLE_TAU, STABLE_TOP1 = 0.5, 0.5  # fixed values of the stability rule
@@ -178,8 +178,9 @@ def split_half_tau(df: DataFrame, n_rep=200, seed=0, method="method", subject="s
     rows = resample.subject_cells(df, [method]).withColumn("unit", F.lit("slice"))
     subj = resample.subject_cells(m.cluster_aggregate(df, [method]), [method], score="mean_score").withColumn("unit", F.lit("patient"))
     cells = settle(rows.unionByName(subj))
-    c = cells.join(h, subject).groupBy("rep", "half", "unit", method, "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    a = m.auc_from_counts(c, ["rep", "half", "unit", method])
+    sides = h.select((F.col("rep") * 2 + F.col("half")).alias("rep"), subject, F.lit(1).alias("mult"))  # a half is a replicate with weights 0 and 1
+    a = replicates.replicate_auc(cells, replicates.pack(sides, subject), ["unit", method], subject, least=1)
+    a = a.withColumn("half", F.col("rep") % 2).withColumn("rep", F.expr("rep div 2"))
     w = a.groupBy("rep", "unit", method).agg(F.max(F.when(F.col("half") == 0, F.col("auc"))).alias("h0"),
                                              F.max(F.when(F.col("half") == 1, F.col("auc"))).alias("h1"),
                                              (F.count("auc") == 2).alias("ok"))

@@ -15,6 +15,7 @@ from ..functions.prefix import group_stats, null_safe_join, number_rows, spread
 from ..functions.rules import snap, usable
 from ..session import settle
 from . import metrics as m
+from . import replicates
 
 MIN_USED = 20  # fixed value: fewer evaluable replicates give no interval
 
@@ -50,17 +51,18 @@ def draws(units: DataFrame, n_boot: int, seed=0, unit="subject", method="multino
     return m_.join(ix.select("idx", unit), "idx").select("rep", unit, "mult")
 
 
-def replicate_counts(cells: DataFrame, drawn: DataFrame, keys=(), unit="subject") -> DataFrame:
-    """(rep, keys, s, p, n) of each replicate."""
-    return (cells.join(drawn, unit).groupBy("rep", *keys, "s")
-            .agg(F.sum(F.col("p") * F.col("mult")).alias("p"), F.sum(F.col("n") * F.col("mult")).alias("n")))
+def packed(cells: DataFrame, n_boot=2000, seed=0, unit="subject", method="multinomial") -> DataFrame:
+    """Draws of ``cells``' units, packed. ``split`` deals the slots down a tree where the units lie: the exact
+    bootstrap without B * k rows anywhere, for very many units; its numbers come from numpy, so SQL has none."""
+    if method == "split":
+        return replicates.split_draws(settle(index_units(cells, unit)), n_boot, seed, unit)
+    return replicates.pack(draws(cells, n_boot, seed, unit, method), unit)
 
 
 def replicate_auc(cells: DataFrame, drawn: DataFrame, keys=(), unit="subject") -> DataFrame:
-    """(rep, keys, auc); replicates with one distinct unit or one class give null."""
-    a = m.auc_from_counts(replicate_counts(cells, drawn, keys, unit), ["rep", *keys])
-    many = drawn.groupBy("rep").agg(F.count(F.lit(1)).alias("__u"))
-    return a.join(many, "rep").withColumn("auc", F.when(F.col("__u") > 1, F.col("auc"))).drop("__u", "n_pos", "n_neg")
+    """(rep, keys, auc) of draws, packed or (rep, unit, mult); one distinct unit or one class gives null."""
+    packs = drawn if "__w" in drawn.columns else replicates.pack(drawn, unit)
+    return replicates.replicate_auc(cells, packs, keys, unit)
 
 
 def percentile_ci(reps: DataFrame, keys=(), value="auc", alpha=0.05) -> DataFrame:
@@ -80,7 +82,7 @@ def percentile_ci(reps: DataFrame, keys=(), value="auc", alpha=0.05) -> DataFram
 
 def cluster_bootstrap_auc(df: DataFrame, n_boot=2000, seed=0, keys=(), unit="subject", alpha=0.05, method="multinomial"):
     cells = settle(subject_cells(df, keys, unit))
-    return percentile_ci(replicate_auc(cells, draws(cells, n_boot, seed, unit, method), keys, unit), keys, alpha=alpha)
+    return percentile_ci(replicate_auc(cells, packed(cells, n_boot, seed, unit, method), keys, unit), keys, alpha=alpha)
 
 
 def naive_bootstrap_auc(df: DataFrame, n_boot=2000, seed=0, row="row_id", method="multinomial"):
@@ -90,17 +92,20 @@ def naive_bootstrap_auc(df: DataFrame, n_boot=2000, seed=0, row="row_id", method
     return g.withColumn("width", F.col("ci_hi") - F.col("ci_lo"))
 
 
-def bootstrap_auc_diff(df: DataFrame, a: str, b: str, n_boot=2000, seed=0, unit="subject", alpha=0.05) -> DataFrame:
-    """Difference of two score columns on shared draws: interval and two-sided p, at least 1/B."""
-    both = df.select(unit, "label", F.inline(F.array(
+def bootstrap_auc_diff(df: DataFrame, a: str, b: str, n_boot=2000, seed=0, unit="subject", alpha=0.05, keys=()) -> DataFrame:
+    """Difference of two score columns on shared draws, per keys: interval and two-sided p, at least 1/B."""
+    keys = list(keys)
+    both = df.select(unit, *keys, "label", F.inline(F.array(
         F.struct(F.lit("a").alias("arm"), F.col(a).alias("score")), F.struct(F.lit("b").alias("arm"), F.col(b).alias("score")))))
-    cells = settle(subject_cells(both, ["arm"], unit))
-    r = replicate_auc(cells, draws(cells, n_boot, seed, unit), ["arm"], unit)
-    d = r.groupBy("rep").agg((F.max(F.when(F.col("arm") == "a", F.col("auc"))) - F.max(F.when(F.col("arm") == "b", F.col("auc")))).alias("diff"))
-    ci = percentile_ci(d, [], "diff", alpha)
-    tail = d.agg(F.count_if(F.col("diff") <= 0).alias("le"), F.count_if(F.col("diff") >= 0).alias("ge"), F.count("diff").alias("u"))
+    cells = settle(subject_cells(both, [*keys, "arm"], unit))
+    r = replicate_auc(cells, packed(cells, n_boot, seed, unit), [*keys, "arm"], unit)
+    d = r.groupBy("rep", *keys).agg((F.max(F.when(F.col("arm") == "a", F.col("auc"))) - F.max(F.when(F.col("arm") == "b", F.col("auc")))).alias("diff"))
+    d = settle(d)
+    ci = percentile_ci(d, keys, "diff", alpha)
+    tail = d.groupBy(*keys).agg(F.count_if(F.col("diff") <= 0).alias("le"), F.count_if(F.col("diff") >= 0).alias("ge"), F.count("diff").alias("u"))
     p = F.least(F.lit(1.0), F.greatest(2.0 * F.least("le", "ge") / F.col("u"), 1.0 / F.col("u")))
-    return ci.crossJoin(F.broadcast(tail)).withColumn("p", F.when(F.col("n_used") >= MIN_USED, p)).drop("le", "ge", "u")
+    j = null_safe_join(ci, tail, keys) if keys else ci.crossJoin(F.broadcast(tail))
+    return j.withColumn("p", F.when(F.col("n_used") >= MIN_USED, p)).drop("le", "ge", "u")
 
 
 def replicate_auc_subjects(long: DataFrame, drawn: DataFrame, keys, unit="subject") -> DataFrame:
@@ -111,7 +116,7 @@ def replicate_auc_subjects(long: DataFrame, drawn: DataFrame, keys, unit="subjec
 def shared_bootstrap_envelope(long: DataFrame, n_boot=2000, seed=0, unit="subject", scheme="scheme"):
     """(interval per scheme, interval of the best scheme of each replicate)."""
     long = settle(long)
-    r = settle(replicate_auc_subjects(long, draws(long, n_boot, seed, unit), [scheme], unit))
+    r = settle(replicate_auc_subjects(long, packed(long, n_boot, seed, unit), [scheme], unit))
     env = r.groupBy("rep").agg(F.max("auc").alias("auc"))
     return percentile_ci(r, [scheme]), percentile_ci(env)
 
@@ -123,32 +128,35 @@ def joint_bootstrap(df: DataFrame, n_boot=2000, seed=0, method="method") -> Data
     s = m.cluster_aggregate(df, [method])
     subj = subject_cells(s, [method], score="mean_score").withColumn("unit", F.lit("patient"))
     cells = settle(rows.unionByName(subj))
-    r = replicate_auc(cells, draws(cells, n_boot, seed), ["unit", method])
+    r = settle(replicate_auc(cells, packed(cells, n_boot, seed), ["unit", method]))
     return group_stats(r, ["rep"], F.every(F.col("auc").isNotNull()).alias("__ok")).filter("__ok").drop("__ok")
 
 
-def paired_mean_bootstrap(diffs: DataFrame, n_boot=2000, seed=0, unit="subject", value="diff") -> DataFrame:
-    d = settle(diffs.select(unit, value))
-    r = d.join(draws(d, n_boot, seed, unit), unit).groupBy("rep").agg(
+def paired_mean_bootstrap(diffs: DataFrame, n_boot=2000, seed=0, unit="subject", value="diff", keys=()) -> DataFrame:
+    """Interval of the mean of a unit's value, per keys on shared draws."""
+    keys = list(keys)
+    d = settle(diffs.select(unit, *keys, value))
+    r = d.join(draws(d, n_boot, seed, unit), unit).groupBy("rep", *keys).agg(
         (F.sum(F.col(value) * F.col("mult")) / F.sum("mult")).alias("mean"))
-    return percentile_ci(r, [], "mean")
+    return percentile_ci(r, keys, "mean")
 
 
-def within_strata_bootstrap(subj: DataFrame, stratum: str, n_boot=2000, seed=0, unit="subject", score="score", floor=1):
-    """Resample inside each stratum, then the pair-weighted AUC over strata."""
-    u = settle(subj.select(unit, stratum, score, "label"))
-    d = u.withColumn("__h", unit_draw("idx", F.col(unit)))
+def within_strata_bootstrap(subj: DataFrame, stratum: str, n_boot=2000, seed=0, unit="subject", score="score", floor=1, keys=()):
+    """Resample inside each stratum (draws shared by the keys), then the pair-weighted AUC over strata."""
+    keys = list(keys)
+    u = settle(subj.select(unit, stratum, *keys, score, "label"))
+    d = u.select(unit, stratum).distinct().withColumn("__h", unit_draw("idx", F.col(unit)))
     ix = number_rows(d, [stratum], ["__h", unit], F.col("__h"), "idx", by_share=True).drop("__h")
     ix = settle(group_stats(ix.withColumn("idx", F.col("idx") - 1), [stratum], F.count(F.lit(1)).alias("k")))
     reps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))).alias("rep")
     slots = ix.select(stratum, "idx", "k", reps)
     drawn = slots.select("rep", stratum, (draw(seed, F.col("rep"), F.col(stratum), F.col("idx")) % F.col("k")).alias("idx")) \
         .groupBy("rep", stratum, "idx").agg(F.count(F.lit(1)).alias("mult"))
-    j = drawn.join(ix, [stratum, "idx"]).filter(usable(F.col("label"), F.col(score)))
-    c = j.groupBy("rep", stratum, snap(F.col(score)).alias("s")).agg(
+    j = drawn.join(ix.select(stratum, "idx", unit), [stratum, "idx"]).join(u, [unit, stratum]).filter(usable(F.col("label"), F.col(score)))
+    c = j.groupBy("rep", *keys, stratum, snap(F.col(score)).alias("s")).agg(
         F.sum(F.col("label") * F.col("mult")).alias("p"), F.sum((1 - F.col("label")) * F.col("mult")).alias("n"))
-    per = m.auc_from_counts(c, ["rep", stratum])
-    return percentile_ci(m.pool_strata(per, ["rep"], floor))
+    per = m.auc_from_counts(c, ["rep", *keys, stratum])
+    return percentile_ci(m.pool_strata(per, ["rep", *keys], floor), keys)
 
 
 def bootstrap_accuracy(df: DataFrame, n_boot=2000, seed=0, unit="subject", correct="correct") -> DataFrame:

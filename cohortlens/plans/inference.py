@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import inference as i
 from ..operators import metrics as m
 from .registry import query
-from .resampling import runs2
+from .resampling import arms
 from .sqlkit import wilson_sql
 from .views import sql_view
 
@@ -37,13 +37,13 @@ g AS (SELECT {k} avg(va) FILTER (label = 1) AS auc_a, avg(vb) FILTER (label = 1)
 SELECT *, auc_a - auc_b AS diff, (auc_a - auc_b) / sqrt(var_a + var_b - 2 * cov_ab) AS z FROM (
  SELECT {k} auc_a, auc_b, a1 / m + a0 / n AS var_a, b1 / m + b0 / n AS var_b, c1 / m + c0 / n AS cov_ab FROM g) h"""
 COLS = "auc_a:d auc_b:d diff:d var_a:d var_b:d cov_ab:d z:d"
-WIDE = "SELECT row_id, label, max(score) FILTER (method = 'm1') AS sa, max(score) FILTER (method = 'm3') AS sb FROM run2 GROUP BY 1, 2"
+WIDE = "SELECT method, row_id, label, max(score) FILTER (condition = 'a') AS sa, max(score) FILTER (condition = 'b') AS sb FROM runs GROUP BY 1, 2, 3"
 
 
-@query("delong_test", COLS, DELONG.format(pairs=WIDE, k="", p="1"))
+@query("delong_test", f"method {COLS}", DELONG.format(pairs=WIDE, k="method,", p="method"))
 def _(t):
-    w = runs2(t).groupBy("row_id", "label").pivot("method", ["m1", "m3"]).agg(F.first("score"))
-    return i.delong(w, "m1", "m3")
+    w = t.runs.groupBy("method", "row_id", "label").pivot("condition", ["a", "b"]).agg(F.first("score"))
+    return i.delong(w, "a", "b", ["method"])
 
 
 LEVELS = """
@@ -76,15 +76,17 @@ def _(t):
     return i.holm_adjust(i.holm_adjust(d, keys=["family"], out="p_family"), out="p_global")
 
 
-@query("paired_differences", "subject mean_pos:d mean_neg:d diff:d n_excluded:i", """
-SELECT subject, m1 AS mean_pos, m0 AS mean_neg, diff, (SELECT count(*) FROM (SELECT subject FROM run2 GROUP BY subject HAVING min(label) = max(label)) q) AS n_excluded FROM paired""")
+@query("paired_differences", "method subject mean_pos:d mean_neg:d diff:d n_excluded:i", """
+SELECT paired.method, subject, m1 AS mean_pos, m0 AS mean_neg, diff, coalesce(n, 0) AS n_excluded FROM paired LEFT JOIN (
+ SELECT method, count(*) AS n FROM (SELECT method, subject FROM run2 GROUP BY ALL HAVING min(label) = max(label)) q GROUP BY method) x ON x.method = paired.method""")
 def _(t):
-    both, left = i.paired_differences(runs2(t).filter("method = 'm2'"))
-    return both.crossJoin(F.broadcast(left.agg(F.count(F.lit(1)).alias("n_excluded"))))
+    both, left = i.paired_differences(arms(t), ["method"])
+    n = left.groupBy("method").agg(F.count(F.lit(1)).alias("n_excluded"))
+    return both.join(n, "method", "left").withColumn("n_excluded", F.coalesce("n_excluded", F.lit(0)))
 
 
 def diffs(t):
-    return i.paired_differences(runs2(t), ["method"])[0]
+    return i.paired_differences(arms(t), ["method"])[0]
 
 
 @query("wilcoxon_signed_rank", "method n:i w_plus:d w_minus:d z:d p:d")

@@ -7,7 +7,7 @@ from ..operators import metrics as m
 from ..operators import ranking as k
 from ..operators import resample as r
 from .registry import query
-from .resampling import joint, runs2
+from .resampling import joint, arms
 from .sqlkit import auc_sql, counts_sql, subj_sql
 from .views import H, U, sql_view
 
@@ -72,7 +72,7 @@ SELECT r.*, tau, top1_same, top3_overlap FROM ({spear('wide_rep', 'rep', 's', 'p
 
 def pt_reps(t):
     from ..session import settle
-    return settle(k.point_auc(runs2(t))), settle(joint(t))
+    return settle(k.point_auc(arms(t))), settle(joint(t))
 
 
 @query("rank_agreement", "rho_obs:d tau_obs:d top1_same:i top3_overlap_obs:i rho_lo:d rho_hi:d tau_median:d tau_lo:d tau_hi:d top1_same_rate:d top3_overlap_mean:d n_used:i", """
@@ -102,7 +102,7 @@ def _(t):
 
 
 HALF = f"""
-WITH s AS (SELECT rep, subject, row_number() OVER (PARTITION BY rep ORDER BY {U("'0|half|' || rep || '|' || subject")}, subject) <= k // 2 AS half FROM unit_idx, range(20) x(rep)),
+WITH s AS (SELECT rep, subject, row_number() OVER (PARTITION BY rep ORDER BY {U("'0|half|' || rep || '|' || subject")}, subject) <= k // 2 AS half FROM unit_idx, range(200) x(rep)),
 c AS (SELECT rep, half, 'slice' AS unit, method, score AS sc, label FROM run2 JOIN s ON s.subject = run2.subject
  UNION ALL SELECT rep, half, 'patient', method, mean_score, label FROM ({subj_sql('run2', 'method')}) z JOIN s ON s.subject = z.subject),
 a AS ({auc_sql("SELECT rep, half, unit, method, sc AS s, sum(label) AS p, sum(1 - label) AS n FROM c GROUP BY ALL", "rep, half, unit, method")}),
@@ -112,7 +112,7 @@ SELECT unit, quantile_cont(tau, 0.5) AS tau_median, quantile_cont(tau, 0.025) AS
 
 @query("split_half_tau", "unit tau_median:d tau_lo:d tau_hi:d n_used:i", HALF)
 def _(t):
-    return k.split_half_tau(runs2(t), 20)
+    return k.split_half_tau(arms(t))
 
 
 sql_view("pair_diff", f"""
@@ -122,7 +122,7 @@ FROM joint x JOIN joint y ON x.rep = y.rep AND x.unit = y.unit AND x.method < y.
 
 
 @query("inversion_pairs", "a b slice_diff:d patient_diff:d p_holm_s:d p_holm_p:d survives:b", """
-WITH h AS (SELECT *, least(1, max((6 - r + 1) * p) OVER (PARTITION BY unit ORDER BY r)) AS ph FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY p, i, j) AS r FROM pair_diff) q),
+WITH h AS (SELECT *, least(1, max((28 - r + 1) * p) OVER (PARTITION BY unit ORDER BY r)) AS ph FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY p, i, j) AS r FROM pair_diff) q),
 o AS (SELECT x.unit, x.method AS i, y.method AS j, x.auc - y.auc AS diff FROM point_auc x JOIN point_auc y ON x.unit = y.unit AND x.method < y.method),
 z AS (SELECT s.i, s.j, so.diff AS ds, po.diff AS dp, s.lo, s.hi, p.lo AS plo, p.hi AS phi, s.ph AS hs, p.ph AS hp FROM h s JOIN h p ON s.i = p.i AND s.j = p.j AND s.unit = 'slice' AND p.unit = 'patient'
  JOIN o so ON so.i = s.i AND so.j = s.j AND so.unit = 'slice' JOIN o po ON po.i = s.i AND po.j = s.j AND po.unit = 'patient')
@@ -133,13 +133,12 @@ def _(t):
 
 
 def split_names(d):
-    """m1..m4 read as two models under two conditions."""
-    return d.withColumn("model", F.when(F.col("method").isin("m1", "m2"), "x").otherwise("y")).withColumn(
-        "condition", F.when(F.col("method").isin("m1", "m3"), "a").otherwise("b"))
+    """An arm read as its method under its condition."""
+    return d.withColumn("model", F.substring("method", 1, 2)).withColumn("condition", F.substring("method", 3, 1))
 
 
-MOVE = """SELECT {k} CASE WHEN method IN ('m1', 'm2') THEN 'x' ELSE 'y' END AS model, max(auc) FILTER (unit = 'slice' AND method IN ('m1', 'm3')) - max(auc) FILTER (unit = 'slice' AND method IN ('m2', 'm4')) AS d_slice,
- max(auc) FILTER (unit = 'patient' AND method IN ('m1', 'm3')) - max(auc) FILTER (unit = 'patient' AND method IN ('m2', 'm4')) AS d_agg, min(auc) FILTER (unit = 'patient') AS low FROM {s} GROUP BY ALL"""
+MOVE = """SELECT {k} substr(method, 1, 2) AS model, max(auc) FILTER (unit = 'slice' AND substr(method, 3, 1) = 'a') - max(auc) FILTER (unit = 'slice' AND substr(method, 3, 1) = 'b') AS d_slice,
+ max(auc) FILTER (unit = 'patient' AND substr(method, 3, 1) = 'a') - max(auc) FILTER (unit = 'patient' AND substr(method, 3, 1) = 'b') AS d_agg, min(auc) FILTER (unit = 'patient') AS low FROM {s} GROUP BY ALL"""
 
 
 @query("condition_interaction", "model d_slice:d d_agg:d interaction:d ci_lo:d ci_hi:d p:d p_holm:d sign_flip:b ceilinged:b supported:b", f"""
@@ -147,7 +146,7 @@ WITH o AS ({MOVE.format(k='', s='point_auc')}), r AS (SELECT *, d_agg - d_slice
 ra AS (SELECT rep, model, x FROM r UNION ALL SELECT rep, 'MEAN', avg(x) FROM r GROUP BY rep),
 ci AS (SELECT model, quantile_cont(x, 0.025) AS ci_lo, quantile_cont(x, 0.975) AS ci_hi, {BP.format(d='x')} AS p FROM ra GROUP BY model),
 oa AS (SELECT *, d_agg - d_slice AS interaction FROM o UNION ALL SELECT 'MEAN', avg(d_slice), avg(d_agg), NULL, avg(d_agg - d_slice) FROM o),
-h AS (SELECT model, least(1, max((2 - rk + 1) * p) OVER (ORDER BY rk)) AS p_holm FROM (SELECT model, p, row_number() OVER (ORDER BY p, model) AS rk FROM ci WHERE model <> 'MEAN') q)
+h AS (SELECT model, least(1, max((4 - rk + 1) * p) OVER (ORDER BY rk)) AS p_holm FROM (SELECT model, p, row_number() OVER (ORDER BY p, model) AS rk FROM ci WHERE model <> 'MEAN') q)
 SELECT oa.model, d_slice, d_agg, interaction, ci_lo, ci_hi, p, p_holm, d_slice <> 0 AND d_agg <> 0 AND (d_slice > 0) <> (d_agg > 0) AS sign_flip, coalesce(low >= 0.995, false) AS ceilinged,
  (ci_lo > 0 OR ci_hi < 0) AND coalesce(p_holm, 1) < 0.05 AND NOT coalesce(low >= 0.995, false) AS supported FROM oa JOIN ci ON ci.model = oa.model LEFT JOIN h ON h.model = oa.model""")
 def _(t):

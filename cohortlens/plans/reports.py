@@ -15,7 +15,7 @@ from ..streaming import ingest
 from .baselines import K, ev_cv
 from .metrics import KEYS
 from .registry import query
-from .resampling import B, P, ci, rep_auc, runs2
+from .resampling import B, P, arms, ci, rep_auc
 from .sqlkit import auc_sql, counts_sql, subj_sql
 from .tables import folder
 from .views import H, U, sql_view
@@ -42,7 +42,7 @@ def _(t):
     return j.withColumn("evaluation", F.lit(a["headline_evaluation"])).withColumn("headline", F.col("__f").isNotNull())
 
 
-WF = "(SELECT *, CAST(subject AS BIGINT) % 6 AS st FROM runs WHERE condition = 'a')"
+WF = "(SELECT *, CAST(subject AS BIGINT) % 6 AS st FROM run2)"
 
 
 @query("waterfall", "method rung:i reading auc:d", f"""
@@ -51,7 +51,7 @@ UNION ALL SELECT method, 2, 'subject mean', auc FROM ({auc_sql(counts_sql('(' +
 UNION ALL SELECT method, 3, 'subject max', auc FROM ({auc_sql(counts_sql('(' + subj_sql(WF, 'method') + ')', 'method', 'max_score'), 'method')}) a
 UNION ALL SELECT method, 4, 'inside strata', sum(auc * n_pos * n_neg) / sum(CASE WHEN auc IS NOT NULL THEN n_pos * n_neg END) FROM ({auc_sql(counts_sql(WF, 'method, st'), 'method, st')}) a GROUP BY method""")
 def _(t):
-    return rp.waterfall(t.runs.filter("condition = 'a'").withColumn("st", F.col("subject").cast("long") % 6), "st", ["method"])
+    return rp.waterfall(arms(t).withColumn("st", F.col("subject").cast("long") % 6), "st", ["method"])
 
 
 # headline per nation and region with control intervals drawn from customer balances
@@ -137,7 +137,7 @@ def _(t):
 @query("stream_run_ingest", "run auc:d n_pos:i n_neg:i", auc_sql(counts_sql("(SELECT method AS run, score, label FROM run2)", "run"), "run"))
 def _(t):
     land, counts = folder(t, "land"), folder(t, "counts")
-    d = runs2(t).select(F.col("method").alias("run"), "subject", "row_id", "label", "score")
+    d = arms(t).select(F.col("method").alias("run"), "subject", "row_id", "label", "score")
     d.repartition(4, "row_id").write.json(land)
     d.filter("row_id % 10 = 0").write.mode("append").json(land)  # some rows land twice
     ingest.run_ingest(t.spark, land, counts, folder(t, "ckpt"), files_per_trigger=3).awaitTermination()

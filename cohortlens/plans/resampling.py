@@ -22,9 +22,19 @@ JOIN unit_idx u ON u.idx = q.d
 
 
 def rep_auc(cells, keys=""):
-    """cells: (subject, keys, s, p, n) -> AUC per rep and keys."""
-    k = f", {keys}" if keys else ""
-    return auc_sql(f"SELECT rep{k}, s, sum(p * mult) AS p, sum(n * mult) AS n FROM ({cells}) c JOIN boot ON boot.subject = c.subject GROUP BY ALL", f"rep{k}")
+    """cells: (subject, keys, s, p, n) -> AUC per rep and keys, from the pairs each two subjects win against each other."""
+    names = [k.strip() for k in keys.split(",") if k.strip()]
+    k = "".join(f", {x}" for x in names)
+    of = lambda t: "".join(f", {t}.{x}" for x in names)
+    same = lambda t, u: "".join(f" AND {t}.{x} = {u}.{x}" for x in names)
+    return f"""
+WITH cell AS ({cells}),
+pr AS (SELECT a.subject AS i, b.subject AS j{of('a')}, sum(CAST(a.p * b.n AS DOUBLE) * CASE WHEN b.s < a.s THEN 1.0::DOUBLE WHEN b.s = a.s THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS won
+ FROM cell a JOIN cell b ON a.p > 0 AND b.n > 0{same('a', 'b')} GROUP BY ALL),
+half AS (SELECT rep, i{k}, sum(won * mult) AS won FROM pr JOIN boot ON boot.subject = pr.j GROUP BY ALL),
+full_ AS (SELECT half.rep{of('half')}, sum(won * mult) AS won FROM half JOIN boot ON boot.subject = half.i AND boot.rep = half.rep GROUP BY ALL),
+tot AS (SELECT rep{k}, sum(p * mult) AS p, sum(n * mult) AS n FROM (SELECT subject{k}, sum(p) AS p, sum(n) AS n FROM cell GROUP BY ALL) q JOIN boot ON boot.subject = q.subject GROUP BY ALL)
+SELECT tot.rep{of('tot')}, CASE WHEN p > 0 AND n > 0 THEN coalesce(won, 0) / (CAST(p AS DOUBLE) * n) END AS auc FROM tot LEFT JOIN full_ ON full_.rep = tot.rep{same('full_', 'tot')}"""
 
 
 def ci(reps, keys="", value="auc"):
@@ -34,16 +44,17 @@ def ci(reps, keys="", value="auc"):
 
 
 CI = "n_used:i n_skipped:i ci_lo:d ci_hi:d boot_mean:d boot_sd:d"
-CELLS_M = "SELECT subject, method, round(CAST(score AS DOUBLE), 2) AS s, sum(label) AS p, sum(1 - label) AS n FROM runs WHERE condition = 'a' GROUP BY ALL"
+CELLS_M = "SELECT subject, method, condition, round(CAST(score AS DOUBLE), 12) AS s, sum(label) AS p, sum(1 - label) AS n FROM runs GROUP BY ALL"
 
 
-def runs2(t):
-    return t.runs.filter("condition = 'a'").withColumn("score", F.round("score", 2))
+def arms(t):
+    """All rows of the runs; a method under a condition is a method of its own."""
+    return t.runs.withColumn("method", F.concat("method", "condition"))
 
 
-@query("cluster_bootstrap_auc", f"method {CI}", ci(rep_auc(CELLS_M, "method"), "method"))
+@query("cluster_bootstrap_auc", f"method condition {CI}", ci(rep_auc(CELLS_M, "method, condition"), "method, condition"))
 def _(t):
-    return r.cluster_bootstrap_auc(runs2(t), B, 1, ["method"])
+    return r.cluster_bootstrap_auc(t.runs, B, 1, ["method", "condition"])
 
 
 @query("naive_bootstrap_auc", "n_used:i ci_lo:d ci_hi:d width:d", f"""
@@ -54,12 +65,13 @@ def _(t):
     return r.naive_bootstrap_auc(t.ev_deep.withColumn("score", F.col("hour").cast("double")), B, 1)
 
 
-@query("bootstrap_auc_diff", "n_used:i ci_lo:d ci_hi:d p:d", f"""
-WITH a AS ({rep_auc(CELLS_M, "method")}), d AS (SELECT rep, max(auc) FILTER (method = 'm1') - max(auc) FILTER (method = 'm3') AS diff FROM a GROUP BY rep)
-SELECT n_used, ci_lo, ci_hi, least(1.0::DOUBLE, greatest(2.0::DOUBLE * least((SELECT count(*) FROM d WHERE diff <= 0), (SELECT count(*) FROM d WHERE diff >= 0)) / n_used, 1.0::DOUBLE / n_used)) AS p FROM ({ci("SELECT * FROM d", "", "diff")}) q""")
+@query("bootstrap_auc_diff", "method n_used:i ci_lo:d ci_hi:d p:d", f"""
+WITH a AS ({rep_auc(CELLS_M, "method, condition")}), d AS (SELECT rep, method, max(auc) FILTER (condition = 'a') - max(auc) FILTER (condition = 'b') AS diff FROM a GROUP BY rep, method),
+tail AS (SELECT method, count(*) FILTER (diff <= 0) AS le, count(*) FILTER (diff >= 0) AS ge FROM d GROUP BY method)
+SELECT q.method, n_used, ci_lo, ci_hi, least(1.0::DOUBLE, greatest(2.0::DOUBLE * least(le, ge) / n_used, 1.0::DOUBLE / n_used)) AS p FROM ({ci("SELECT * FROM d", "method", "diff")}) q JOIN tail ON tail.method = q.method""")
 def _(t):
-    w = runs2(t).groupBy("row_id", "subject", "label").pivot("method", ["m1", "m3"]).agg(F.first("score"))
-    return r.bootstrap_auc_diff(w, "m1", "m3", B, 1)
+    w = t.runs.groupBy("method", "row_id", "subject", "label").pivot("condition", ["a", "b"]).agg(F.first("score"))
+    return r.bootstrap_auc_diff(w, "a", "b", B, 1, keys=["method"])
 
 
 CELLS_S = "SELECT subject, scheme, score AS s, label AS p, 1 - label AS n FROM agg_matrix WHERE scheme <> 'top1_mean'"
@@ -77,15 +89,15 @@ def _(t):
     return per.unionByName(env.withColumn("scheme", F.lit("envelope")))
 
 
-sql_view("run2", "SELECT * REPLACE (round(score, 2) AS score) FROM runs WHERE condition = 'a'")
+sql_view("run2", "SELECT * REPLACE (method || condition AS method) FROM runs")
 sql_view("joint", f"""
 SELECT * EXCLUDE (ok) FROM (SELECT *, bool_and(auc IS NOT NULL) OVER (PARTITION BY rep) AS ok FROM (
-{rep_auc("SELECT subject, method, 'slice' AS unit, score AS s, sum(label) AS p, sum(1 - label) AS n FROM run2 GROUP BY ALL UNION ALL SELECT subject, method, 'patient', mean_score, label, 1 - label FROM (" + subj_sql('run2', 'method') + ") z", "unit, method")}) a) b WHERE ok
+{rep_auc("SELECT subject, method, 'slice' AS unit, round(CAST(score AS DOUBLE), 12) AS s, sum(label) AS p, sum(1 - label) AS n FROM run2 GROUP BY ALL UNION ALL SELECT subject, method, 'patient', mean_score, label, 1 - label FROM (" + subj_sql('run2', 'method') + ") z", "unit, method")}) a) b WHERE ok
 """)
 
 
 def joint(t):
-    return r.joint_bootstrap(runs2(t), B, 1)
+    return r.joint_bootstrap(arms(t), B, 1)
 
 
 @query("joint_bootstrap", "rep:i unit method auc:d", "SELECT rep, unit, method, auc FROM joint")
@@ -93,27 +105,27 @@ def _(t):
     return joint(t)
 
 
-sql_view("paired", "SELECT subject, avg(score) FILTER (label = 1) AS m1, avg(score) FILTER (label = 0) AS m0, avg(score) FILTER (label = 1) - avg(score) FILTER (label = 0) AS diff FROM run2 WHERE method = 'm2' GROUP BY subject HAVING min(label) <> max(label)")
+sql_view("paired", "SELECT method, subject, avg(score) FILTER (label = 1) AS m1, avg(score) FILTER (label = 0) AS m0, avg(score) FILTER (label = 1) - avg(score) FILTER (label = 0) AS diff FROM run2 GROUP BY ALL HAVING min(label) <> max(label)")
 
 
-@query("paired_mean_bootstrap", CI, f"""
-WITH u AS (SELECT subject, diff, row_number() OVER (ORDER BY {U("'idx|' || subject")}, subject) - 1 AS idx, count(*) OVER () AS k FROM paired),
+@query("paired_mean_bootstrap", f"method {CI}", f"""
+WITH u AS (SELECT subject, row_number() OVER (ORDER BY {U("'idx|' || subject")}, subject) - 1 AS idx, count(*) OVER () AS k FROM (SELECT DISTINCT subject FROM paired) q),
 d AS (SELECT rep, {H("'1|' || rep || '|' || idx")} % k AS d, count(*) AS mult FROM u, range({B}) x(rep) GROUP BY 1, 2)
-{ci("SELECT rep, sum(diff * mult) / sum(mult) AS mean FROM d JOIN u ON u.idx = d.d GROUP BY rep", "", "mean")}""")
+{ci("SELECT rep, method, sum(diff * mult) / sum(mult) AS mean FROM d JOIN u ON u.idx = d.d JOIN paired ON paired.subject = u.subject GROUP BY ALL", "method", "mean")}""")
 def _(t):
     from ..operators.inference import paired_differences
-    return r.paired_mean_bootstrap(paired_differences(runs2(t).filter("method = 'm2'"))[0], B, 1)
+    return r.paired_mean_bootstrap(paired_differences(arms(t), ["method"])[0], B, 1, keys=["method"])
 
 
-@query("within_strata_bootstrap", CI, f"""
-WITH u AS (SELECT *, CAST(subject AS BIGINT) % 4 AS st FROM ({subj_sql("(SELECT * FROM run2 WHERE method = 'm2')")}) z),
-i AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY {U("'idx|' || subject")}, subject) - 1 AS idx, count(*) OVER (PARTITION BY st) AS k FROM u),
+@query("within_strata_bootstrap", f"method {CI}", f"""
+WITH u AS (SELECT *, CAST(subject AS BIGINT) % 4 AS st FROM ({subj_sql("run2", "method")}) z),
+i AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY {U("'idx|' || subject")}, subject) - 1 AS idx, count(*) OVER (PARTITION BY st) AS k FROM (SELECT DISTINCT subject, st FROM u) q),
 d AS (SELECT rep, st, {H("'1|' || rep || '|' || st || '|' || idx")} % k AS d, count(*) AS mult FROM i, range({B}) x(rep) GROUP BY 1, 2, 3),
-a AS ({auc_sql("SELECT rep, d.st, mean_score AS s, sum(mult * label) AS p, sum(mult * (1 - label)) AS n FROM d JOIN i ON i.idx = d.d AND i.st = d.st GROUP BY ALL", "rep, st")})
-{ci("SELECT rep, sum(auc * n_pos * n_neg) / sum(CASE WHEN n_pos > 0 AND n_neg > 0 THEN n_pos * n_neg END) AS auc FROM a GROUP BY rep")}""")
+a AS ({auc_sql("SELECT rep, u.method, d.st, mean_score AS s, sum(mult * label) AS p, sum(mult * (1 - label)) AS n FROM d JOIN i ON i.idx = d.d AND i.st = d.st JOIN u ON u.subject = i.subject AND u.st = i.st GROUP BY ALL", "rep, method, st")})
+{ci("SELECT rep, method, sum(auc * n_pos * n_neg) / sum(CASE WHEN n_pos > 0 AND n_neg > 0 THEN n_pos * n_neg END) AS auc FROM a GROUP BY rep, method", "method")}""")
 def _(t):
-    s = m.cluster_aggregate(runs2(t).filter("method = 'm2'")).withColumn("st", F.col("subject").cast("long") % 4)
-    return r.within_strata_bootstrap(s, "st", B, 1, score="mean_score")
+    s = m.cluster_aggregate(arms(t), ["method"]).withColumn("st", F.col("subject").cast("long") % 4)
+    return r.within_strata_bootstrap(s, "st", B, 1, score="mean_score", keys=["method"])
 
 
 @query("cluster_bootstrap_accuracy", CI, f"""
