@@ -103,11 +103,12 @@ SCHEMES = (("mean", "mean", 0.0), ("max", "top", 1.0), ("top1_mean", "top", 1.0)
            ("top3_mean", "top", 3.0), ("top5_mean", "top", 5.0), ("q75", "q", 0.75), ("q90", "q", 0.9))
 
 
-def aggregate_matrix(df: DataFrame, keys=(), subject="subject", score="score", label="label") -> DataFrame:
+def aggregate_matrix(df: DataFrame, keys=(), subject="subject", score="score", label="label", digits=MEAN_DIGITS) -> DataFrame:
     """(keys, subject, scheme, score, label, short): eight ways to read one subject's scores.
 
     From per-subject score counts with running counts from the top, so no score list is built.
-    A subject with fewer rows than k takes the mean of what it has and is marked short.
+    A subject with fewer rows than k takes the mean of what it has and is marked short. Results are
+    snapped to ``digits``.
     """
     keys = list(keys)
     by = [*keys, subject]
@@ -129,7 +130,7 @@ def aggregate_matrix(df: DataFrame, keys=(), subject="subject", score="score", l
     for name, kind, par in SCHEMES:
         v = (F.sum(F.col("s") * F.col("c")) / F.max("t")) if kind == "mean" else \
             top(int(par)) if kind == "top" else quant(par)
-        cols.append(snap(v, MEAN_DIGITS).alias(name))
+        cols.append(snap(v, digits).alias(name))
     g = r.groupBy(*by).agg(F.max("y").alias("label"), F.max("t").alias("t"), *cols)
     arms = F.array(*[F.struct(F.lit(n).alias("scheme"), F.col(n).alias("score"),
                               ((F.lit(p if k == "top" else 0.0)) > F.col("t")).alias("short"))
@@ -168,13 +169,14 @@ def within_stratum_auc(subj: DataFrame, stratum: str, keys=(), score="score", la
         (F.sum(F.when(both, F.col("auc") * pairs)) / F.sum(F.when(both, pairs))).alias("pair_weighted_underpowered"))
 
 
-def separability(subj: DataFrame, stratum: str, label="label", floor=10) -> DataFrame:
-    """Per stratum: class sizes, both classes, power floor, pairs; and the share of pairs kept."""
-    g = subj.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("n_pos"))
+def separability(subj: DataFrame, stratum: str, label="label", floor=10, keys=()) -> DataFrame:
+    """Per keys and stratum: class sizes, both classes, power floor, pairs; and the share of pairs kept per keys."""
+    keys = list(keys)
+    g = subj.groupBy(*keys, stratum).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("n_pos"))
     g = g.withColumn("n_neg", F.col("n") - F.col("n_pos"))
-    tot = g.agg((F.sum("n_pos").cast("double") * F.sum("n_neg")).alias("__all"),
+    tot = g.groupBy(*keys).agg((F.sum("n_pos").cast("double") * F.sum("n_neg")).alias("__all"),
                 F.sum(F.col("n_pos").cast("double") * F.col("n_neg")).alias("__in"))
-    return (g.crossJoin(F.broadcast(tot))
+    return ((null_safe_join(g, tot, keys) if keys else g.crossJoin(F.broadcast(tot)))
             .withColumn("spans_both", (F.col("n_pos") > 0) & (F.col("n_neg") > 0))
             .withColumn("meets_floor", (F.col("n_pos") >= floor) & (F.col("n_neg") >= floor))
             .withColumn("pairs", F.col("n_pos") * F.col("n_neg"))

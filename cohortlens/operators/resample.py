@@ -113,12 +113,12 @@ def replicate_auc_subjects(long: DataFrame, drawn: DataFrame, keys, unit="subjec
     return replicate_auc(subject_cells(long, keys, unit), drawn, keys, unit)
 
 
-def shared_bootstrap_envelope(long: DataFrame, n_boot=2000, seed=0, unit="subject", scheme="scheme"):
-    """(interval per scheme, interval of the best scheme of each replicate)."""
-    long = settle(long)
-    r = settle(replicate_auc_subjects(long, packed(long, n_boot, seed, unit), [scheme], unit))
-    env = r.groupBy("rep").agg(F.max("auc").alias("auc"))
-    return percentile_ci(r, [scheme]), percentile_ci(env)
+def shared_bootstrap_envelope(long: DataFrame, n_boot=2000, seed=0, unit="subject", scheme="scheme", keys=()):
+    """(interval per keys and scheme, interval of the best scheme of each replicate per keys)."""
+    long, keys = settle(long), list(keys)
+    r = settle(replicate_auc_subjects(long, packed(long, n_boot, seed, unit), [*keys, scheme], unit))
+    env = r.groupBy("rep", *keys).agg(F.max("auc").alias("auc"))
+    return percentile_ci(r, [*keys, scheme]), percentile_ci(env, keys)
 
 
 def joint_bootstrap(df: DataFrame, n_boot=2000, seed=0, method="method") -> DataFrame:

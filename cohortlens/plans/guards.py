@@ -232,25 +232,25 @@ def _(t):
 
 
 @query("align_pair", "pair n_rows:i only_a:i only_b:i label_clash:i accepted:b n_aligned:i", """
-SELECT 'same' AS pair, count(*) AS n_rows, 0 AS only_a, 0 AS only_b, 0 AS label_clash, true AS accepted, count(*) AS n_aligned FROM ev_deep
-UNION ALL SELECT 'cut', count(*), count(*) FILTER (row_id % 10 = 0), 0, 0, false, 0 FROM ev_deep""")
+SELECT 'same' AS pair, count(*) AS n_rows, 0 AS only_a, 0 AS only_b, 0 AS label_clash, true AS accepted, count(*) AS n_aligned FROM runs WHERE condition = 'a'
+UNION ALL SELECT 'cut', count(*), count(*) FILTER (row_id % 10 = 0), 0, 0, false, 0 FROM runs WHERE condition = 'a'""")
 def _(t):
-    a = t.runs.filter("method = 'm1' AND condition = 'a'")
-    b = t.runs.filter("method = 'm2' AND condition = 'a'")
+    d = t.runs.withColumn("key", F.concat_ws("|", "method", F.col("row_id").cast("string")))
+    a, b = d.filter("condition = 'a'"), d.filter("condition = 'b'")  # the two sides of the pair
     out = None
     for name, right in (("same", b), ("cut", b.filter("row_id % 10 <> 0"))):
-        rows, rep = g.align_pair(a, right)
+        rows, rep = g.align_pair(a, right, "key")
         d = rep.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n_aligned")))).withColumn("pair", F.lit(name))
         out = d if out is None else out.unionByName(d)
     return out
 
 
 @query("align_methods", "method n:i n_subjects:i unit", """
-SELECT method, count(*) AS n, count(DISTINCT subject) AS n_subjects, 'subject' AS unit FROM runs
-WHERE condition = 'a' AND method <> 'm3' AND row_id NOT IN (SELECT row_id FROM runs WHERE row_id % 37 = 5) GROUP BY method""")
+SELECT method, count(*) AS n, count(DISTINCT subject) AS n_subjects, 'subject' AS unit FROM run2
+WHERE method NOT LIKE 'm3%' AND row_id NOT IN (SELECT row_id FROM runs WHERE row_id % 37 = 5) GROUP BY method""")
 def _(t):
-    r = t.runs.filter("condition = 'a' AND NOT (method = 'm3' AND row_id % 10 = 0)")
-    r = r.withColumn("score", F.when((F.col("method") == "m2") & (F.col("row_id") % 37 == 5), F.lit(float("nan"))).otherwise(F.col("score")))
+    r = t.runs.withColumn("method", F.concat("method", "condition")).filter("NOT (method LIKE 'm3%' AND row_id % 10 = 0)")
+    r = r.withColumn("score", F.when(F.col("method").startswith("m2") & (F.col("row_id") % 37 == 5), F.lit(float("nan"))).otherwise(F.col("score")))
     rows, unit = g.align_methods(r)
     return rows.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("subject").alias("n_subjects")).crossJoin(F.broadcast(unit))
 

@@ -48,19 +48,19 @@ def _(t):
 
 
 sql_view("agg_matrix", """
-WITH r AS (SELECT subject, label, score, row_number() OVER (PARTITION BY subject ORDER BY score DESC) AS i, count(*) OVER (PARTITION BY subject) AS t
-           FROM runs WHERE method = 'm2' AND condition = 'a'),
-g AS (SELECT subject, max(label) AS label, max(t) AS t, avg(score) AS mean, max(score) AS max, max(score) AS top1_mean,
+WITH r AS (SELECT method, condition, subject, label, score, row_number() OVER (PARTITION BY method, condition, subject ORDER BY score DESC) AS i, count(*) OVER (PARTITION BY method, condition, subject) AS t
+           FROM runs),
+g AS (SELECT method, condition, subject, max(label) AS label, max(t) AS t, avg(score) AS mean, max(score) AS max, max(score) AS top1_mean,
   avg(score) FILTER (i <= 2) AS top2_mean, avg(score) FILTER (i <= 3) AS top3_mean, avg(score) FILTER (i <= 5) AS top5_mean,
-  quantile_cont(score, 0.75) AS q75, quantile_cont(score, 0.9) AS q90 FROM r GROUP BY subject)
-SELECT subject, label, scheme, round(score, 10) AS score, CASE scheme WHEN 'top2_mean' THEN 2 > t WHEN 'top3_mean' THEN 3 > t WHEN 'top5_mean' THEN 5 > t WHEN 'top1_mean' THEN 1 > t WHEN 'max' THEN 1 > t ELSE false END AS short
+  quantile_cont(score, 0.75) AS q75, quantile_cont(score, 0.9) AS q90 FROM r GROUP BY ALL)
+SELECT method, condition, subject, label, scheme, round(score, 13) AS score, CASE scheme WHEN 'top2_mean' THEN 2 > t WHEN 'top3_mean' THEN 3 > t WHEN 'top5_mean' THEN 5 > t WHEN 'top1_mean' THEN 1 > t WHEN 'max' THEN 1 > t ELSE false END AS short
 FROM g UNPIVOT (score FOR scheme IN (mean, max, top1_mean, top2_mean, top3_mean, top5_mean, q75, q90))
 """)
 
 
-@query("aggregate_matrix", "subject scheme score_e10:i label:i short:b", "SELECT *, round(score * 1e10) AS score_e10 FROM agg_matrix")
+@query("aggregate_matrix", "method condition subject scheme score_e10:i label:i short:b", "SELECT *, round(score * 1e10) AS score_e10 FROM agg_matrix")
 def _(t):
-    d = m.aggregate_matrix(t.runs.filter("method = 'm2' AND condition = 'a'"))
+    d = m.aggregate_matrix(t.runs, KEYS, digits=13)  # means of 32 six-digit scores fall between two ten-digit numbers
     return d.withColumn("score_e10", F.round(F.col("score") * 1e10))
 
 
@@ -69,52 +69,52 @@ SELECT {k} sum(auc * CAST(n_pos AS DOUBLE) * n_neg) / sum(CAST(n_pos AS DOUBLE)
 FROM ({per}) q WHERE n_pos >= {f} AND n_neg >= {f} {g}"""
 
 
-@query("stratified_auc", "method auc:d n_strata_used:i n_pairs:d", STRAT.format(
-    k="method,", f=1, g="GROUP BY method", per=auc_sql(counts_sql("(SELECT r.*, CAST(least(floor(relpos * 10.0::DOUBLE), 9) AS BIGINT) AS stratum FROM runs r JOIN ev_pos p ON r.row_id = p.row_id WHERE condition = 'a')", "method, stratum"), "method, stratum")))
+@query("stratified_auc", "method condition auc:d n_strata_used:i n_pairs:d", STRAT.format(
+    k="method, condition,", f=1, g="GROUP BY ALL", per=auc_sql(counts_sql("(SELECT r.*, CAST(least(floor(relpos * 10.0::DOUBLE), 9) AS BIGINT) AS stratum FROM runs r JOIN ev_pos p ON r.row_id = p.row_id)", "method, condition, stratum"), "method, condition, stratum")))
 def _(t):
     from ..operators.geometry import bin_of
     pos = relative_position(t.ev_deep).select("row_id", bin_of(F.col("relpos"), 10).alias("stratum"))
-    return m.stratified_auc(t.runs.filter("condition = 'a'").join(pos, "row_id"), "stratum", ["method"])
+    return m.stratified_auc(t.runs.join(pos, "row_id"), "stratum", KEYS)
 
 
 sql_view("depth5", "SELECT subject, CAST(count(*) // count(DISTINCT volume) AS BIGINT) AS depth FROM ev_deep GROUP BY subject")
 
 
-@query("depth_fixed_auc", "stratum auc:d n_strata_used:i n_pairs:d", " UNION ALL ".join(
-    f"SELECT '{n}' AS stratum, * FROM (" + STRAT.format(k="", f=1, g="", per=auc_sql(counts_sql(
-        f"(SELECT s.*, {e} AS st FROM run_subj s JOIN depth5 d ON s.subject = d.subject WHERE method = 'm2' AND condition = 'a')", "st", "mean_score"), "st")) + ") z"
+@query("depth_fixed_auc", "method condition stratum auc:d n_strata_used:i n_pairs:d", " UNION ALL ".join(
+    f"SELECT '{n}' AS stratum, * FROM (" + STRAT.format(k="method, condition,", f=1, g="GROUP BY ALL", per=auc_sql(counts_sql(
+        f"(SELECT s.*, {e} AS st FROM run_subj s JOIN depth5 d ON s.subject = d.subject)", "method, condition, st", "mean_score"), "method, condition, st")) + ") z"
     for n, e in (("exact", "depth"), ("fives", "depth // 5"), ("none", "0"))))
 def _(t):
-    subj = m.cluster_aggregate(t.runs.filter("method = 'm2' AND condition = 'a'"))
+    subj = m.cluster_aggregate(t.runs, KEYS)
     d = subj.join(patient_depth(t.ev_deep).select("subject", "depth"), "subject")
     arms = F.array(*[F.struct(F.lit(n).alias("stratum"), F.expr(e).alias("st")) for n, e in (
         ("exact", "depth"), ("fives", "depth div 5"), ("none", "0L"))])
-    return m.stratified_auc(d.select("*", F.inline(arms)), "st", ["stratum"], score="mean_score")
+    return m.stratified_auc(d.select("*", F.inline(arms)), "st", [*KEYS, "stratum"], score="mean_score")
 
 
-SUBJ_HOUR = "(SELECT s.*, CAST(s.subject AS BIGINT) % 6 AS st FROM run_subj s WHERE condition = 'a')"
+SUBJ_HOUR = "(SELECT s.*, CAST(s.subject AS BIGINT) % 6 AS st FROM run_subj s)"
 
 
 def subj_strata(t):
-    return m.cluster_aggregate(t.runs.filter("condition = 'a'"), ["method"]).withColumn("st", F.col("subject").cast("long") % 6)
+    return m.cluster_aggregate(t.runs, KEYS).withColumn("st", F.col("subject").cast("long") % 6)
 
 
-@query("within_stratum_auc", "method size_weighted:d n_strata_used:i pair_weighted:d pair_weighted_underpowered:d", f"""
-SELECT method, sum(auc * (n_pos + n_neg)) FILTER (n_pos > 0 AND n_neg > 0 AND n_pos + n_neg >= 4) / sum(n_pos + n_neg) FILTER (n_pos > 0 AND n_neg > 0 AND n_pos + n_neg >= 4) AS size_weighted,
+@query("within_stratum_auc", "method condition size_weighted:d n_strata_used:i pair_weighted:d pair_weighted_underpowered:d", f"""
+SELECT method, condition, sum(auc * (n_pos + n_neg)) FILTER (n_pos > 0 AND n_neg > 0 AND n_pos + n_neg >= 4) / sum(n_pos + n_neg) FILTER (n_pos > 0 AND n_neg > 0 AND n_pos + n_neg >= 4) AS size_weighted,
   count(*) FILTER (n_pos > 0 AND n_neg > 0 AND n_pos + n_neg >= 4) AS n_strata_used,
   sum(auc * n_pos * n_neg) FILTER (n_pos >= 6 AND n_neg >= 6) / sum(CAST(n_pos AS DOUBLE) * n_neg) FILTER (n_pos >= 6 AND n_neg >= 6) AS pair_weighted,
   sum(auc * n_pos * n_neg) FILTER (n_pos > 0 AND n_neg > 0) / sum(CAST(n_pos AS DOUBLE) * n_neg) FILTER (n_pos > 0 AND n_neg > 0) AS pair_weighted_underpowered
-FROM ({auc_sql(counts_sql(SUBJ_HOUR, "method, st", "mean_score"), "method, st")}) q GROUP BY method""")
+FROM ({auc_sql(counts_sql(SUBJ_HOUR, "method, condition, st", "mean_score"), "method, condition, st")}) q GROUP BY ALL""")
 def _(t):
-    return m.within_stratum_auc(subj_strata(t), "st", ["method"], "mean_score", floor=6)
+    return m.within_stratum_auc(subj_strata(t), "st", KEYS, "mean_score", floor=6)
 
 
-@query("separability", "st:i n:i n_pos:i n_neg:i spans_both:b meets_floor:b pairs:i fraction_retained:d", f"""
-SELECT *, sum(pairs) OVER () / (CAST(sum(n_pos) OVER () AS DOUBLE) * sum(n_neg) OVER ()) AS fraction_retained FROM (
+@query("separability", "method condition st:i n:i n_pos:i n_neg:i spans_both:b meets_floor:b pairs:i fraction_retained:d", f"""
+SELECT *, sum(pairs) OVER (PARTITION BY method, condition) / (CAST(sum(n_pos) OVER (PARTITION BY method, condition) AS DOUBLE) * sum(n_neg) OVER (PARTITION BY method, condition)) AS fraction_retained FROM (
  SELECT *, n_pos > 0 AND n_neg > 0 AS spans_both, n_pos >= 6 AND n_neg >= 6 AS meets_floor, n_pos * n_neg AS pairs FROM (
-  SELECT st, count(*) AS n, sum(label) AS n_pos, count(*) - sum(label) AS n_neg FROM {SUBJ_HOUR} x WHERE method = 'm1' GROUP BY st) a) b""")
+  SELECT method, condition, st, count(*) AS n, sum(label) AS n_pos, count(*) - sum(label) AS n_neg FROM {SUBJ_HOUR} x GROUP BY ALL) a) b""")
 def _(t):
-    return m.separability(subj_strata(t).filter("method = 'm1'"), "st", floor=6)
+    return m.separability(subj_strata(t), "st", floor=6, keys=KEYS)
 
 
 BEST = """(SELECT *, CAST(n AS BIGINT) AS n2 FROM (SELECT * FROM src) z)"""
@@ -147,25 +147,25 @@ def _(t):
     return m.threshold_metrics(m.confusion(t.runs, th, KEYS))
 
 
-sql_view("run_val", "SELECT *, row_id % 3 = 0 AS is_val FROM runs WHERE condition = 'a'")
+sql_view("run_val", "SELECT *, row_id % 3 = 0 AS is_val FROM runs")
 sql_view("fold_thr", """
-WITH c AS (SELECT method, fold, round(CAST(score AS DOUBLE), 12) AS s, sum(label) AS p, sum(1 - label) AS n FROM run_val WHERE is_val GROUP BY ALL),
-r AS (SELECT *, sum(p) OVER (PARTITION BY method, fold ORDER BY s) AS pb, sum(n) OVER (PARTITION BY method, fold ORDER BY s) AS nb,
-      lead(s) OVER (PARTITION BY method, fold ORDER BY s) AS nxt, sum(p) OVER (PARTITION BY method, fold) AS tp, sum(n) OVER (PARTITION BY method, fold) AS tn FROM c),
-k AS (SELECT method, fold, (s + nxt) / 2 AS threshold, 1 - pb / CAST(tp AS DOUBLE) AS sens, nb / CAST(tn AS DOUBLE) AS spec FROM r WHERE nxt IS NOT NULL AND tp > 0 AND tn > 0
-  UNION ALL SELECT method, fold, min(s) - 1e-9, 1, 0 FROM c GROUP BY 1, 2 HAVING sum(p) > 0 AND sum(n) > 0),
-b AS (SELECT *, sens + spec - 1 AS j, max(sens + spec - 1) OVER (PARTITION BY method, fold) AS m FROM k),
-t AS (SELECT *, row_number() OVER (PARTITION BY method, fold ORDER BY threshold) AS i, count(*) OVER (PARTITION BY method, fold) AS n_tied FROM b WHERE j >= m - 1e-12)
-SELECT method, fold, threshold FROM t WHERE i = n_tied // 2 + 1
+WITH c AS (SELECT method, condition, fold, round(CAST(score AS DOUBLE), 12) AS s, sum(label) AS p, sum(1 - label) AS n FROM run_val WHERE is_val GROUP BY ALL),
+r AS (SELECT *, sum(p) OVER (PARTITION BY method, condition, fold ORDER BY s) AS pb, sum(n) OVER (PARTITION BY method, condition, fold ORDER BY s) AS nb,
+      lead(s) OVER (PARTITION BY method, condition, fold ORDER BY s) AS nxt, sum(p) OVER (PARTITION BY method, condition, fold) AS tp, sum(n) OVER (PARTITION BY method, condition, fold) AS tn FROM c),
+k AS (SELECT method, condition, fold, (s + nxt) / 2 AS threshold, 1 - pb / CAST(tp AS DOUBLE) AS sens, nb / CAST(tn AS DOUBLE) AS spec FROM r WHERE nxt IS NOT NULL AND tp > 0 AND tn > 0
+  UNION ALL SELECT method, condition, fold, min(s) - 1e-9, 1, 0 FROM c GROUP BY 1, 2, 3 HAVING sum(p) > 0 AND sum(n) > 0),
+b AS (SELECT *, sens + spec - 1 AS j, max(sens + spec - 1) OVER (PARTITION BY method, condition, fold) AS m FROM k),
+t AS (SELECT *, row_number() OVER (PARTITION BY method, condition, fold ORDER BY threshold) AS i, count(*) OVER (PARTITION BY method, condition, fold) AS n_tied FROM b WHERE j >= m - 1e-12)
+SELECT method, condition, fold, threshold FROM t WHERE i = n_tied // 2 + 1
 """)
 
 
-@query("pooled_operating_point", f"method {RATE_COLS} threshold:d n_folds:i", f"""
-SELECT *, {RATES} FROM (SELECT method, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn, median(threshold) AS threshold, count(*) AS n_folds FROM (
-  SELECT method, fold, max(threshold) AS threshold, {CONF} FROM (SELECT r.*, threshold, score >= threshold AS hit FROM run_val r JOIN fold_thr f ON r.method = f.method AND r.fold = f.fold WHERE NOT is_val) a GROUP BY 1, 2) b GROUP BY 1) c""")
+@query("pooled_operating_point", f"method condition {RATE_COLS} threshold:d n_folds:i", f"""
+SELECT *, {RATES} FROM (SELECT method, condition, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn, median(threshold) AS threshold, count(*) AS n_folds FROM (
+  SELECT method, condition, fold, max(threshold) AS threshold, {CONF} FROM (SELECT r.*, threshold, score >= threshold AS hit FROM run_val r JOIN fold_thr f ON r.method = f.method AND r.condition = f.condition AND r.fold = f.fold WHERE NOT is_val) a GROUP BY 1, 2, 3) b GROUP BY 1, 2) c""")
 def _(t):
-    r = t.runs.filter("condition = 'a'")
-    return m.pooled_operating_point(r.filter("row_id % 3 = 0"), r.filter("row_id % 3 <> 0"), ["method"])
+    r = t.runs
+    return m.pooled_operating_point(r.filter("row_id % 3 = 0"), r.filter("row_id % 3 <> 0"), KEYS)
 
 
 @query("class_accuracy_set", "method condition accuracy:d balanced_accuracy:d majority:d recall_0:d recall_1:d", """

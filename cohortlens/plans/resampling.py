@@ -37,6 +37,11 @@ tot AS (SELECT rep{k}, sum(p * mult) AS p, sum(n * mult) AS n FROM (SELECT subje
 SELECT tot.rep{of('tot')}, CASE WHEN p > 0 AND n > 0 THEN coalesce(won, 0) / (CAST(p AS DOUBLE) * n) END AS auc FROM tot LEFT JOIN full_ ON full_.rep = tot.rep{same('full_', 'tot')}"""
 
 
+def rep_auc_few(cells, keys):
+    """The same from running counts, where a subject has one cell."""
+    return auc_sql(f"SELECT rep, {keys}, s, sum(p * mult) AS p, sum(n * mult) AS n FROM ({cells}) c JOIN boot ON boot.subject = c.subject GROUP BY ALL", f"rep, {keys}")
+
+
 def ci(reps, keys="", value="auc"):
     k, g = (f"{keys},", f"GROUP BY {keys}") if keys else ("", "")
     return f"""SELECT {k} count({value}) AS n_used, count(*) - count({value}) AS n_skipped, quantile_cont({value}, 0.025) AS ci_lo, quantile_cont({value}, 0.975) AS ci_hi,
@@ -74,18 +79,19 @@ def _(t):
     return r.bootstrap_auc_diff(w, "a", "b", B, 1, keys=["method"])
 
 
-CELLS_S = "SELECT subject, scheme, score AS s, label AS p, 1 - label AS n FROM agg_matrix WHERE scheme <> 'top1_mean'"
+CELLS_S = "SELECT subject, method, condition, scheme, score AS s, label AS p, 1 - label AS n FROM agg_matrix WHERE scheme <> 'top1_mean'"
 
 
 def schemes(t):
-    return m.aggregate_matrix(t.runs.filter("method = 'm2' AND condition = 'a'")).filter("scheme <> 'top1_mean'")
+    return m.aggregate_matrix(t.runs, ["method", "condition"], digits=13).filter("scheme <> 'top1_mean'")
 
 
-@query("shared_bootstrap_envelope", f"scheme {CI}", f"""
-SELECT * FROM ({ci(rep_auc(CELLS_S, "scheme"), "scheme")}) a UNION ALL
-SELECT 'envelope', * FROM ({ci("SELECT rep, max(auc) AS auc FROM (" + rep_auc(CELLS_S, "scheme") + ") x GROUP BY rep")}) b""")
+@query("shared_bootstrap_envelope", f"method condition scheme {CI}", f"""
+WITH a AS ({rep_auc_few(CELLS_S, "method, condition, scheme")})
+{ci("SELECT * FROM a", "method, condition, scheme")} UNION ALL BY NAME
+SELECT *, 'envelope' AS scheme FROM ({ci("SELECT rep, method, condition, max(auc) AS auc FROM a GROUP BY ALL", "method, condition")}) b""")
 def _(t):
-    per, env = r.shared_bootstrap_envelope(schemes(t), B, 1)
+    per, env = r.shared_bootstrap_envelope(schemes(t), B, 1, keys=["method", "condition"])
     return per.unionByName(env.withColumn("scheme", F.lit("envelope")))
 
 
