@@ -31,7 +31,7 @@ def spearman(df: DataFrame, a: str, b: str, keys=()) -> DataFrame:
     """Pearson of midranks; null when a side is all tied."""
     d = ranks_desc(ranks_desc(df, keys, a, "__ra"), keys, b, "__rb")
     ok = (F.min("__ra") < F.max("__ra")) & (F.min("__rb") < F.max("__rb"))
-    return d.groupBy(*keys).agg(F.when(ok, F.corr("__ra", "__rb")).alias("rho"), F.count(F.lit(1)).alias("n_methods"))
+    return d.groupBy(*keys).agg(F.when(ok, m.pearson("__ra", "__rb")).alias("rho"), F.count(F.lit(1)).alias("n_methods"))
 
 
 def pairs(df: DataFrame, keys=(), item="method", values=("a", "b")) -> DataFrame:
