@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.prefix import group_stats, null_safe_join, number_rows, spread, text_lead
+from ..functions.prefix import group_stats, merged, null_safe_join, number_rows, spread, text_lead
 from ..functions.rules import canonical_text
 from ..session import settle
 from . import metrics as m
@@ -68,7 +68,7 @@ def association_null(df: DataFrame, a: str, b: str, n_perm: int, seed=0, row="ro
     """Observed V and MI against shuffles of one variable: null mean, q95, p."""
     base = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("whole", F.lit(1))
     p = resample.permute_within(base, n_perm, ["whole"], row, b, seed)
-    null = table_statistics(settle(contingency(base.drop(b).join(p, row), a, b, ["perm"])), ["perm"])
+    null = table_statistics(settle(contingency(merged(base.drop(b)).join(p, row), a, b, ["perm"])), ["perm"])
     obs = table_statistics(contingency(base, a, b)).select(F.col("v").alias("v_obs"), F.col("mi").alias("mi_obs"))
     j = null.crossJoin(F.broadcast(obs))
     n = F.count(F.lit(1))

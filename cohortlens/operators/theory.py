@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.prefix import group_stats, null_safe_join
+from ..functions.prefix import group_stats, merged, null_safe_join
 from ..session import settle
 from . import baselines as b
 from . import metrics as m
@@ -134,7 +134,7 @@ def null_ceiling(df: DataFrame, n_perm=25, n_bins=20, seed=0) -> DataFrame:
     """Median and 5 / 95 % points of the ceiling under within-volume label permutation."""
     p = resample.permute_within(df, n_perm, seed=seed)
     bins = df.select("row_id", "relpos")
-    c = positional_ceiling(settle(positional_profile(p.join(bins, "row_id"), n_bins, ["perm"])), ["perm"])
+    c = positional_ceiling(settle(positional_profile(merged(p).join(bins, "row_id"), n_bins, ["perm"])), ["perm"])
     q = lambda x: F.percentile("auc", F.lit(x))  # one value per permutation
     return c.agg(q(0.5).alias("median"), q(0.05).alias("p05"), q(0.95).alias("p95"), F.count("auc").alias("n"))
 
