@@ -11,7 +11,7 @@ from ..functions.prefix import group_stats, merged, null_safe_join, number_rows,
 from ..functions.rules import canonical_text
 from ..session import settle
 from . import metrics as m
-from . import resample
+from . import replicates, resample
 from .metrics import wilson
 
 
@@ -185,7 +185,10 @@ def agreement_bootstrap(df: DataFrame, n_boot=2000, seed=0, item="item", code="c
     """
     c = df.groupBy(item, F.col(code).alias("c")).agg(F.count(F.lit(1)).alias("n"))
     per = settle(c.groupBy(item).agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("type")))  # an item has few codes
-    types = settle(per.join(resample.draws(per, n_boot, seed, item), item).groupBy("rep", "type").agg(F.sum("mult").alias("w")))
+    known = settle(per.groupBy("type").agg(F.min(item).alias("id")))  # a type goes by its smallest item
+    unit = per.join(known, "type").select(item, "id", F.lit(1).alias("w"))
+    w = replicates.weighted_sums(unit, settle(resample.packed(per, n_boot, seed, item)), ["id"], ["w"], item).filter("w > 0")
+    types = settle(w.join(known, "id").select("rep", "type", "w"))
     cell = types.select("rep", "w", F.inline("type"), F.aggregate("type", F.lit(0).cast("long"), lambda t, x: t + x["n"]).alias("m"))
     share = cell.groupBy("rep").agg(F.sum(F.col("w") * F.col("n")).alias("t"), F.sum(F.col("w") * F.col("n") * (F.col("n") - 1) / (F.col("m") * (F.col("m") - 1))).alias("agree"))
     items = types.groupBy("rep").agg(F.sum("w").alias("items"))

@@ -5,7 +5,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import prefix
-from cohortlens.operators import ranking
+from cohortlens.functions.draws import draw, draw_slots
+from cohortlens.operators import ranking, replicates
 from cohortlens.operators import resample as r
 
 
@@ -41,3 +42,41 @@ def test_spearman_of_tied_side_is_null(spark):
     d = spark.createDataFrame([("t", 1.0, 5.0), ("t", 2.0, 5.0), ("u", 1.0, 1.0), ("u", 2.0, 3.0), ("one", 1.0, 1.0)], "g string, a double, b double")
     got = {x.g: (x.rho, x.n_methods) for x in ranking.spearman(d, "a", "b", ["g"]).collect()}
     assert got["t"] == (None, 2) and got["one"] == (None, 1) and got["u"] == (pytest.approx(1.0), 2)
+
+
+def test_draws_are_counted_without_a_row_per_slot(spark, monkeypatch):
+    """The packed draws are those of the written-out slots, and no plan holds a row for each slot."""
+    monkeypatch.setattr(replicates, "SLOTS", 300)
+    monkeypatch.setattr(replicates, "WIDE", 256)
+    sql = [x[0] for x in spark.range(40).select(draw(7, F.lit(3), F.col("id"))).collect()]
+    assert list(draw_slots(7, 3, 0, 40)) == sql
+    units = spark.range(700).select(F.col("id").cast("string").alias("subject"))
+    packs = r.packed(units, 1002, 7)
+    assert "Generate" not in packs._jdf.queryExecution().optimizedPlan().toString()
+    got = {(x["__blk"] * replicates.REPS + i, x.subject): w for x in packs.collect() for i, w in enumerate(x["__w"]) if w}
+    want = {(x.rep, x.subject): x.mult for x in r.draws(units, 1002, 7).collect()}
+    assert got == want
+
+
+def test_chunks_share_scores_and_weights(spark, monkeypatch):
+    """Chunks far smaller than a score's cells, counts above one, several sets of replicates."""
+    monkeypatch.setattr(replicates, "CHUNK", 7)
+    d = spark.range(400).select((F.col("id") % 37).cast("string").alias("subject"), F.expr("CASE WHEN id % 2 = 0 THEN 0.5D ELSE (id % 5) / 10D END").alias("s"),
+                                (F.col("id") % 3).alias("p"), (F.col("id") % 4).alias("n"))
+    packs = r.packed(d, 400, 2)
+    got = {x.rep: x.auc for x in r.replicate_auc(d, packs).collect()}
+    w = {(x["__blk"] * replicates.REPS + i, x.subject): v for x in packs.collect() for i, v in enumerate(x["__w"])}
+    rows = d.collect()
+    for rep in (0, 249, 250, 399):
+        pos, neg = [(x.s, x.p * w[rep, x.subject]) for x in rows], [(x.s, x.n * w[rep, x.subject]) for x in rows]
+        want = sum(a * b * ((s > t) + (s == t) / 2) for s, a in pos for t, b in neg) / (sum(a for _, a in pos) * sum(b for _, b in neg))
+        assert got[rep] == pytest.approx(want, abs=1e-12)
+
+
+def test_means_need_no_row_per_draw(spark):
+    """Means of units under keys on packed draws equal the ones from written-out draws; a null value adds nothing."""
+    d = spark.range(60).select((F.col("id") % 20).cast("string").alias("subject"), F.expr("if(id < 20, 'a', 'b')").alias("k"), F.expr("if(id % 7 = 0, NULL, id * 0.5D)").alias("diff")).filter("k = 'a' OR subject < '5'")
+    packs = r.packed(d, 50, 4)
+    got = {(x.rep, x.k): (x.diff, x.one) for x in replicates.weighted_sums(d.withColumn("one", F.lit(1)), packs, ["k"], ["diff", "one"]).collect()}
+    want = d.join(r.draws(d, 50, 4), "subject").groupBy("rep", "k").agg(F.sum(F.col("diff") * F.col("mult")).alias("v"), F.sum("mult").alias("m")).collect()
+    assert len(want) == 100 and all(got[x.rep, x.k] == (pytest.approx(x.v), x.m) for x in want)
