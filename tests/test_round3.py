@@ -49,10 +49,10 @@ def test_draws_are_counted_without_a_row_per_slot(spark, monkeypatch):
     monkeypatch.setattr(replicates, "SLOTS", 300)
     monkeypatch.setattr(replicates, "WIDE", 256)
     sql = [x[0] for x in spark.range(40).select(draw(7, F.lit(3), F.col("id"))).collect()]
-    assert list(draw_slots(7, 3, 0, 40)) == sql
+    assert list(draw_slots((7, 3), 0, 40)) == sql
     units = spark.range(700).select(F.col("id").cast("string").alias("subject"))
     packs = r.packed(units, 1002, 7)
-    assert "Generate" not in packs._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in packs._jdf.queryExecution().optimizedPlan().toString()  # hashed where slots are numbered
     got = {(x["__blk"] * replicates.REPS + i, x.subject): w for x in packs.collect() for i, w in enumerate(x["__w"]) if w}
     want = {(x.rep, x.subject): x.mult for x in r.draws(units, 1002, 7).collect()}
     assert got == want
@@ -80,3 +80,14 @@ def test_means_need_no_row_per_draw(spark):
     got = {(x.rep, x.k): (x.diff, x.one) for x in replicates.weighted_sums(d.withColumn("one", F.lit(1)), packs, ["k"], ["diff", "one"]).collect()}
     want = d.join(r.draws(d, 50, 4), "subject").groupBy("rep", "k").agg(F.sum(F.col("diff") * F.col("mult")).alias("v"), F.sum("mult").alias("m")).collect()
     assert len(want) == 100 and all(got[x.rep, x.k] == (pytest.approx(x.v), x.m) for x in want)
+
+
+def test_strata_are_drawn_without_a_row_per_slot(spark):
+    """Draws inside strata are those of hash(seed|rep|stratum|slot), a percent sign included."""
+    ix = spark.range(90).select(F.struct("id", F.expr("if(id < 60, '5%d', 'b')").alias("st")).alias("u"), F.expr("if(id < 60, '5%d', 'b')").alias("st"),
+                                F.expr("if(id < 60, id, id - 60)").alias("idx"))
+    got = {(i, x.u.id): w for x in replicates.count_draws(ix, 7, 3, "u", "st").collect() for i, w in enumerate(x["__w"]) if w}
+    slots = ix.select("st", "idx", F.expr("if(st = 'b', 30, 60)").alias("k"))
+    at = slots.crossJoin(spark.range(7).withColumnRenamed("id", "rep")).select("rep", "st", (draw(3, F.col("rep"), F.col("st"), F.col("idx")) % F.col("k")).alias("idx"))
+    want = {(x.rep, x.idx + (60 if x.st == "b" else 0)): x["count"] for x in at.groupBy("rep", "st", "idx").count().collect()}
+    assert got == want
