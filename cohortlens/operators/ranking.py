@@ -102,6 +102,12 @@ def point_auc(df: DataFrame, method="method") -> DataFrame:
     return a.unionByName(b)
 
 
+def point_from_cells(cells: DataFrame, method="method") -> DataFrame:
+    """The same from ``resample.joint_cells``, both units in one plan."""
+    c = cells.groupBy("unit", method, "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return m.auc_from_counts(c, ["unit", method]).select("unit", method, "auc")
+
+
 def by_unit(long: DataFrame, keys=("rep",), method="method") -> DataFrame:
     """(keys, method, slice, patient)."""
     return long.groupBy(*keys, method).agg(F.max(F.when(F.col("unit") == "slice", F.col("auc"))).alias("slice"),

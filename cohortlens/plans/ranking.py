@@ -7,7 +7,7 @@ from ..operators import metrics as m
 from ..operators import ranking as k
 from ..operators import resample as r
 from .registry import query
-from .resampling import joint, arms
+from .resampling import B, arms
 from .sqlkit import auc_sql, counts_sql, subj_sql
 from .views import H, U, sql_view
 
@@ -72,7 +72,8 @@ SELECT r.*, tau, top1_same, top3_overlap FROM ({spear('wide_rep', 'rep', 's', 'p
 
 def pt_reps(t):
     from ..session import settle
-    return settle(k.point_auc(arms(t))), settle(joint(t))
+    cells = r.joint_cells(arms(t))  # the events are scored once
+    return settle(k.point_from_cells(cells)), settle(r.joint_replicates(cells, B, 1))
 
 
 @query("rank_agreement", "rho_obs:d tau_obs:d top1_same:i top3_overlap_obs:i rho_lo:d rho_hi:d tau_median:d tau_lo:d tau_hi:d top1_same_rate:d top3_overlap_mean:d n_used:i", """
