@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import ranking, resample
+from cohortlens.operators import inference, ranking, resample
 from cohortlens.plans.views import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +29,11 @@ def test_joint_cells_score_the_rows_once(spark):
     got = {(x.unit, x.method): x.auc for x in ranking.point_from_cells(cells).collect()}
     want = {(x.unit, x.method): x.auc for x in ranking.point_auc(d).collect()}
     assert len(got) == 4 and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def test_levels_are_scored_once(spark, monkeypatch):
+    """The three levels of every condition come from one written table; rows are not scored again for each join."""
+    seen = []
+    monkeypatch.setattr(inference, "delong", lambda d, *a, **k: seen.append(d) or d)
+    inference.compare_conditions(Tables(spark, SF).runs)
+    assert "md5" not in plan(seen[0])
