@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import group_stats, null_safe_join
+from ..session import settle
 
 
 def require_empty(violations: DataFrame, what: str) -> None:
@@ -139,9 +140,12 @@ def first_seen_dedup(df: DataFrame, item="item", block="block") -> DataFrame:
 def nesting_audit(df: DataFrame, levels=("series", "study", "patient"), lookup: DataFrame | None = None) -> DataFrame:
     """One row: keys of each level with more than one parent or child, and lookup coverage."""
     a, b, c = levels
-    multi = lambda child, parent, name: (df.select(child, parent).distinct().groupBy(child)
-                                         .agg(F.count(F.lit(1)).alias("n"))
-                                         .agg(F.count_if(F.col("n") > 1).alias(name)))
+    df = settle(df.select(*levels))
+    def multi(child, parent, name):
+        # more than one parent: the smallest and the largest differ, or some are missing; no pair is shuffled
+        lo, hi, n = F.min(parent), F.max(parent), F.count(parent)
+        g = df.groupBy(child).agg(((lo != hi) | ((n > 0) & (n < F.count(F.lit(1))))).alias("many"))
+        return g.agg(F.count_if("many").alias(name))
     out = df.agg(F.count(F.lit(1)).alias("n_rows"))
     pieces = [multi(a, b, f"{a}_in_many_{b}"), multi(b, c, f"{b}_in_many_{c}"),
               multi(c, b, f"{c}_with_many_{b}"), multi(c, a, f"{c}_with_many_{a}")]

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw, unit_draw
+from ..functions.prefix import tasks_for
 from ..operators import guards as g
 from ..operators import splits as s
 from .registry import query
@@ -138,8 +139,9 @@ SELECT (SELECT count(*) FROM d) AS n_rows,
   (SELECT count(*) FROM (SELECT patient FROM d GROUP BY patient HAVING count(DISTINCT series) > 1) a) AS patient_with_many_series,
   (SELECT count(DISTINCT series) FROM d WHERE series NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)) AS series_without_lookup""")
 def _(t):
-    d = (t.table("lineitem").select(F.col("l_partkey").alias("series"), F.col("l_orderkey").alias("study"))
-         .join(t.table("orders").select(F.col("o_orderkey").alias("study"), F.col("o_custkey").alias("patient")), "study"))
+    tasks = tasks_for(t.table("lineitem"))
+    d = (t.table("lineitem").select(F.col("l_partkey").alias("series"), F.col("l_orderkey").alias("study")).repartition(tasks, "study")
+         .join(t.table("orders").select(F.col("o_orderkey").alias("study"), F.col("o_custkey").alias("patient")).repartition(tasks, "study"), "study"))
     look = t.table("part").filter("p_size > 10").select(F.col("p_partkey").alias("series"))
     return g.nesting_audit(d, lookup=look)
 
