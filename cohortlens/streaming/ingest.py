@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prefix import null_safe_join
 from ..operators import metrics as m
+from ..session import settle
 
 PREDICTIONS = "run string, subject string, row_id bigint, label bigint, score double"
 
@@ -25,15 +26,15 @@ def fresh(batch: DataFrame, number: int, stored: str, keys) -> DataFrame:
     """
     keys = list(keys)
     rest = [c for c in batch.columns if c not in keys]
-    rows = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__r"), F.count(F.lit(1)).alias("n_landed")).select(*keys, "__r.*", "n_landed")
-    if number > 0:
+    rows = batch.select(*keys, F.struct(*rest).alias("__r"), F.lit(False).alias("__had"))
+    if number > 0:  # stored keys go through the same shuffle as the batch's rows, no join is needed
         have = batch.sparkSession.read.parquet(stored).filter(F.col("batch") < number).select(*keys)
-        rows = null_safe_join(rows, have.distinct().withColumn("__had", F.lit(True)), keys, "left")
-    else:
-        rows = rows.withColumn("__had", F.lit(None).cast("boolean"))
+        rows = rows.unionByName(have.select(*keys, F.lit(None).cast(rows.schema["__r"].dataType).alias("__r"), F.lit(True).alias("__had")))
+    rows = rows.repartition(*keys).groupBy(*keys).agg(F.min("__r").alias("__r"), F.count("__r").alias("n_landed"), F.max("__had").alias("__had"))
+    rows = settle(rows.filter("n_landed > 0").select(*keys, "__r.*", "n_landed", "__had"))
     path = os.path.join(stored, f"batch={number}")
     kept = rows.withColumn("n_refused", F.col("n_landed") - 1)
-    kept.filter("__had IS NULL").drop("__had", "n_landed").write.mode("overwrite").parquet(path)
+    kept.filter("NOT __had").drop("__had", "n_landed").write.mode("overwrite").parquet(path)
     again = rows.filter("__had").agg(F.coalesce(F.sum("n_landed"), F.lit(0)).alias("n_known_again"))
     again.write.mode("overwrite").parquet(os.path.join(stored + "-refused", f"batch={number}"))
     return batch.sparkSession.read.parquet(path).drop("n_refused")
