@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.prefix import tasks_for
 from ..session import shared_dir
 from ..sources import sinks
 from ..sources import tables as s
@@ -129,8 +130,9 @@ def _(t):
 
 @query("table_fingerprint", "n_rows:i mixed:i mod_sum:i same_after_shuffle:b")
 def _(t):
-    a = s.table_fingerprint(t.table("lineitem"))
-    b = s.table_fingerprint(t.table("lineitem").repartition(7)).select(F.col("mixed").alias("__m"), F.col("mod_sum").alias("__s"))
+    li = t.table("lineitem")
+    a = s.table_fingerprint(li)
+    b = s.table_fingerprint(li.repartition(tasks_for(li), *li.columns)).select(F.col("mixed").alias("__m"), F.col("mod_sum").alias("__s"))
     return a.crossJoin(F.broadcast(b)).withColumn("same_after_shuffle", (F.col("mixed") == F.col("__m")) & (F.col("mod_sum") == F.col("__s")))
 
 

@@ -54,3 +54,14 @@ def test_thresholds_of_folds_leave_the_rows_where_they_are(spark, tmp_path):
     got, th = out.head(), {x.fold: x.threshold for x in m.youden_threshold(m.score_counts(d.filter("val"), ["fold"]), ["fold"]).collect()}
     hits = [(x.score >= th[x.fold], x.label == 1) for x in d.filter("NOT val").collect()]
     assert (got.tp, got.fp, got.tn, got.fn) == tuple(hits.count(x) for x in ((True, True), (True, False), (False, False), (False, True)))
+
+
+def test_fingerprint_is_dealt_to_as_many_tasks_as_the_table_asks_for(spark, monkeypatch):
+    from cohortlens.functions import prefix
+    from cohortlens.plans.catalog import REGISTRY
+    monkeypatch.setattr(prefix, "TASK_ROWS", 100)
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    out = REGISTRY["table_fingerprint"].run(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert f", {-(-n // 100)}), REPARTITION_BY_NUM" in plan
+    assert out.head().same_after_shuffle
