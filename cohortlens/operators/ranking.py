@@ -175,18 +175,8 @@ def rank_stability(point: DataFrame, reps: DataFrame, halves: DataFrame | None =
 
 def split_half_tau(df: DataFrame, n_rep=200, seed=0, method="method", subject="subject") -> DataFrame:
     """(unit, median, lo, hi, n_used): tau between the rankings of two disjoint halves of the subjects."""
-    s = df.select(subject).distinct()
-    reps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rep - 1).cast("long"))).alias("rep")
-    h = s.select(subject, reps).withColumn("__h", unit_draw(seed, "half", F.col("rep"), F.col(subject)))
-    h = number_rows(h, ["rep"], ["__h", subject], F.col("__h"), "__r", by_share=True)
-    k = s.agg(F.count(F.lit(1)).alias("__k"))
-    h = h.crossJoin(F.broadcast(k)).select("rep", subject, (F.col("__r") <= F.expr("__k div 2")).cast("int").alias("half"))
-    rows = resample.subject_cells(df, [method]).withColumn("unit", F.lit("slice"))
-    subj = resample.subject_cells(m.cluster_aggregate(df, [method]), [method], score="mean_score").withColumn("unit", F.lit("patient"))
-    cells = settle(rows.unionByName(subj))
-    sides = h.select((F.col("rep") * 2 + F.col("half")).alias("rep"), subject, F.lit(1).alias("mult"))  # a half is a replicate with weights 0 and 1
-    a = replicates.replicate_auc(cells, replicates.pack(sides, subject), ["unit", method], subject, least=1)
-    a = a.withColumn("half", F.col("rep") % 2).withColumn("rep", F.expr("rep div 2"))
+    cells = resample.joint_cells(df, method, subject)
+    a = replicates.replicate_auc(cells, replicates.split_halves(df, n_rep, seed, subject), ["unit", method], subject, halves=n_rep)
     w = a.groupBy("rep", "unit", method).agg(F.max(F.when(F.col("half") == 0, F.col("auc"))).alias("h0"),
                                              F.max(F.when(F.col("half") == 1, F.col("auc"))).alias("h1"),
                                              (F.count("auc") == 2).alias("ok"))

@@ -65,3 +65,35 @@ def test_fingerprint_is_dealt_to_as_many_tasks_as_the_table_asks_for(spark, monk
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert f", {-(-n // 100)}), REPARTITION_BY_NUM" in plan
     assert out.head().same_after_shuffle
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 40])
+def test_halves_are_the_units_with_the_smallest_draws(spark, n):
+    """Against a sort of each replicate; one replicate read with its weights and the others."""
+    import numpy as np
+    from cohortlens.functions.draws import draw, unit_draw
+    from cohortlens.operators import replicates
+    u = spark.range(n).select(F.col("id").cast("string").alias("subject"))
+    drawn = u.select("subject", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("rep")).withColumn("h", unit_draw(3, "half", F.col("rep"), F.col("subject"))).collect()
+    got = {x.subject: np.frombuffer(x["__w"], np.uint8) for x in replicates.split_halves(u.unionByName(u), 12, 3).collect()}
+    first = {i: {x.subject for x in sorted((x for x in drawn if x.rep == i), key=lambda x: (x.h, x.subject))[:n // 2]} for i in range(12)}
+    assert len(got) == n and all(got[s][i] == (s in first[i]) for s in got for i in range(12)) and not any(got[s][12:].any() for s in got)
+    cells = u.select("subject", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("j")).select(
+        "subject", ((draw("s", F.col("subject"), F.col("j")) % 30) / 30).alias("s"), (draw("p", F.col("subject"), F.col("j")) % 3).alias("p"), (draw("n", F.col("subject"), F.col("j")) % 2).alias("n"))
+    rows = cells.collect()
+    auc = {(x.rep, x.half): x.auc for x in replicates.replicate_auc(cells, replicates.split_halves(u, 12, 3), halves=12).collect()}
+    for i in range(12):
+        for half in (0, 1):
+            mine = [x for x in rows if (x.subject in first[i]) == half]
+            P, N = sum(x.p for x in mine), sum(x.n for x in mine)
+            want = sum(x.p * y.n * ((x.s > y.s) + (x.s == y.s) / 2) for x in mine for y in mine) / (P * N) if P and N else None
+            assert auc.get((i, half)) == (want if want is None else pytest.approx(want, abs=1e-12))
+
+
+def test_half_replicates_are_not_padded(spark):
+    """200 replicates are two halves of one set of weights; the rest of a packed row of 1,000 is not looked up."""
+    from cohortlens.operators import replicates
+    u = spark.range(30).select(F.col("id").cast("string").alias("subject"))
+    cells = u.select("subject", (F.col("subject").cast("int") / 30).alias("s"), (F.col("subject") % 2).cast("long").alias("p"), (1 - F.col("subject") % 2).cast("long").alias("n"))
+    r, size = replicates.ranges(cells, replicates.split_halves(u, 200, 0), [], halves=200)
+    assert {x["__q"] for x in r.collect()} == set(range(-(-200 // size)))
