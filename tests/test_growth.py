@@ -97,3 +97,42 @@ def test_half_replicates_are_not_padded(spark):
     cells = u.select("subject", (F.col("subject").cast("int") / 30).alias("s"), (F.col("subject") % 2).cast("long").alias("p"), (1 - F.col("subject") % 2).cast("long").alias("n"))
     r, size = replicates.ranges(cells, replicates.split_halves(u, 200, 0), [], halves=200)
     assert {x["__q"] for x in r.collect()} == set(range(-(-200 // size)))
+
+
+def test_running_sums_of_small_keys_need_no_offsets(spark, monkeypatch):
+    """Keys above and below the limit, a null key and null leads give the plain sums."""
+    from pyspark.sql import Window
+    from cohortlens.functions import prefix
+    monkeypatch.setattr(prefix, "HOT_ROWS", 50)
+    d = spark.range(1200).select("id", F.expr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN NULL ELSE concat('k', id % 40) END").alias("key"),
+                                 F.expr("CASE WHEN id % 11 = 0 THEN NULL ELSE (id * 7919 % 1000) / 1000D END").alias("x"), (F.col("id") % 4).alias("n"))
+    d = d.groupBy("key", "x").agg(F.sum("n").alias("n"))
+    got = prefix.running_small(d, ["key"], ["x"], prefix.spread(F.col("x")), u="n")
+    w = Window.partitionBy("key")
+    want = d.withColumn("u", F.sum("n").over(w.orderBy("x"))).withColumn("u_all", F.sum("n").over(w)).select(*got.columns)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_aggregations_of_subjects_read_their_scores_once(spark):
+    d = spark.range(600).select((F.col("id") % 7).cast("string").alias("subject"), F.expr("id * 37 % 101 / 101D").alias("score"), (F.col("id") % 2).alias("label"))
+    d, seen = counted(d)
+    assert m.aggregate_matrix(d).count() == 7 * len(m.SCHEMES)
+    assert seen.value == 600
+
+
+def test_strata_are_known_before_rows_are_copied(spark):
+    """A stratum joined to the scored copies sorted eight rows of an event by its number."""
+    from cohortlens.plans.catalog import REGISTRY
+    plan = REGISTRY["stratified_auc"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join [row_id" in x]
+
+
+def test_copies_of_permutations_are_dealt_to_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    from cohortlens.functions import prefix
+    from cohortlens.operators import resample as r
+    monkeypatch.setattr(prefix, "TASK_ROWS", 100)
+    d = spark.range(600).select(F.col("id").alias("row_id"), (F.col("id") % 30).cast("string").alias("subject"), F.expr("id div 30").alias("slice"),
+                                (F.col("id") % 7 == 0).cast("long").alias("label"), F.when(F.col("id") % 30 < 10, "a").otherwise("b").alias("split"))
+    rows, audit = r.permute_subject_labels(d, 20)
+    assert ", 120), REPARTITION_BY_NUM" in rows._jdf.queryExecution().sparkPlan().toString()
+    assert rows.groupBy("perm").count().filter("count = 600").count() == 20 and audit.count() == 40
