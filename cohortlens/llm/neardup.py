@@ -222,7 +222,9 @@ def inside(open_: DataFrame, stars: DataFrame, classes: DataFrame, similarity: i
     """Pairs of members of open buckets, one of them far from its bucket's first one, whose signatures may be near.
 
     Near signatures agree in all positions but DISTANCE, so they share one of their DISTANCE + 1 rarest values: a prefix
-    filter, in which what many members have in common (a passage, a footer) counts for nothing. Values that occur in
+    filter, in which what many members have in common (a passage, a footer) counts for nothing. The first value they share
+    has nothing common before it, so all positions of rarer values, of either side, differ: a pair with more than DISTANCE
+    of these does not meet there (``low``, ``high``: bits of the positions). Values that occur in
     one component only are dropped before the join; sizes that rule a link out are ruled out in it. Members of one star
     are left to ``possible``: ``home`` is the first star of a member, and equal homes are not joined.
     """
@@ -235,14 +237,20 @@ def inside(open_: DataFrame, stars: DataFrame, classes: DataFrame, similarity: i
     tokens = settle(signed.mapInArrow(signature_tokens, f"id {kind}, token long"))
     seen = tokens.join(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token")
     rare = Window.partitionBy("id").orderBy("n", "token")  # a window has as many rows as a signature has positions
-    prefix = seen.withColumn("i", F.row_number().over(rare)).filter(F.col("i") <= DISTANCE + 1).select("id", "token")
+    at, half, before = F.expr("cast(shiftright(token, 16) AS int)"), CHUNKS * LENGTH // 2, rare.rowsBetween(Window.unboundedPreceding, -1)
+    bits = {"low": F.when(at < half, F.call_function("shiftleft", F.lit(1).cast("long"), at)),
+            "high": F.when(at >= half, F.call_function("shiftleft", F.lit(1).cast("long"), at - half))}
+    prefix = (seen.select("id", "token", F.row_number().over(rare).alias("i"), *[F.coalesce(F.bit_or(b).over(before), F.lit(0)).alias(c) for c, b in bits.items()])
+              .filter(F.col("i") <= DISTANCE + 1).drop("i"))
     placed = prefix.join(members, "id").join(classes.select("id", "n_shingles"), "id")
     mixed = (placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("home").alias("one"), F.max("home").alias("two"))
              .filter("low < high AND one < two").select("token"))
     placed = settle(placed.join(mixed, "token"))
-    x = placed.filter("far").select("token", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n_shingles").alias("nx"), F.col("home").alias("hx")).alias("l")
-    y = placed.select("token", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n_shingles").alias("ny"), F.col("home").alias("hy")).alias("r")
-    return ordered(x.join(y, F.expr(f"l.token = r.token AND x <> y AND cx <> cy AND hx <> hy AND 100 * least(nx, ny) >= {similarity} * greatest(nx, ny)")).select("x", "y"))
+    columns = {"id": "", "c": "c", "n_shingles": "n", "home": "h", "low": "low", "high": "high", "far": "far"}
+    x, y = (placed.select("token", *[F.col(c).alias(f"{short}{side}") for c, short in columns.items()]).alias(name) for side, name in (("x", "l"), ("y", "r")))
+    return ordered(x.filter("farx").join(y, F.expr(
+        f"l.token = r.token AND x <> y AND cx <> cy AND hx <> hy AND (x < y OR fary IS NULL) AND 100 * least(nx, ny) >= {similarity} * greatest(nx, ny)"
+        f" AND bit_count(lowx | lowy) + bit_count(highx | highy) <= {DISTANCE}")).select("x", "y"))
 
 
 def cluster(df: DataFrame, key: str, text: str, width: int = 5, similarity: int = SIMILARITY) -> DataFrame:

@@ -132,3 +132,38 @@ def test_repeated_id_with_a_missing_text(spark):
     rows = [(1, None), (1, text), (1, ""), (2, text), (3, None), (3, "")]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.cluster(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
     assert got == {1: (36, 1, True), 2: (36, 1, False), 3: (0, 3, True)}
+
+
+def passage_members(spark, n, seed=4):
+    """Signatures of texts that share a passage and differ in the rest, some of them near others, as members of one open bucket."""
+    rng = np.random.default_rng(seed)
+    passage = rng.integers(0, 1 << 16, 80)
+    rows = []
+    for k in range(n):
+        own = rng.random(80) > rng.choice([0.3, 0.45])
+        s = np.where(own, rng.integers(0, 12, 80) if k % 2 else rng.integers(0, 1 << 16, 80), passage)
+        if k and k % 5 == 0:  # near the one before, around the distance
+            s = np.array(rows[-1])
+            at = rng.choice(80, rng.integers(20, 40), replace=False)
+            s[at] = rng.integers(0, 1 << 16, len(at))
+        rows.append([int(v) for v in s])
+    kept = [(k + 1, np.array(s).astype("<u2").tobytes(), 100) for k, s in enumerate(rows)]
+    classes = spark.createDataFrame(kept, "id long, signature binary, n_shingles long")
+    open_ = spark.createDataFrame([(1, 0, k + 1, k + 1) for k in range(n)], "key long, first long, id long, c long")
+    return np.array(rows), classes, open_, spark.createDataFrame([], "a long, b long")
+
+
+def test_token_join_loses_no_near_pair_and_forms_few_others(spark):
+    """Pairs that share a rare value, but have too many rarer ones that differ, were formed once for each shared value."""
+    rows, classes, open_, stars = passage_members(spark, 300)
+    got = {(r.a - 1, r.b - 1) for r in neardup.inside(open_, stars, classes, 80).collect()}
+    differ = (rows[:, None] != rows[None]).sum(2)
+    near = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if differ[i, j] <= neardup.DISTANCE}
+    assert len(near) > 30 and near <= got
+    values = {}
+    for p in range(80):
+        for v, c in zip(*np.unique(rows[:, p], return_counts=True)):
+            values[p, int(v)] = c
+    first = [set(sorted(((p, int(v)) for p, v in enumerate(s)), key=lambda t: (values[t], t))[:neardup.DISTANCE + 1]) for s in rows]
+    before = sum(bool(first[i] & first[j]) for i in range(len(rows)) for j in range(i))
+    assert 4 * len(got) < 3 * before
