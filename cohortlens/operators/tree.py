@@ -1,8 +1,9 @@
 """A shallow classification tree grown level by level from grouped counts.
 
-One job per level for all partitions at once: rows are routed to their node by a nested column
-expression, counted per (partition, node, feature, value), and the best threshold comes from
-running sums over the distinct values. Only the chosen splits (at most 2^depth per partition)
+One scan per level for all partitions at once: rows are routed to their node in every partition by
+nested column expressions and counted per (fold, nodes, column, value). Partitions, missing flags and
+the 0/1 features of categories follow from these counts, not from rows. The best threshold comes
+from running sums over the distinct values. Only the chosen splits (at most 2^depth per partition)
 reach the driver.
 """
 
@@ -38,10 +39,7 @@ class Encoder:
             return [cls([]) for _ in range(n_folds)]
         types = dict(df.dtypes)
         num = [c for c in cols if types[c] in NUMERIC or types[c].startswith("decimal")]
-        x = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-        arms = F.array(*[F.struct(F.lit(i).alias("i"), (x(c) if c in num else F.lit(None)).cast("double").alias("v"),
-                                  (F.lit(None) if c in num else F.col(c)).cast("string").alias("t")) for i, c in enumerate(cols)])
-        per = df.select("fold", F.inline(arms)).groupBy("fold", "i", "v", "t").agg(F.count(F.lit(1)).alias("c"))
+        per = df.select("fold", F.inline(F.array(*_arms(df, cols)))).groupBy("fold", "i", "v", "t").agg(F.count(F.lit(1)).alias("c"))
         parts = F.explode(F.array(*[F.lit(f) for f in range(n_folds)])).alias("part")
         c = settle(per.select("*", parts).filter(F.col("fold") != F.col("part")).groupBy("part", "i", "v", "t").agg(F.sum("c").alias("c")))
         is_num = F.col("i").isin([i for i, n in enumerate(cols) if n in num]) if num else F.lit(False)
@@ -72,12 +70,42 @@ class Encoder:
                 out.append((f"{c}=__other__", rest.cast("double")))
         return out
 
+    def counted(self, first: int) -> dict[int, list[tuple[int, int, Column]]]:
+        """Per column what follows from its counted ``v`` or ``t``: (number of the first feature, number of 0/1 features or none, value or level)."""
+        out, at = {}, first
+        for i, (kind, _, a, gap) in enumerate(self.spec):
+            if kind == "num":
+                out[i] = [(at, 0, F.coalesce("v", F.lit(float(a)))), *([(at + 1, 0, F.col("v").isNull().cast("double"))] if gap else [])]
+                at += 2 if gap else 1
+            else:
+                level = F.lit(float(len(a)))
+                for j, v in enumerate(a):
+                    level = F.when(F.col("t").eqNullSafe(F.lit(v)), F.lit(float(j))).otherwise(level)
+                out[i] = [(at, len(a) + 1, level)]
+                at += len(a) + 1
+        return out
+
+
+def _arms(df: DataFrame, cols) -> list[Column]:
+    """(i, v, t) of each column: its number and its value, a number or a text; a missing number is null."""
+    types = dict(df.dtypes)
+    num = {c for c in cols if types[c] in NUMERIC or types[c].startswith("decimal")}
+    x = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    return [F.struct(F.lit(i).alias("i"), (x(c) if c in num else F.lit(None)).cast("double").alias("v"),
+                     (F.lit(None) if c in num else F.col(c)).cast("string").alias("t")) for i, c in enumerate(cols)]
+
+
+def _features(cells: DataFrame) -> DataFrame:
+    """(partition, node, feature, v, p, n): counted cells, those of levels as counts of each level's 0/1 feature; written once."""
+    at = ["partition", "node", "feature"]
+    levels = cells.filter("width > 0").select("partition", "node", F.col("feature").alias("first"), "v", "p", "n", F.explode(F.expr("sequence(feature, feature + width - 1)")).alias("feature"))
+    split = levels.withColumn("v", (F.col("v") == F.col("feature") - F.col("first")).cast("double")).groupBy(*at, "v").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return settle(cells.filter("width = 0").select(*at, "v", "p", "n").unionByName(split))
+
 
-def _best_splits(long: DataFrame) -> DataFrame:
-    """(partition, node, feature, threshold): the split with least Gini impurity per node."""
+def _best_splits(c: DataFrame) -> DataFrame:
+    """(partition, node, feature, threshold): the split with least Gini impurity per node, from one row per value; ``c`` is read by four branches."""
     by = ["partition", "node", "feature"]
-    c = long.groupBy(*by, "v").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.max("min_leaf").alias("min_leaf"))
-    c = settle(c)  # read by four branches below
     r = running(c, by, ["v"], spread(F.col("v")), cp="p", cn="n")
     r = with_next(r, by, "v", "nxt")
     tot = c.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("k"))
@@ -108,13 +136,13 @@ def _by_partition(part: Column, cases: dict) -> Column:
     return out
 
 
-def _route(splits: dict, partition: int) -> Column:
+def _route(splits: dict, partition: int, design: list) -> Column:
     """Node id of a row under the splits of one partition: root 1, children 2i and 2i + 1."""
     def walk(node):
         if (partition, node) not in splits:
             return F.lit(node)
         f, thr = splits[(partition, node)]
-        return F.when(F.col("x")[f] <= F.lit(thr), walk(2 * node)).otherwise(walk(2 * node + 1))
+        return F.when(design[f] <= F.lit(thr), walk(2 * node)).otherwise(walk(2 * node + 1))
     return walk(1)
 
 
@@ -127,38 +155,46 @@ def fit_score(df: DataFrame, n_folds: int, cols, use_relpos=False, name="tree",
     """
     need = ["subject", "fold", F.col("label").cast("long").alias("y"), *(["relpos"] if use_relpos else []), *cols]
     df = settle(df.select(*need))
-    names, design = {}, {}
+    names, design, counted = {}, {}, {}
     for f, enc in enumerate(Encoder.fit_all(df, n_folds, list(cols), max_levels)):
-        pairs = ([("relative_position", F.col("relpos").cast("double"))] if use_relpos else []) + enc.columns()
-        names[f], design[f] = [n for n, _ in pairs], F.array(*[c for _, c in pairs]) if pairs else F.array().cast("array<double>")
-    parts = F.explode(F.array(*[F.lit(f) for f in range(n_folds)])).alias("partition")
-    # a generator keeps the optimizer from copying the design array into every mention of it
-    once = lambda c: F.explode(F.array(c))
-    train = (df.select("*", parts).filter(F.col("fold") != F.col("partition"))
-             .select("partition", "y", once(_by_partition(F.col("partition"), design)).alias("x")))
+        lead = [("relative_position", F.col("relpos").cast("double"))] if use_relpos else []
+        names[f], design[f] = ([*x] for x in zip(*lead, *enc.columns())) if lead or enc.spec else ([], [])
+        counted[f] = ({-1: [(0, 0, F.col("v"))]} if lead else {}) | enc.counted(len(lead))
+    one = F.struct(F.lit(-1).alias("i"), F.col("relpos" if use_relpos else "y").cast("double").alias("v"), F.lit(None).cast("string").alias("t"))
+    none = F.struct(F.lit(-1).alias("i"), F.lit(None).cast("double").alias("v"), F.lit(None).cast("string").alias("t"))
+    arms = [*([one] if use_relpos else []), *_arms(df, list(cols))]
     folds = range(n_folds)
+    per_partition = F.array(*[F.struct(F.lit(f).alias("partition"), F.col(f"node{f}").alias("node")) for f in folds])
     splits, info, total, least = {}, {}, {}, {}
     open_nodes = {(f, 1) for f in folds}
     for depth in range(max_depth + 1):
-        node = _by_partition(F.col("partition"), {f: _route(splits, f) for f in folds})
-        rows = train.withColumn("node", node)
+        last = depth == max_depth or not arms  # sizes of nodes only
+        rows = df.select("*", *[_route(splits, f, design[f]).alias(f"node{f}") for f in folds])
+        by = ["fold", *[f"node{f}" for f in folds]]
+        cells = settle(rows.select(*by, "y", F.inline(F.array(*([none] if last else arms)))).groupBy(*by, "i", "v", "t").agg(
+            F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")))
         tag = F.concat_ws(":", "partition", "node")
-        rows = rows.filter(tag.isin([f"{p}:{n}" for p, n in open_nodes]))
-        stats = {(r["partition"], r["node"]): (r["n"], r["k"]) for r in rows.groupBy("partition", "node").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("y").alias("k")).collect()}  # <= 2^depth rows per partition
+        within = lambda c, keep: (c.select("fold", "i", "v", "t", "p", "n", F.inline(per_partition)).filter(F.col("fold") != F.col("partition"))
+                                  .filter(tag.isin([f"{p}:{n}" for p, n in keep])))
+        sizes = within(cells.filter(F.col("i") == (-1 if last or use_relpos else 0)), open_nodes).groupBy("partition", "node").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+        stats = {(r["partition"], r["node"]): (r["p"] + r["n"], r["p"]) for r in sizes.collect()}  # <= 2^depth rows per partition
         info.update(stats)
         if depth == 0:
             total = {f: stats[(f, 1)] for f in folds if (f, 1) in stats}
             least = {f: min_leaf or max(10, int(0.02 * n)) for f, (n, _) in total.items()}
-        grow = {k for k, (n, y) in stats.items() if depth < max_depth and names[k[0]] and n >= 2 * least[k[0]] and 0 < y < n}
+        grow = {k for k, (n, y) in stats.items() if not last and n >= 2 * least[k[0]] and 0 < y < n}
         if not grow:
             break
-        long = (rows.filter(tag.isin([f"{p}:{n}" for p, n in grow]))
-                .select("partition", "node", "y", F.posexplode("x").alias("feature", "v"))
-                .groupBy("partition", "node", "feature", "v").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")))
+        feature = F.lit(None)
+        for f in folds:
+            for i, made in counted[f].items():
+                each = F.array(*[F.struct(F.lit(at).alias("feature"), F.lit(width).alias("width"), x.alias("v")) for at, width, x in made])
+                feature = F.when((F.col("partition") == f) & (F.col("i") == i), each).otherwise(feature)
+        counts = within(cells, grow).select("partition", "node", "p", "n", F.inline(feature)).groupBy("partition", "node", "feature", "width", "v")
+        cells = _features(counts.agg(F.sum("p").alias("p"), F.sum("n").alias("n")))
         floor = _by_partition(F.col("partition"), {f: F.lit(v) for f, v in least.items()})
         new = {(r["partition"], r["node"]): (r["feature"], r["threshold"])
-               for r in _best_splits(long.withColumn("min_leaf", floor)).collect()}
+               for r in _best_splits(cells.withColumn("min_leaf", floor)).collect()}
         splits.update(new)
         open_nodes = {(p, c) for (p, n) in new for c in (2 * n, 2 * n + 1)}
         if not open_nodes:
@@ -167,8 +203,7 @@ def fit_score(df: DataFrame, n_folds: int, cols, use_relpos=False, name="tree",
     leaf = {f"{p}:{n}": (k + smoothing * prior[p]) / (c + smoothing) for (p, n), (c, k) in info.items() if (p, n) not in splits}
     rates = F.create_map(*[F.lit(x) for kv in leaf.items() for x in kv])
     test = (df.filter(F.col("fold").isin([f for f in folds if f in total]))
-            .select("subject", "fold", "y", once(_by_partition(F.col("fold"), design)).alias("x"))
-            .withColumn("node", _by_partition(F.col("fold"), {f: _route(splits, f) for f in folds}))
+            .withColumn("node", _by_partition(F.col("fold"), {f: _route(splits, f, design[f]) for f in folds}))
             .groupBy("subject", "fold", "node").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")))
     scored = test.select(F.lit(name).alias("feature"), "subject", "fold", F.col("node").cast("string").alias("level"), "p", "n",
                          snap(rates[F.concat_ws(":", "fold", "node")]).alias("s"))

@@ -124,3 +124,19 @@ def test_kendall_counts_inversions(spark, n, levels):
             c, free_a, free_b = c + (x * y).sum(), free_a + abs(x).sum(), free_b + abs(y).sum()
         want = c / np.sqrt(free_a * free_b) if free_a and free_b else None
         assert got[key] == (pytest.approx(want, abs=1e-12) if want is not None else None)
+
+
+def test_tree_counts_a_row_once_per_column(spark):
+    """Missing numbers, missing levels and rare levels: the root split is that of all 0/1 features; a row is counted once per column, not per partition and level."""
+    rows = [(f"s{k}", k % 3, None if k % 7 == 0 else float(k % 40), int((k % 7 == 0) ^ (k % 11 == 3)), None if k % 5 == 0 else "abcdef"[k % 6], k % 13 / 13) for k in range(900)]
+    df = spark.createDataFrame(rows, "subject string, fold long, x double, label long, c string, relpos double")
+    _, fit = tree.fit_score(df, 3, ["x", "c"], use_relpos=True, max_levels=3, max_depth=1)
+    for f in range(3):
+        part = [r for r in rows if r[1] != f]
+        assert fit["info"][(f, 1)] == (len(part), sum(r[3] for r in part))
+        at, threshold = fit["splits"][(f, 1)]
+        assert (fit["names"][f][at], threshold) == ("x__missing", 0.5)
+        missing = [r for r in part if r[2] is None]
+        assert fit["info"][(f, 3)] == (len(missing), sum(r[3] for r in missing))
+    arms = tree._arms(df, ["x", "c"])
+    assert df.select(F.inline(F.array(*arms))).count() == 2 * len(rows)
