@@ -10,6 +10,9 @@ two words one edit apart, either the part before or the part after the edit is a
 at half length, forward or backward. And a pair is sought from one side only: from the shorter word, or from the one whose
 replaced letter is smaller. Nodes are 64-bit hashes of (direction, length, prefix); a neighbour is an edited word that the
 word table confirms, so colliding hashes add nothing.
+
+Both sides of every join grow with the vocabulary and all are merged: Spark guesses sizes from files before rows are exploded,
+or from small files of nested rows, and would collect on the driver what passes for small.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prefix import merged
 from .common import ascii_lower, pick, settle, table
 
 LETTERS = "a-zÀ-ÿ"  # of a lower-cased run
@@ -64,7 +68,7 @@ def trie(words: DataFrame) -> DataFrame:
     steps = steps.withColumn("node", node_id(F.col("back"), F.col("size"), part("s", F.lit(0), F.col("d"))))
     kept = (steps.groupBy("node").agg(F.collect_set(part("s", "d", 1)).alias("nexts"), F.bool_or(F.col("d") == F.col("low")).alias("first"))
             .filter("first OR size(nexts) > 1").select("node", F.concat_ws("", "nexts").alias("nexts")))
-    paths = steps.join(kept, "node").groupBy("back", "s").agg(F.array_sort(F.collect_list(F.struct("d", "node", "nexts"))).alias("p"))
+    paths = merged(steps).join(kept, "node").groupBy("back", "s").agg(F.array_sort(F.collect_list(F.struct("d", "node", "nexts"))).alias("p"))
     edges = paths.select("s", F.posexplode("p").alias("i", "here"), "p").select("s", "here", F.try_element_at("p", F.col("i") + 2).alias("there")).select(
         F.col("here.node").alias("node"), part("s", F.col("here.d"), F.coalesce(F.col("there.d") - F.col("here.d"), F.lit(1 << 30))).alias("label"),
         F.col("there.node").alias("child"), F.col("there.nexts").alias("nexts"))
@@ -83,7 +87,7 @@ def frontier(words: DataFrame) -> DataFrame:
 
 def advance(states: DataFrame, nodes: DataFrame) -> DataFrame:
     """The next states; ``node`` is null where a target is complete."""
-    at = states.join(nodes, "node").select("back", "s", "target", "pos", "goal", F.inline("children")).withColumn("len", F.length("label"))
+    at = merged(states).join(nodes, "node").select("back", "s", "target", "pos", "goal", F.inline("children")).withColumn("len", F.length("label"))
     follows = F.col("child").isNull() | (F.instr(F.col("nexts"), F.substring(F.col("target"), F.col("pos") + F.col("len") + 1, F.lit(1))) > 0)
     fits = part("target", "pos", F.col("len")) == F.col("label")
     edited = at.filter(F.col("target").isNotNull() & fits & follows)
@@ -116,14 +120,14 @@ def neighbours(words: DataFrame) -> DataFrame:
             break
     turn = lambda c: F.when(F.col("back"), F.reverse(c)).otherwise(F.col(c))
     pairs = reduce(DataFrame.unionByName, found).select(turn("s").alias("a"), turn("target").alias("b")).distinct()
-    return pairs.join(words.select(F.col("word").alias("b")), "b").select("a", "b")
+    return merged(pairs).join(words.select(F.col("word").alias("b")), "b").select("a", "b")
 
 
 def roots(forms: DataFrame) -> DataFrame:
     """(word, root) of the words that have a form, by doubling the steps taken until none leads further."""
     now = settle(forms.select("word", F.col("form").alias("root")))
     while True:
-        step = now.join(now.select(F.col("word").alias("root"), F.col("root").alias("beyond")), "root", "left")
+        step = merged(now).join(now.select(F.col("word").alias("root"), F.col("root").alias("beyond")), "root", "left")
         step = settle(step.select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("on")))
         now = step.select("word", "root")
         if not step.filter("on").head(1):
@@ -140,13 +144,13 @@ def variants(counts: DataFrame, ratio: int = 2) -> DataFrame:
     counts = settle(counts.select("word", "n"))
     once = neighbours(counts)
     both = once.select(F.col("a").alias("word"), F.col("b").alias("other")).unionByName(once.select(F.col("b").alias("word"), F.col("a").alias("other")))
-    near = both.join(counts.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
+    near = merged(both).join(counts.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
     best = near.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("minus"), "other")).alias("best"))
     fits = -F.col("best.minus") >= ratio * F.col("n")
-    chosen = settle(counts.join(best, "word", "left").select(
+    chosen = settle(merged(counts).join(best, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(fits, F.col("best.other")).alias("form"), F.when(fits, -F.col("best.minus")).alias("form_n")))
     ends = roots(chosen.filter("form IS NOT NULL"))
-    return chosen.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return merged(chosen).join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op12_spelling_variants(spark, sf_dir: str) -> DataFrame:

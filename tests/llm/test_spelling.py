@@ -83,6 +83,17 @@ def test_empty(spark):
     assert result(spelling.variants(spelling.word_counts(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text"))) == []
 
 
+def test_nothing_that_grows_with_the_vocabulary_is_broadcast(spark, monkeypatch):
+    """Sizes are guessed before rows are exploded, so tables of any size passed for small and were collected on the driver."""
+    plans = []
+    settle = spelling.settle
+    monkeypatch.setattr(spelling, "settle", lambda df: plans.append(df) or settle(df))
+    words = ["planet", "planets", "planett", "plane", "plabet", "orbit", "orbits", "orbits1"]
+    out = spelling.variants(spark.createDataFrame([(w, 3 * 2 ** i) for i, w in enumerate(words)], "word string, n long"))
+    for df in [*plans, out]:
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
