@@ -91,3 +91,32 @@ def test_difference_shuffles_no_copies_to_arms(spark, tmp_path, monkeypatch):
     assert got.n_used == len(want) and (got.ci_lo, got.ci_hi) == (pytest.approx(np.quantile(want, 0.025)), pytest.approx(np.quantile(want, 0.975)))
     plan = seen[0]._jdf.queryExecution().sparkPlan().toString()
     assert "Aggregate" not in plan and plan.index("Generate") < plan.index("Join")
+
+
+@pytest.mark.parametrize("hot, apart", [(10_000, False), (25, False), (10_000, True)])
+def test_permuted_rows_are_those_of_the_join(spark, monkeypatch, tmp_path, hot, apart):
+    """Repeated and null numbers, a null volume, a hot volume, and a number of two volumes."""
+    from cohortlens.functions import prefix
+    monkeypatch.setattr(prefix, "HOT_ROWS", hot)
+    monkeypatch.setattr(r, "PIECE", 10)
+    rows = [(None if i % 13 == 0 else "big" if i % 2 else f"v{i % 8}", None if i % 17 == 0 else i, 1 if i % 17 == 0 else i % 3, i / 8) for i in range(90)]
+    rows += rows[:20] + ([("v2", 4, 1, 0.5), ("v6", 4, 2, 0.25)] if apart else [])
+    spark.createDataFrame(rows, "volume string, row_id long, label long, x double").write.parquet(str(tmp_path / "t"))
+    d = spark.read.parquet(str(tmp_path / "t"))
+    want = d.drop("label").join(r.permute_within(d, 4, seed=3), "row_id").select("perm", *d.columns)
+    got = r.permuted(d, 4, seed=3)
+    # copies of a number, and rows without one, are ranked among each other in any order
+    key = lambda x: (x.perm, str(x.volume), x.row_id, x.x)
+    count = lambda df: sorted(map(key, df.collect()))
+    assert count(got) == count(want) and got.columns == want.columns
+    alone = [x[1] for x in rows if x[1] is not None]
+    alone = {x for x in alone if alone.count(x) == 1}
+    pick = lambda df: sorted((key(x), x.label) for x in df.collect() if x.row_id in alone)
+    assert pick(got) == pick(want)
+
+
+def test_copies_of_permutations_are_not_moved(spark, tmp_path):
+    spark.range(3000).select(F.col("id").alias("row_id"), (F.col("id") % 90).alias("volume"), (F.col("id") % 2).alias("label")).write.parquet(str(tmp_path / "t"))
+    p = r.permuted(spark.read.parquet(str(tmp_path / "t")), 20)
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert p.count() == 60000 and "Join" not in plan and "Exchange" not in plan[:plan.index("MapInArrow")]
